@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seedquorum.plans.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; set to a new temporary one if the session names none."""
@@ -28,6 +30,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        ship(spark)
         self.root = f"{shared_dir(spark)}/seedquorum/{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         atexit.register(self.close)
