@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from seedquorum.llm import chat, quality
+from seedquorum.llm import chat, neardup, passages, quality, toxicity
 
 QUERIES = {
+    "op2_minhash_lsh_forest": neardup.op2_minhash_lsh_forest,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_suffix_dedup": passages.op4_suffix_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op9_quality_rules": quality.OP9_SQL}
