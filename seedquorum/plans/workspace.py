@@ -35,9 +35,9 @@ class Workspace:
         self.paths: dict[str, str] = {}
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _remove(self, path: str) -> None:
