@@ -22,7 +22,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 40 * n_lines",
     "long_words": "word_chars > 25 * n_words",
     "short_words": "word_chars < 2 * n_words",
     "upper_case": "2 * n_upper > word_chars",

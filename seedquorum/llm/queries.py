@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from seedquorum.llm import chat, neardup, passages, quality, toxicity
+from seedquorum.llm import chat, licenses, neardup, packing, passages, pieces, quality, tokenfile, toxicity, vectors
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_minhash_lsh_forest": neardup.op2_minhash_lsh_forest,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_suffix_dedup": passages.op4_suffix_dedup,
+    "op5_token_output": tokenfile.op5_token_output,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_embedding_neardup": vectors.op10_embedding_neardup,
 }
 ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op9_quality_rules": quality.OP9_SQL}
