@@ -35,7 +35,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"),
 }
-HEADER = re.compile(r"[^\n]*(?:licen[cs]e|released under|public domain|mozilla public)[^\n]*", re.IGNORECASE)
+NAMED = re.compile(r"licen[cs]e|released under|public domain|mozilla public", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 HEADER_SCORE, FILE_SCORE = 0.6, 0.5
 
@@ -47,13 +47,25 @@ def words(text: str) -> list[str]:
 VOCABULARY = sorted({w for lines in TEMPLATES.values() for line in lines for w in words(line)})
 
 
+def headers(text: str) -> list[tuple[int, str]]:
+    """(start, line) of the lines that name a licence; each line once, in time proportional to the text."""
+    out, end = [], -1
+    for m in NAMED.finditer(text):
+        if m.start() > end:
+            start = text.rfind("\n", 0, m.start()) + 1
+            end = text.find("\n", m.start())
+            end = len(text) if end < 0 else end
+            out.append((start, text[start:end]))
+    return out
+
+
 def _headers(batches):
     """Header lines of each text, and the text as a whole if it is no longer than a licence header (a licence file)."""
     for batch in batches:
         rows = []
         for doc, path, text in zip(batch.column("doc_id").to_pylist(), batch.column("path").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py() or ""
-            found = [(doc, path, m.start(), m.group()) for m in HEADER.finditer(text)]
+            found = [(doc, path, *h) for h in headers(text)]
             share = sum(len(f[3].strip()) for f in found)
             rows += [(*f, 2 * share > len(text.strip())) for f in found]
         cols = [*zip(*rows, strict=True)] if rows else [()] * 5
