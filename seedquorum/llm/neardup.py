@@ -238,6 +238,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, work: Worksp
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is their class's smallest; of rows with one doc_id a single one."""
+    classes = near_duplicates(docs, k, percent)
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+
+
 def op2_minhash_lsh_forest(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -362,6 +362,36 @@ def remove_repeated(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     return _with_ranges(docs, work).mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")
 
 
+def without_repeats(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """``docs`` with all their columns, the text less its repeated passages, and n_chars (if there) counted anew.
+
+    A cut inside a character drops the character's other bytes. Rows whose whole text goes stay, empty; null texts become empty if anything is to
+    be cut, else stay null.
+    """
+    ranges = repeated_ranges(docs, work).withColumnsRenamed({"doc_id": "_d", "th": "_h", "ranges": "_ranges"})
+    rows = docs.join(ranges, (docs["doc_id"].cast("long") == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left").drop("_d", "_h")
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            new = []
+            for text, gone in zip(batch.column("text"), batch.column("_ranges"), strict=True):
+                text, gone = text.as_py(), gone.as_py()
+                if gone and text:
+                    raw, at, parts = text.encode(), 0, []
+                    for s, e in _merge([(x["start"], x["end"]) for x in gone]):
+                        parts.append(raw[at:s])
+                        at = e
+                    text = b"".join(p.decode("utf-8", "ignore").encode() for p in [*parts, raw[at:]]).decode()
+                new.append(text)
+            cols = {n: batch.column(n) for n in names} | {"text": pa.array(new, batch.column("text").type)}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([len(t or "") for t in new]).cast(cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return _with_ranges(docs, None).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -59,10 +59,10 @@ def _repeat_words(hashes: Column) -> Column:
     return F.transform(F.array(F.sort_array(pairs)), covered)[0]
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: the key and ``MEASURES``, all long."""
+def measure(docs: DataFrame, key: str | None = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: the key and ``MEASURES``, all long. Without a key, the whole row as the struct ``row``."""
     t = F.col("_t")
-    d = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    d = docs.select((F.col(key) if key else F.struct(*docs.columns)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = d.select("_key", "_t", F.filter(F.split(t, SPACE_CLASS + "+"), lambda w: w != "").alias("_w"))
     w = F.col("_w")
     windows = F.transform(F.array(w), lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(a, i + 1), F.get(a, i + 2))))[0]
@@ -84,10 +84,10 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         F.when(F.size(F.array_distinct(h)) < F.size(h), _repeat_words(h)).otherwise(F.lit(0)).alias("n_repeat_words"),
     )
-    return d.select(F.col("_key").alias(key), *(F.col(m).cast("long").alias(m) for m in MEASURES))
+    return d.select(F.col("_key").alias(key or "row"), *(F.col(m).cast("long").alias(m) for m in MEASURES))
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, key: str | None = "doc_id", text: str = "text") -> DataFrame:
     """The measurements and ``failed``: bit i is set where rule i of ``RULES`` fails."""
     bits = " + ".join(f"CASE WHEN {sql} THEN {1 << i}L ELSE 0L END" for i, sql in enumerate(RULES.values()))
     return measure(docs, key, text).withColumn("failed", F.expr(bits))
@@ -98,6 +98,11 @@ def verdict(policy: str) -> Column:
     return F.expr(f"(failed & {mask_of(POLICIES[policy])}L) = 0")
 
 
+def passing(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns."""
+    return ledger(docs, None, text).where(verdict(policy)).select("row.*")
+
+
 def ablation(book: DataFrame, policy: str) -> DataFrame:
     """Per rule of a policy: documents that fail it, and those that only it rejects (kept if it were dropped).
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedquorum.llm import text as T
+from seedquorum.plans.shipping import ship
 from seedquorum.plans.workspace import Workspace
 
 MAX_ROWS = 20_000
@@ -137,40 +138,64 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     return b, chosen, w
 
 
+class Scorer:
+    """Scores the texts of a batch with one model."""
+
+    def __init__(self, model: tuple[float, np.ndarray, np.ndarray], threshold: float):
+        self.bias, chosen, w = model
+        self.threshold = threshold
+        self.weight = np.zeros((1 << BITS) + 1)
+        self.weight[chosen] = np.where(w > 1e-3, w, 0)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores, and the sentences at or above the threshold."""
+        data, offs = T.flat(column)
+        scores, found = [np.zeros(0)], []
+        for i, j in T.blocks(offs):
+            part, b = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            f, sent, s_start, s_end = features(part, b)
+            z = np.full(len(s_start), self.bias)
+            z += np.bincount(sent, self.weight[f].sum(1), len(s_start)) if len(f) else 0
+            free = np.append(0.0, np.cumsum(np.logaddexp(0, z)))
+            at = np.searchsorted(s_start, b)
+            scores.append(np.clip(-np.expm1(-(free[at[1:]] - free[at[:-1]])), 0, 1))
+            p = 1 / (1 + np.exp(-z))
+            hot = np.flatnonzero(p >= self.threshold)
+            cut = np.searchsorted(hot, at)
+            for r in range(j - i):
+                own = hot[cut[r] : cut[r + 1]]
+                if len(own):
+                    chars = np.append(0, np.cumsum(part[b[r] : b[r + 1]] & 0xC0 != 0x80))
+                    found.append([{"start": int(chars[s_start[k] - b[r]]), "end": int(chars[s_end[k] - b[r]]), "score": float(p[k])} for k in own])
+                else:
+                    found.append([])
+        return np.concatenate(scores), found
+
+
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, sentences): the sentences at or above the threshold, as code point ranges with their probability."""
-    bias, chosen, w = model
-    kept = w > 1e-3
-    chosen, w = chosen[kept], w[kept].astype(np.float64)  # bounded by the number of features
+    ship(docs.sparkSession)
 
     def run(batches):
-        weight = np.zeros((1 << BITS) + 1)
-        weight[chosen] = w
+        scorer = Scorer(model, threshold)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            data, offs = T.flat(batch.column("text"))
-            scores, found = [], []
-            for i, j in T.blocks(offs):
-                part, b = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                f, sent, s_start, s_end = features(part, b)
-                z = np.full(len(s_start), bias)
-                z += np.bincount(sent, weight[f].sum(1), len(s_start)) if len(f) else 0
-                free = np.append(0.0, np.cumsum(np.logaddexp(0, z)))
-                at = np.searchsorted(s_start, b)
-                scores += [*np.clip(-np.expm1(-(free[at[1:]] - free[at[:-1]])), 0, 1)]
-                p = 1 / (1 + np.exp(-z))
-                hot = np.flatnonzero(p >= threshold)
-                cut, chars = np.searchsorted(hot, at), None
-                for r in range(j - i):
-                    own = hot[cut[r] : cut[r + 1]]
-                    if len(own):
-                        chars = np.append(0, np.cumsum(part[b[r] : b[r + 1]] & 0xC0 != 0x80))
-                        found.append([{"start": int(chars[s_start[k] - b[r]]), "end": int(chars[s_end[k] - b[r]]), "score": float(p[k])} for k in own])
-                    else:
-                        found.append([])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "sentences"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
+            scores, found = scorer(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(found, kind)], ["doc_id", "score", "sentences"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
+
+
+def passing(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        scorer = Scorer(model, threshold)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column("text"))[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold():
@@ -178,8 +203,12 @@ def fold():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
+def fit_on_folds(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """A model from the labels that aren't held out."""
+    return fit(docs, labels.select("doc_id", "toxic").where(fold() != 2))
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold() != 2)
-    out = score(docs, fit(docs, labels))
+    out = score(docs, fit_on_folds(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.select("doc_id", (fold() == 2).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "sentences")
