@@ -1,8 +1,8 @@
 """Encoding whole texts with the tokenizers library, word by word through a bounded cache.
 
 A byte-level BPE splits text before merging, and never across a single space between two characters that aren't white space; so
-the text's ids are the ids of its space-separated words, each with its space. Words repeat, so the library sees each about once per
-worker. Texts where that argument doesn't hold (white space beside a space, a special token's string) go to the library whole.
+the text's ids are the ids of its space-separated words, each with its space. Words and their parts repeat, so the library's BPE model
+sees each part about once per worker. Texts where that argument doesn't hold (white space beside a space, a special token's string) go to the library whole.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: The pattern of the library's byte-level pre-tokenizer (fixed value).
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,7 +27,7 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class WordCache:
-    """Ids of words in one pool of numbers; a word costs a dictionary look-up. Cleared when it holds ``limit`` words."""
+    """Ids of words in one pool of numbers; a word costs a dictionary look-up. Full at ``limit`` words, it keeps those seen again."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], limit: int = CACHE_WORDS):
         self.encode, self.limit = encode, limit
@@ -32,33 +35,45 @@ class WordCache:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.pool, self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.pool, self.start, self.size, self.hits = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _add(self, new: list[str]) -> None:
-        ids = list(self.encode(new))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.number), int(size.sum())
+    def _put(self, new: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        n, total = len(self.number), len(flat)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(new) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
+        self.pool[self.used : self.used + total] = flat
         self.size[n : n + len(new)] = size
         self.start[n : n + len(new)] = self.used + np.cumsum(size) - size
         self.used += total
         self.number.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def _shrink(self) -> None:
+        """Keeps at most half: the words looked up most since the last time."""
+        words, hits = list(self.number), self.hits[: len(self.number)]
+        floor = max(2, int(np.partition(hits, len(hits) // 2)[len(hits) // 2]) + 1)
+        keep = np.flatnonzero(hits >= floor)
+        flat, size = self.ids(keep)
+        self.clear()
+        self._put([words[k] for k in keep], flat, size)
+
     def look_up(self, words: list[str]) -> np.ndarray:
-        """Numbers of words; new ones are encoded."""
-        found = list(map(self.number.get, words))
-        if None in found:
-            if len(self.number) > self.limit:
-                self.clear()
-                found = [None] * len(words)
-            self._add(list(dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None)))
-            found = list(map(self.number.__getitem__, words))
-        return np.array(found, np.int64)
+        """Numbers of words, good until the next call; new ones are encoded."""
+        if len(self.number) > self.limit:
+            self._shrink()
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            absent = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(absent))
+            ids = list(self.encode(new))
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._put(new, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size)
+            found[missing] = list(map(self.number.__getitem__, absent))
+        self.hits += np.bincount(found, minlength=len(self.hits))
+        return found
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in a row, and the count of each word."""
@@ -68,35 +83,63 @@ class WordCache:
         return self.pool[np.repeat(self.start[numbers] - ends + size, size) + np.arange(total)], size
 
 
+#: All white space that either Python or the pre-tokenizer's pattern knows.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_BESIDE = [*(s + " " for s in _SPACES), *(" " + s for s in _SPACES if s != " ")]
+#: Marks a text's first word in the cache, which has no space before it.
+_FIRST = "\x00"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes batches of texts; ``end_id`` is appended to each."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.library, self.end_id = Tokenizer.from_file(path), end_id
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.special = tuple(t["content"] for t in model.get("added_tokens", ()))
-        byte_level = (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space") and not model.get("normalizer")
-        self.by_word = byte_level
-        self.cache = WordCache(lambda new: (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)))
+        pre, bpe = model.get("pre_tokenizer") or {}, model.get("model") or {}
+        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("normalizer") and bpe.get("type", "BPE") == "BPE"
+        self.split, self.letters, self.parts = regex.compile(BYTE_LEVEL).findall, _byte_letters(), {}
+        self.cache = WordCache(self._words)
+
+    def _words(self, new: list[str]) -> Iterable[list[int]]:
+        """Words cut by the byte-level pattern; each distinct part goes through the library's BPE model once while it's cached."""
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        parts, tokenize = self.parts, self.library.model.tokenize
+        for w in new:
+            out: list[int] = []
+            for p in self.split(w[1:] if w[:1] == _FIRST else " " + w):
+                ids = parts.get(p)
+                if ids is None:
+                    ids = parts[p] = [t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))]
+                out += ids
+            yield out
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _plain(self, text: str) -> bool:
         """Every space stands alone between characters that aren't white space."""
-        if not self.by_word or any(s in text for s in self.special):
+        if not self.by_word or _FIRST in text or text[:1].isspace() or text[-1:].isspace():
             return False
-        words = text.split(" ")
-        return all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words)
+        return not any(s in text for s in self.special) and not any(s in text for s in _BESIDE)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, the end id after each text, and each text's count."""
         parts, counts, words, word_counts = [], np.zeros(len(texts), np.int64), [], []
-        plain = [bool(t) and self._plain(t) for t in texts]
 
         def flush(rows: list[int]) -> None:
             if not rows:
@@ -116,10 +159,10 @@ class Encoder:
 
         rows: list[int] = []
         for i, t in enumerate(texts):
-            if plain[i]:
+            if t and self._plain(t):
                 w = t.split(" ")
-                words.append(w[0])
-                words.extend([" " + x for x in w[1:]])
+                w[0] = _FIRST + w[0]
+                words += w
                 word_counts.append(len(w))
                 rows.append(i)
                 if len(words) > 200_000:
