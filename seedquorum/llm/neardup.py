@@ -6,11 +6,12 @@
             sorted by its further minima and id, and each document's neighbours in that order (those of longest common
             prefix, as deep as the region needs) are candidates. The sort is by range with the id last, so a hot region
             spreads over tasks. P(no shared region | similarity 0.8) = (1 - 0.8**4)**24 = 3e-6.
-4. confirm  each document's best candidate by full sets; components of the confirmed links.
-5. the rest regions that still hold several components are compared in blocks, by size and sketch (estimates under
-            0.62 lie five deviations below 0.8), only across components, and again confirmed by full sets.
-            So no cap and no neighbour limit loses a link of a shared region, yet a group of near copies,
-            once joined, costs nothing more.
+4. confirm  each document's closest candidates by full sets; components of the confirmed links.
+5. the rest regions that still hold several components are compared in blocks by size and sketch (estimates under
+            0.62 lie five deviations below 0.8), only across components. A block returns a spanning forest of its
+            candidates; the forests' components are loose clusters, and within each, again in blocks, all candidates are confirmed by
+            full sets until their components meet. So no cap and no neighbour limit loses a link of a shared region, no
+            list of a group's pairs is ever made, and a group of near copies, once joined, costs nothing more.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle are one
 shingle; repeated rows are copies; an empty table gives an empty result; further columns are not read.
@@ -143,27 +144,82 @@ def _neighbours(percent: int):
     return run
 
 
-def _rest(percent: int):
-    """Pairs of different components within one block pair of a region."""
+class _Forest:
+    """Union-find over positions."""
 
-    def run(key, table):
-        rep, n, comp, side = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "side"))
-        small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint8).reshape(-1, WIDTH)
-        same_block = key[1].as_py() == key[2].as_py()
-        left, right = (np.arange(len(rep)),) * 2 if same_block else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        out = []
-        for i in left:
-            js = right[right > i] if same_block else right
-            js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _open_pairs(key, table: pa.Table, percent: int):
+    """(i, js): positions in a block pair that may be similar and lie in different components."""
+    n, comp, side = (table.column(c).to_numpy() for c in ("n", "comp", "side"))
+    small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint8).reshape(-1, WIDTH)
+    same = key[-2].as_py() == key[-1].as_py()
+    left, right = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for i in left:
+        js = right[right > i] if same else right
+        js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+        if len(js):
+            js = js[_estimate((small[js] == small[i]).sum(1)) >= FLOOR]
             if len(js):
-                est = _estimate((small[js] == small[i]).sum(1))
-                out += [(min(rep[i], rep[j]), max(rep[i], rep[j]), e) for j, e in zip(js[est >= FLOOR], est[est >= FLOOR], strict=True)]
-        a, b, e = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "est": pa.array(e, pa.float64())})
+                yield int(i), js.tolist()
+
+
+def _loose(percent: int):
+    """A spanning forest of the candidates in a block pair of a region."""
+
+    def run(key, table):
+        rep, forest, out = table.column("rep").to_numpy(), _Forest(table.num_rows), []
+        for i, js in _open_pairs(key, table, percent):
+            out += [(rep[i], rep[j]) for j in js if forest.join(i, j)]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _settle(k: int, percent: int):
+    """Confirms a block pair's candidates by full sets until their components meet; returns the links that joined some."""
+
+    def run(key, table):
+        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+        sets = list(shingle_sets(table.column("text").combine_chunks(), k))
+        forest, first, out = _Forest(table.num_rows), {}, []
+        for i, c in enumerate(comp):
+            forest.join(i, first.setdefault(c, i))
+        for i, js in _open_pairs(key, table, percent):
+            for j in js:
+                if forest.find(i) != forest.find(j):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        forest.join(i, j)
+                        out.append((rep[i], rep[j]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks (i, j) of its group; ``sizes`` has the group and its number of rows c."""
+    sizes = sizes.select(group, F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, group).withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") <= F.col("other"), 0).otherwise(1)}).drop("own", "other", "blocks")
+
+
 def _confirm(k: int, percent: int):
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -213,27 +269,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, work: Worksp
     def classes(links: DataFrame) -> DataFrame:
         return work.write(connected_components(links, "a", "b", work), "classes")
 
+    # each document's two closest candidates and its smallest: enough to join a group of near copies at once
     both = near.select("a", "b", "est").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    links = confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b1"), F.max_by("b", F.struct("est", F.col("b"))).alias("b2"), F.min_by("b", F.struct(F.col("est") < percent / 100, "b")).alias("b3"))
+    best = best.select("a", F.explode(F.array_distinct(F.array("b1", "b2", "b3"))).alias("b"))
+    tried = work.write(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    links = confirmed(tried, "best")
     found = classes(links)
 
     # the rest: what shares a region but not yet a component
     left = rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     left = work.write(left.select("region", "rep", "n", "small", "comp"), "left")
     mixed = left.groupBy("region").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    mixed = mixed.select("region", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    left = left.join(mixed, "region").withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    left = left.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "n", "comp", "small")
-    rest = left.groupBy("region", "i", "j").applyInArrow(_rest(percent), "a long, b long, est double")
-    rest = work.write(rest.groupBy("a", "b").agg(F.max("est").alias("est")), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, "rest"))
-        found = classes(links)
+    blocks = _in_blocks(left, "region", mixed.select("region", "c"))
+    loose = work.write(blocks.groupBy("region", "i", "j").applyInArrow(_loose(percent), "a long, b long").distinct(), "loose")
+    if not loose.isEmpty():
+        # candidates of one loose cluster are confirmed together, in blocks of it
+        cluster = work.write(connected_components(loose, "a", "b", work).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
+        texts = docs.join(cluster.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+        rows = cluster.join(left.select("rep", "n", "small", "comp").dropDuplicates(["rep"]), "rep").join(texts, "rep")
+        blocks = _in_blocks(rows, "cluster", cluster.groupBy("cluster").agg(F.count("*").alias("c")))
+        more = work.write(blocks.groupBy("cluster", "i", "j").applyInArrow(_settle(k, percent), "a long, b long").distinct(), "links_rest")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = classes(links)
     of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n", "hi", "lo").join(of, ["hi", "lo", "n"], "left")
-    for name in ("own", "rows", "near", "left", "rest", "texts_best", "texts_rest"):
+    for name in ("own", "rows", "near", "tried", "left", "texts_best", "loose", "clusters"):
         work.drop(name)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

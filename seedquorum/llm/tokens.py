@@ -15,7 +15,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: The pattern of the library's byte-level pre-tokenizer (fixed value).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -85,7 +85,6 @@ class WordCache:
 
 #: All white space that either Python or the pre-tokenizer's pattern knows.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
-_BESIDE = [*(s + " " for s in _SPACES), *(" " + s for s in _SPACES if s != " ")]
 #: Marks a text's first word in the cache, which has no space before it.
 _FIRST = "\x00"
 
@@ -116,12 +115,18 @@ class Encoder:
 
     def _words(self, new: list[str]) -> Iterable[list[int]]:
         """Words cut by the byte-level pattern; each distinct part goes through the library's BPE model once while it's cached."""
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_WORDS // 2:
             self.parts = {}
         parts, tokenize = self.parts, self.library.model.tokenize
         for w in new:
             out: list[int] = []
-            for p in self.split(w[1:] if w[:1] == _FIRST else " " + w):
+            if w.isalpha():  # letters are one part, and a full stop or comma after them another
+                cut = (" " + w,)
+            elif w[:-1].isalpha() and w[-1] in ".,":
+                cut = (" " + w[:-1], w[-1])
+            else:
+                cut = self.split(w[1:] if w[:1] == _FIRST else " " + w)
+            for p in cut:
                 ids = parts.get(p)
                 if ids is None:
                     ids = parts[p] = [t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))]
@@ -135,7 +140,7 @@ class Encoder:
         """Every space stands alone between characters that aren't white space."""
         if not self.by_word or _FIRST in text or text[:1].isspace() or text[-1:].isspace():
             return False
-        return not any(s in text for s in self.special) and not any(s in text for s in _BESIDE)
+        return not any(s in text for s in self.special) and not any(s in text and (s + " " in text or " " + s in text) for s in _SPACES)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, the end id after each text, and each text's count."""
