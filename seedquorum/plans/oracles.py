@@ -82,6 +82,9 @@ NEAR = f"{POINTS}, nb AS (SELECT * FROM (SELECT a.obs_id AS src, b.obs_id AS dst
 RADIUS = 0.02
 
 
+_FOUR = f"""{_SCORES}, four AS (SELECT t1.dataset, {", ".join(f"t{i}.ari AS s{i}" for i in range(1, 5))} FROM {" ".join(f"sc t{i}" if i == 1 else f"JOIN sc t{i} ON t{i}.dataset = t1.dataset AND t{i}.method = '{_N[i - 1]}'" for i in range(1, 5))} WHERE t1.method = 'm1')"""
+
+
 def midrank(part: str, value: str) -> str:
     p = f"PARTITION BY {part}" if part else ""
     q = f"PARTITION BY {part + ', ' if part else ''}{value}"
@@ -167,5 +170,11 @@ ORACLES: dict[str, str] = {
     "audit_states": "SELECT doc_id, CASE WHEN quality IS NULL THEN 'absent' WHEN quality <> 1 THEN 'quality' WHEN toxic <> 0 THEN 'toxic' ELSE 'valid' END AS state FROM documents LEFT JOIN labels USING (doc_id)",
     "full_outer_audit": "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' ELSE 'same' END AS status FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer) a FULL JOIN (SELECT s_suppkey AS k, s_nationkey AS v FROM supplier) b ON a.k = b.k",
     "top_per_group": "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3",
+    "unit_table": f"WITH {ISO} SELECT u.*, n_iso_pairs, median_partition_ari, n_divergent, n_divergent / nullif(n_iso_pairs, 0) AS divergent_fraction FROM units u JOIN isos USING (dataset, method) WHERE threshold = 0.02",
+    "frequent_genes": f"WITH {MARK}, fq AS (SELECT dataset, method, domain, gene, count(*) / 20e0 AS frequency FROM mk WHERE rank <= 20 GROUP BY ALL), mf AS (SELECT dataset, method, gene, round(avg(frequency), 9) AS mean_frequency FROM fq GROUP BY ALL), tp AS (SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY mean_frequency DESC, gene) AS rank FROM mf) SELECT dataset, method, gene, rank, mean_frequency, {', '.join(f'max(frequency) FILTER (domain = {k}) AS d{k}' for k in range(5))} FROM tp JOIN fq USING (dataset, method, gene) WHERE rank <= 18 GROUP BY ALL",
+    "set_jaccard": "SELECT l_suppkey, count(*) FILTER (r AND a) AS shared, count(*) AS all_items, count(*) FILTER (r AND a) / count(*) AS jaccard FROM (SELECT l_suppkey, l_partkey, bool_or(l_returnflag = 'R') AS r, bool_or(l_returnflag = 'A') AS a FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY ALL) GROUP BY l_suppkey",
     "scalar_rules": "SELECT l_orderkey, l_linenumber, l_tax / nullif(l_discount, 0) AS ratio, CASE WHEN l_discount >= 0.08 THEN 'high' WHEN l_discount <= 0.02 THEN 'low' ELSE 'intermediate' END AS class, abs(l_discount - l_tax) <= 0.02 + 1e-12 AS iso, l_discount BETWEEN 0.03 AND 0.05 AS inside, starts_with(l_returnflag, 'R') AS returned FROM lineitem",
 }
+ORACLES["stable_unstable"] = f"""WITH {ORACLES["stable_control"].removeprefix("WITH ").rpartition(" SELECT * FROM (SELECT *, gap")[0]}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY CASE WHEN gap <= 0.002 + 1e-12 THEN 0 ELSE 1 END, CASE WHEN gap <= 0.002 + 1e-12 THEN 0 ELSE gap END, stable_ari DESC, stable_r, stable_s) AS k FROM j) WHERE k = 1),
+ fam AS (SELECT dataset AS family, count(*) AS n, median(unstable_ari) AS unstable_median, median(stable_ari) AS stable_median, median(stable_ari) - median(unstable_ari) AS gap FROM best GROUP BY dataset) SELECT *, (SELECT count(*) FILTER (gap >= 0.1) >= 2 FROM fam) AS triggered FROM fam"""
+ORACLES["four_method_ranks"] = f"WITH {_FOUR} " + " UNION ALL ".join(f"SELECT dataset, '{_N[i - 1]}' AS method, 2 + 2 * (" + " + ".join(f"(s{j} > s{i})::INT" for j in range(1, 5) if j != i) + ") + " + " + ".join(f"(s{j} = s{i})::INT" for j in range(1, 5) if j != i) + " AS rank_x2, count(*) AS combos FROM four GROUP BY ALL" for i in range(1, 5))

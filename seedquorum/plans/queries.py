@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
-from seedquorum.operators import agreement, consensus, expression, graph, markers, pairs, ranking, relational, spatial, stats, validate
+from seedquorum.operators import agreement, consensus, expression, frames, graph, markers, pairs, ranking, relational, spatial, stats, validate
 from seedquorum.plans import oracles
 from seedquorum.sources import binding as B
 
@@ -144,6 +144,18 @@ def scalar_rules(s: SparkSession, d: str) -> DataFrame:
     return B.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", S.masked_divide(t, x).alias("ratio"), S.classify(x, 0.08, 0.02).alias("class"), S.iso_accuracy(x, t, 0.02).alias("iso"), x.between(0.03, 0.05).alias("inside"), F.startswith("l_returnflag", F.lit("R")).alias("returned"))
 
 
+def stable_unstable(s: SparkSession, d: str) -> DataFrame:
+    """Partition agreement as the metric, each dataset a family."""
+    sp = seed_pairs(s, d)
+    fam = B.observations(s, d).select("dataset", F.col("dataset").alias("family")).distinct()
+    return frames.stable_unstable(pairs.stable_control(sp), sp.select("dataset", "method", "seed_r", "seed_s", F.col("partition_ari").alias("value")), fam)
+
+
+def part_sets(s: SparkSession, d: str) -> DataFrame:
+    rows = B.table(s, d, "lineitem").selectExpr("l_suppkey", "l_partkey", "l_returnflag")
+    return frames.set_jaccard(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["l_suppkey"], "l_partkey")
+
+
 U = "dataset method"
 P = f"{U} seed_r:i seed_s:i"
 QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
@@ -218,6 +230,11 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "audit_states": ("doc_id:i state", audit_states),
     "full_outer_audit": ("k:i status", _outer),
     "top_per_group": ("o_custkey:i o_orderkey:i o_totalprice:d rank:i", lambda s, d: relational.top_per_group(B.table(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3)),
+    "unit_table": (f"{U} median_reference_ari:d reference_ari_sd:d median_pair_ari:d p05_pair_ari:d min_pair_ari:d n_iso_pairs:i median_partition_ari:d n_divergent:i divergent_fraction:d", lambda s, d: frames.unit_table(units(s, d), iso(s, d))),
+    "frequent_genes": (f"{U} gene:i rank:i mean_frequency:d d0:d d1:d d2:d d3:d d4:d", lambda s, d: frames.frequent_genes(markers.marker_frequency(marks(s, d), TOP))),
+    "stable_unstable": ("family n:i unstable_median:d stable_median:d gap:d triggered", stable_unstable),
+    "set_jaccard": ("l_suppkey:i shared:i all_items:i jaccard:d", part_sets),
+    "four_method_ranks": (f"{U} rank_x2:i combos:i", lambda s, d: ranking.rank_distribution(accuracy(s, d).where("method <> 'm5'"), 4, observed_only=True)),
     "scalar_rules": ("l_orderkey:i l_linenumber:i ratio:d class iso inside returned", scalar_rules),
 }
 
