@@ -56,8 +56,9 @@ def signatures(runs: DataFrame) -> DataFrame:
 def pair_agreement(runs: DataFrame) -> DataFrame:
     """One row per unordered pair of seeds, over all observations: seed_r < seed_s, ari, nmi."""
     rows = runs.groupBy(*UNIT, "obs_id").agg(F.sort_array(F.collect_list(F.struct("seed", "cluster"))).alias("sig"))
-    pairs = F.expr("flatten(transform(sig, (x, i) -> transform(slice(sig, i + 2, size(sig)), y -> struct(x.seed AS seed_r, y.seed AS seed_s, x.cluster AS a, y.cluster AS b))))")
-    rows = rows.select(*UNIT, F.explode(pairs).alias("p")).select(*UNIT, "p.*")
+    # positions i < j by two generated columns, which stay in generated code; higher-order functions would be interpreted
+    rows = rows.where("size(sig) > 1").select("*", F.explode(F.expr("sequence(0, size(sig) - 2)")).alias("i")).select("*", F.explode(F.expr("sequence(i + 1, size(sig) - 1)")).alias("j"))
+    rows = rows.select(*UNIT, F.expr("sig[i].seed AS seed_r"), F.expr("sig[j].seed AS seed_s"), F.expr("sig[i].cluster AS a"), F.expr("sig[j].cluster AS b"))
     keys = [*UNIT, "seed_r", "seed_s"]
     return agreement(contingency(rows, keys, "a", "b"), keys).select(*keys, "n_obs", "ari", "nmi")
 
