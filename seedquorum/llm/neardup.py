@@ -259,9 +259,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, work: Worksp
     in_order = rows.repartitionByRange("region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
     near = work.write(in_order.mapInArrow(_neighbours(percent), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")), "near")
 
+    def fetched(ids: DataFrame, name: str) -> DataFrame:
+        return work.write(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), name)
+
+    ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+    texts = fetched(work.write(ends, "ends"), "texts")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = work.write(docs.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"texts_{name}")
         left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         full = pairs.select("a", "b").join(right, "b").join(left, "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
         return work.write(full.mapInArrow(_confirm(k, percent), "a long, b long"), f"links_{name}")
@@ -286,7 +290,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, work: Worksp
     if not loose.isEmpty():
         # candidates of one loose cluster are confirmed together, in blocks of it
         cluster = work.write(connected_components(loose, "a", "b", work).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
-        texts = docs.join(cluster.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+        # nearly all of them are ends of candidates already
+        absent = work.write(cluster.select(F.col("rep").alias("doc_id")).join(texts, "doc_id", "left_anti"), "absent")
+        if not absent.isEmpty():
+            texts = texts.unionByName(fetched(absent, "texts_absent"))
+        texts = texts.withColumnRenamed("doc_id", "rep")
         rows = cluster.join(left.select("rep", "n", "small", "comp").dropDuplicates(["rep"]), "rep").join(texts, "rep")
         blocks = _in_blocks(rows, "cluster", cluster.groupBy("cluster").agg(F.count("*").alias("c")))
         more = work.write(blocks.groupBy("cluster", "i", "j").applyInArrow(_settle(k, percent), "a long, b long").distinct(), "links_rest")
@@ -295,7 +303,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, work: Worksp
             found = classes(links)
     of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n", "hi", "lo").join(of, ["hi", "lo", "n"], "left")
-    for name in ("own", "rows", "near", "tried", "left", "texts_best", "loose", "clusters"):
+    for name in ("own", "rows", "near", "tried", "left", "ends", "texts", "absent", "texts_absent", "loose", "clusters"):
         work.drop(name)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
