@@ -10,7 +10,7 @@ three fit, a is the longest that fits, b the longest beside it, and no other pai
 is fixed; best-fit decreasing packs the remainder.
 
 Defined cases: null and empty texts are one piece of just the end id; only documents longer than the capacity are cut, and the
-first piece is the shorter one; repeated doc_ids are packed each; an empty table gives no pieces; further columns aren't read.
+first piece is the shorter one; repeated and null doc_ids are packed each; an empty table gives no pieces; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -165,15 +165,15 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches):
         enc = tokens.encoder(path, end_id)
-        for whole in batches:
-            for batch in tokens.slices(whole):
-                ids, n = enc.encode(batch.column("text").to_pylist())
+        for batch in batches:
+            docs = batch.column("doc_id").to_pylist()
+            for i, j, ids, n in enc.slices(batch.column("text")):
                 ids, at = ids.astype("<u4"), 0
                 out = []
-                for doc, k in zip(batch.column("doc_id").to_pylist(), n.tolist(), strict=True):
-                    out += [(doc, i, s, length, zlib.crc32(ids[at + s : at + s + length])) for i, (s, length) in enumerate(cut(k, capacity))]
+                for doc, k in zip(docs[i:j], n.tolist(), strict=True):
+                    out += [(doc, p, s, length, zlib.crc32(ids[at + s : at + s + length])) for p, (s, length) in enumerate(cut(k, capacity))]
                     at += k
-                cols = [*zip(*out, strict=True)] if out else [()] * 5
+                cols = [*zip(*out, strict=True)]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

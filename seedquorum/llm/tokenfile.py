@@ -8,8 +8,8 @@ within its shard.
 Blocks are written as a binary column through Spark's own writer, so any store that Spark reaches will do and a lost
 executor's shard is written again under Spark's commit protocol. The rank table lies beside the shards.
 
-Defined cases: null and empty texts hold just the end id; repeated doc_ids keep a place each (ordered by text); an empty
-table gives no shards; further columns are not read.
+Defined cases: null and empty texts hold just the end id; repeated doc_ids keep a place each (ordered by text); a null doc_id stands
+in the files as the smallest 64-bit number, comes first and is read back as null; an empty table gives no shards; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ _HEAD = struct.Struct("<4sQQQQ")
 #: Lengths of the four ids under each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 BLOCK_IDS = 1 << 20
+NO_ID = -(1 << 63)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -75,25 +76,30 @@ def unpack_block(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 
 def _tokenize(path: str, end_id: int):
-    """Texts in ascending doc_id order to blocks of plain ids; the partition is the shard."""
+    """Texts in ascending doc_id order to blocks of plain ids; the partition is the shard. Its last row, block -1, counts its ids."""
 
     def run(batches):
         enc, shard, block, start = tokens.encoder(path, end_id), TaskContext.get().partitionId(), 0, 0
-        docs, sizes, parts, held = [], [], [], 0
+        docs, sizes, parts, held, total = [], [], [], 0, np.zeros(1 << 16, np.int64)
+
+        def row(block: int, start: int, n: int, width: int, *raw: np.ndarray) -> pa.RecordBatch:
+            cols = [(shard, pa.int32()), (block, pa.int32()), (start, pa.int64()), (n, pa.int64()), (width, pa.int32()), *((x.tobytes(), pa.binary()) for x in raw)]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in cols], ["shard", "block", "start", "n_ids", "width", "docs", "sizes", "ids"])
 
         def out():
-            nonlocal block, start, docs, sizes, parts, held
+            nonlocal block, start, docs, sizes, parts, held, total
             ids = np.concatenate(parts)
+            c = np.bincount(ids, minlength=len(total))
+            c[: len(total)] += total
             raw = ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4")
-            cols = [(shard, pa.int32()), (block, pa.int32()), (start, pa.int64()), (held, pa.int64()), (raw.dtype.itemsize, pa.int32()), (np.concatenate(docs).astype("<i8").tobytes(), pa.binary()), (np.concatenate(sizes).astype("<u4").tobytes(), pa.binary()), (raw.tobytes(), pa.binary())]
-            made = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in cols], ["shard", "block", "start", "n_ids", "width", "docs", "sizes", "ids"])
-            block, start, docs, sizes, parts, held = block + 1, start + held, [], [], [], 0
+            made = row(block, start, held, raw.dtype.itemsize, np.concatenate(docs).astype("<i8"), np.concatenate(sizes).astype("<u4"), raw)
+            block, start, docs, sizes, parts, held, total = block + 1, start + held, [], [], [], 0, c
             return made
 
-        for whole in batches:
-            for batch in tokens.slices(whole):
-                ids, n = enc.encode(batch.column("text").to_pylist())
-                docs.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
+        for batch in batches:
+            own = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            for i, j, ids, n in enc.slices(batch.column("text")):
+                docs.append(own[i:j])
                 sizes.append(n)
                 parts.append(ids)
                 held += len(ids)
@@ -101,6 +107,8 @@ def _tokenize(path: str, end_id: int):
                     yield out()
         if held:
             yield out()
+        hit = np.flatnonzero(total)
+        yield row(-1, 0, 0, 0, np.zeros(0), hit.astype("<i8"), total[hit].astype("<i8"))
 
     return run
 
@@ -112,16 +120,10 @@ def _ids(width: int, raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype(np.int64)
 
 
-def _count(batches):
-    total = np.zeros(1 << 16, np.int64)
+def _counts(batches):
     for batch in batches:
-        for width, raw in zip(batch.column("width").to_pylist(), batch.column("ids"), strict=True):
-            c = np.bincount(_ids(width, raw.as_buffer()))
-            if len(c) > len(total):
-                total = np.append(total, np.zeros(len(c) - len(total), np.int64))
-            total[: len(c)] += c
-    hit = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["id", "n"])
+        for ids, n in zip(batch.column("sizes"), batch.column("ids"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), "<i8")) for x in (ids, n)], ["id", "n"])
 
 
 def _write(ids_by_rank: np.ndarray):
@@ -140,17 +142,18 @@ def _write(ids_by_rank: np.ndarray):
 def write_token_files(docs: DataFrame, target: str, path: str, end_id: int, shards: int | None = None) -> None:
     """Encodes ``docs`` (doc_id, text) and writes ``target``/shards and ``target``/ranks.
 
-    One shuffle, of the texts, puts documents in order; the ids are kept once as plain blocks until their frequencies are known.
+    One shuffle, of the texts, puts documents in order; the ids are kept once as plain blocks, with their counts per shard, until
+    their frequencies are known.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "tokens")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     made = work.write(in_order.mapInArrow(_tokenize(path, end_id), _PLAIN), "ids", compression="zstd")
-    counts = made.select("width", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = made.where("block < 0").select("sizes", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.array([r["id"] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], np.int64)  # at most the vocabulary
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank int, id long").coalesce(1).write.parquet(f"{target}/ranks")
-    made.mapInArrow(_write(by_rank), "shard int, block int, n_ids long, payload binary").write.option("compression", "none").parquet(f"{target}/shards")
+    made.where("block >= 0").mapInArrow(_write(by_rank), "shard int, block int, n_ids long, payload binary").write.option("compression", "none").parquet(f"{target}/shards")
     work.close()
 
 
@@ -166,7 +169,7 @@ def read_token_files(spark: SparkSession, target: str) -> DataFrame:
                 ids = by_rank[r]
                 cut = np.append(0, np.cumsum(sizes, dtype=np.int64))
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), shard, np.int32)), pa.array(docs), pa.array(start + cut[:-1]), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "doc_id", "own", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), shard, np.int32)), pa.array(docs, mask=docs == NO_ID), pa.array(start + cut[:-1]), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["shard", "doc_id", "own", "n_tokens", "ids_crc32"])
 
     shards = spark.read.parquet(f"{target}/shards")
     totals = shards.groupBy("shard").agg(F.sum("n_ids").alias("n"))

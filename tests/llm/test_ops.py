@@ -137,16 +137,16 @@ def test_suffix_sorter_verifies_bytes(monkeypatch):
         assert all(strings[order[k]][: ext[k]] == strings[order[k - 1]][: ext[k]] for k in range(1, 50))
 
 
-def test_encoder_is_the_library():
-    from tokenizers import Tokenizer
-
-    lib, enc = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path(), 2)
-    enc.cache.limit = 50
-    all_ = [*texts(20), "a  b", " a", "a ", "x \n y", "it's 12'll", "a\x1c b", "\x00ab c", "tab\tx y", "½ ² a_b", "a,b c, d. e."]
-    for part in (all_, all_[::-1]):
-        ids, n = enc.encode(part)
-        cut = np.append(0, np.cumsum(n))
-        assert all(ids[cut[i] : cut[i + 1]].tolist() == [*lib.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(part))
+def test_encoder_is_the_library(monkeypatch):
+    enc = tokens.Encoder(tokens.default_path(), 2)
+    all_ = [*texts(20), "a  b", " a", "a ", "x \n y", "it's 12'll", "a\x1c b", "\x00ab c", "tab\tx y", "½ ² a_b", "a,b c, d. e.", "a\nB c.\nDe\n\nf"]
+    r = random.Random(9)
+    parts = [" ", " ", "\n", "a", "Zb", "é", "'s", "'", "!", ".", "\u00a0", "\t", "\u2009", "1", "²", "e\u0301", "日", "<|endoftext|>", "\n\n", "_", "×", "\r\n", "\x00", "\u3000", "😀", "\u0085"]
+    all_ += ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(5000)]
+    for size in (tokens.SLICE, 300):
+        got = [(ids, n) for _, _, ids, n in enc.slices(pa.array(all_), size)]
+        ids, cut = np.concatenate([x for x, _ in got]), np.append(0, np.cumsum(np.concatenate([n for _, n in got])))
+        assert all(ids[cut[i] : cut[i + 1]].tolist() == [*(enc.whole(t) if t else ()), 2] for i, t in enumerate(all_))
 
 
 def test_rank_coding_round_trip():
@@ -160,10 +160,13 @@ def test_token_files(docs, rows, none, tmp_path, spark):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokens.default_path())
+    docs = docs.unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [*rows, (None, dict(rows)[3])]
     tokenfile.write_token_files(docs, str(tmp_path / "a"), tokens.default_path(), 2, shards=3)
-    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read_token_files(spark, str(tmp_path / "a")).collect())
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read_token_files(spark, str(tmp_path / "a")).collect()), key=key)
     start, want = 0, []
-    for i, t in sorted(rows, key=lambda x: x[0]):
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -172,9 +175,20 @@ def test_token_files(docs, rows, none, tmp_path, spark):
     assert tokenfile.read_token_files(spark, str(tmp_path / "b")).count() == 0
 
 
-def test_packing(docs, rows, none):
-    got = packing.pack_documents(docs, capacity=64).collect()
-    assert sum(r["length"] for r in got) and packing.pack_documents(none).count() == 0
+@pytest.mark.parametrize("capacity", [64, packing.CAPACITY])
+def test_packing(docs, rows, none, capacity):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokens.default_path())
+    docs, rows = docs.unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))), [*rows, (None, dict(rows)[3])]
+    want, total = collections.Counter(), 0
+    for i, t in rows:
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
+        want.update((i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(itertools.pairwise(cuts)))
+        total += len(ids)
+    got = packing.pack_documents(docs, capacity=capacity).collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     by = collections.defaultdict(list)
     for r in got:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -183,8 +197,8 @@ def test_packing(docs, rows, none):
         for o, n in sorted(parts):
             assert o == at
             at += n
-        assert at <= 64
-    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+        assert at <= capacity
+    assert len(by) <= 1 + 1.1 * total / capacity and packing.pack_documents(none).count() == 0
 
 
 def test_solver_is_near_optimal():
