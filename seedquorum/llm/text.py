@@ -64,13 +64,18 @@ def blocks(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def value_sums(values: np.ndarray) -> np.ndarray:
     """P with P[j] - P[i] = sum of value * RADIX**k over i <= k < j."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(len(data)), out=out[1:])
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=out[1:])
     return out
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """``value_sums`` of bytes."""
+    return value_sums(BYTE_VALUE[data])
+
+
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Position-free hash of byte ranges."""
     return (sums[end] - sums[start]) * powers(len(sums), "down")[start]
@@ -89,6 +94,25 @@ def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
+def exact_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, letters as they are."""
+    start, end = runs(~IS_SPACE[data], bounds)
+    return mix(range_hash(prefix_sums(data), start, end) + (end - start).astype(np.uint64)), start, end, np.searchsorted(start, bounds)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(columns: list[str]) -> list[str]:
+    """Names by place, for calls that take no name with a dot."""
+    return [f"c{i}" for i in range(len(columns))]
+
+
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of rows: their hashes (A-Z lower-cased), starts, ends, and per row the range of its words (n + 1)."""
     start, end = runs(~IS_SPACE[data], bounds)

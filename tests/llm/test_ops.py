@@ -122,6 +122,40 @@ def test_repeated_passages(docs, rows, none, hot):
     assert passages.without_repeats(docs).schema == docs.schema
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeated_words(spark, hot, monkeypatch):
+    """Windows of words that another document has, whatever white space is between; rows of one id, null too, are one document."""
+    monkeypatch.setattr(passages, "HOT", hot)
+    r = random.Random(4)
+    shared = [[r.choice(WORDS) for _ in range(n)] for n in (51, 50, 60, 51)]
+    rows = []
+    for i in range(60):
+        own = [r.choice(WORDS) for _ in range(r.randint(20, 80))]
+        for s in r.sample(shared, r.randint(0, 2)):
+            k = r.randrange(len(own))
+            own[k:k] = s
+        rows.append((i // 2 if i > 50 else i, "".join(w + r.choice([" ", "\n", "\t "]) for w in own)))
+    own = [r.choice(WORDS) for _ in range(70)]
+    rows += [(100, " ".join(own + ["x"] + own)), (None, " ".join(shared[0])), (None, " ".join(own[:5] + shared[0])), (101, None), (102, ""), (103, " ".join(shared[1]))]
+    holders = collections.defaultdict(set)
+    split = [(i, list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows]
+    for i, w in split:
+        for k in range(len(w) - 50):
+            holders[tuple(m.group() for m in w[k : k + 51])].add(i)
+    want = []
+    for i, w in split:
+        gone = set()
+        for k in range(len(w) - 50):
+            if len(holders[tuple(m.group() for m in w[k : k + 51])]) > 1:
+                gone |= set(range(w[k].start(), w[k + 50].end()))
+        want.append((str(i), sum(p - 1 not in gone for p in gone), len(gone)))
+    docs = spark.createDataFrame([(*x, "d", "r", 3) for x in rows], "doc_id long, text string, own_doc string, `own.ranges` string, n_chars int")
+    got = sorted((str(x["doc_id"]), len(x["spans"]), x["n_removed"]) for x in passages.remove_repeated(docs, kind=passages.WORDS).collect())
+    assert got == sorted(want) and sum(x[2] > 0 for x in want) > 20 and ("100", 0, 0) in want
+    out = passages.without_repeats(docs, kind=passages.WORDS)
+    assert out.columns == docs.columns and sorted((str(x["doc_id"]), len(x["text"] or "") + 0) for x in out.collect()) == sorted((str(i), len(t or "") - n) for (i, t), (_, _, n) in zip(rows, want, strict=True))
+
+
 def test_suffix_sorter_verifies_bytes(monkeypatch):
     """With a hash that calls everything equal, the order still comes from the bytes."""
     r = random.Random(1)
