@@ -14,14 +14,14 @@ def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(a.alias("a"), b.alias("b")).distinct()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, work: Workspace) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    low = work.write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large_star")
     return both.where("v > u").join(low, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("b").agg(F.min("a").alias("m"))
+def _small_star(e: DataFrame, work: Workspace) -> DataFrame:
+    low = work.write(e.groupBy("b").agg(F.min("a").alias("m")), "small_star")
     moved = e.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
 
@@ -31,19 +31,19 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", work: Workspace | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` for every vertex that has an edge; component is its smallest reachable id.
 
-    Alternating large-star and small-star rounds; each round is two joins of edges with per-vertex minima, so no
-    neighbour list is ever gathered in one task and a hub's edges stay splittable. O(log n) rounds in practice.
+    Alternating large-star and small-star rounds; each round is two joins of edges with written tables of per-vertex minima, so no
+    neighbour list is ever gathered in one task, and Spark can split a hub's edges between tasks. O(log n) rounds in practice.
     An empty edge table gives an empty result; repeated edges and self loops don't matter.
     """
-    spark = edges.sparkSession
-    work = work or Workspace(spark, "components")
+    work = Workspace(edges.sparkSession, "components")
     e = work.write(undirected(edges, src, dst), "edges")
     before = _mark(e)
     while before[0]:
-        e = work.write(_small_star(_large_star(e)), "edges")
+        e = work.write(_large_star(e, work), "edges")
+        e = work.write(_small_star(e, work), "edges")
         after = _mark(e)
         if after == before:
             break

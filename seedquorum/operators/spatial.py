@@ -46,14 +46,15 @@ def nearest(points: DataFrame, k: int, per_cell: float = 4.0, work: Workspace |
         return points.selectExpr("dataset", "obs_id AS src", "obs_id AS dst", "x AS distance", "1 AS rank")
     area = max(box[0], 1e-9) * max(box[1], 1e-9)
     side = max((area * per_cell / box[2]) ** 0.5, max(box[0], box[1]) / 1e6, 1e-9)
-    left, out = points, None
+    left, out, ring = points, None, 0
     while True:
+        ring += 1
         a = _cells(left, side, 1, ("src", "x", "y"))
         b = _cells(points, side, 0, ("dst", "x2", "y2"))
         rows = a.join(b, ["dataset", "ci", "cj"]).where("src <> dst").withColumn("distance", _distance())
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("dataset", "src").orderBy("distance", "dst"))).where(F.col("rank") <= k)
         whole = side > 2 * max(box[0], box[1])
-        rows = work.write(rows.select("dataset", "src", "dst", "distance", "rank"), "ring")
+        rows = work.write(rows.select("dataset", "src", "dst", "distance", "rank"), f"ring{ring}")
         # within one cell of a point all neighbours up to ``side`` away were met
         done = rows.groupBy("dataset", "src").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(F.lit(whole) | ((F.col("n") == k) & (F.col("far") < side))).select("dataset", "src")
         got = rows.join(done, ["dataset", "src"], "left_semi")

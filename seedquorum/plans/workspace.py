@@ -18,6 +18,8 @@ from seedquorum.plans.shipping import ship
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; set to a new temporary one if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="seedquorum-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -26,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Written tables of one call. ``write`` returns the table as read back; ``drop`` removes one; all go when Python ends."""
+    """Written tables of one call. ``write`` returns the table as read back and removes an earlier one of that name; ``drop``
+    removes one; all go when Python ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -36,8 +39,11 @@ class Workspace:
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        path, before = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}", self.paths.get(name)
         df.write.option("compression", compression).parquet(path)
+        self.paths[name] = path
+        if before:
+            self._remove(before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _remove(self, path: str) -> None:
