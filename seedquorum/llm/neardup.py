@@ -1,20 +1,25 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
 1. sketch   one pass over the texts: set size, a 128-bit digest of the shingle set, 128 minima of 32 bits.
-2. collapse documents of equal sets to their smallest id, so copies never meet each other again.
-3. forest   24 signature orders. In each, documents that share the first four minima form a region; the region is
-            sorted by its further minima and id, and each document's neighbours in that order (those of longest common
-            prefix, as deep as the region needs) are candidates. The sort is by range with the id last, so a hot region
-            spreads over tasks. P(no shared region | similarity 0.8) = (1 - 0.8**4)**24 = 3e-6.
-4. confirm  each document's closest candidates by full sets; components of the confirmed links.
-5. the rest regions that still hold several components are compared in blocks by size and sketch (estimates under
-            0.62 lie five deviations below 0.8), only across components. A block returns a spanning forest of its
-            candidates; the forests' components are loose clusters, and within each, again in blocks, all candidates are confirmed by
-            full sets until their components meet. So no cap and no neighbour limit loses a link of a shared region, no
-            list of a group's pairs is ever made, and a group of near copies, once joined, costs nothing more.
+2. collapse documents of equal sets to one point, so copies never meet each other again.
+3. forest   24 signature orders of up to twelve minima. The points of an order are sorted by their minima (by range, with the
+            point's number last, so a hot stretch spreads over tasks); the common prefix with the neighbours before is computed, and
+            neighbours that share four minima or more are candidates: in a dense region they share a long prefix, in a
+            sparse one a short one. P(no order with four in common | similarity 0.8) = (1 - 0.8**4)**24 = 3e-6.
+4. confirm  of each point the candidate of longest prefix, the most alike and the smallest, by full sets; components of these links.
+5. the rest regions (points with four minima in common) that still hold several components. One of at most ``BLOCK`` points is a
+            leaf. The points of larger ones are dealt anew, deeper: 160 orders of eight minima (a pair of similarity 0.8 shares none with
+            probability 5e-6), whose regions are leaves again. So a point stands in at most 24 + 160 leaves however large its region was.
+            A leaf finds its candidates across components by sketch (estimates under 0.62 lie five deviations below 0.8) and returns a
+            spanning forest; the forests' components are loose clusters. All candidates in a cluster (in pairs of blocks while these copy
+            a point at most ``TREES`` times, else in its leaves) are confirmed by full sets until their components meet. No cap and
+            no neighbour limit loses a link of a shared region, no list of a group's pairs is made, and a group of near copies, once
+            joined, costs nothing more. Only the sketches of a region of eight common minima that still holds over ``BLOCK`` points of
+            several components are copied more often, once per block of it.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle are one
-shingle; repeated rows are copies; an empty table gives an empty result; further columns are not read.
+shingle; repeated rows are copies; rows of one doc_id with different texts are points of their own, each with its row in the
+result; a null doc_id is never a class's id unless all its rows are null; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +34,17 @@ from seedquorum.operators.graph import connected_components
 from seedquorum.plans.workspace import Workspace
 
 TREES, DEPTH, WIDTH, TAIL = 24, 4, 128, 8
+DEEPER, DEEP = 160, 8
 FLOOR = 0.62
 BLOCK = 1024
 NEIGHBOURS = 2
+_NO_ID = -(1 << 63)
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64)
+#: The minima of each order of the forest, and of the deeper ones.
+_ORDERS = [(np.arange(t * DEPTH, t * DEPTH + DEPTH + TAIL) % WIDTH) for t in range(TREES)]
+_DEEP_ORDERS = [_rng.permutation(WIDTH)[:DEEP] for _ in range(DEEPER)]
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -79,39 +89,52 @@ def _sketch(k: int):
                 lo.append(int(T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0)
                 sig.append(signature(s).tobytes() if len(s) else None)
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), as_long(hi), as_long(lo), pa.array(sig, pa.binary())], ["doc_id", "n", "hi", "lo", "sig"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc", "th")), pa.array(n, pa.int64()), as_long(hi), as_long(lo), pa.array(sig, pa.binary())], ["doc_id", "doc", "th", "n", "hi", "lo", "sig"])
 
     return run
 
 
-def _forest(batches):
-    """A row per document and tree: the region's key."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
-        ids = batch.column("rep").to_numpy()
-        for t in range(TREES):
-            x = np.full(len(ids), t + 1, np.uint64)
-            for d in range(DEPTH):
-                x = T.mix(x * np.uint64(0x9E6C63D0876A9A47) + sig[:, t * DEPTH + d])
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(ids), t, np.int32)), pa.array(ids)], ["region", "tree", "rep"])
+def _signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
+
+
+def _regions(orders: list[np.ndarray], depth: int, seed: int):
+    """A row per point and order: the key of the region that shares the order's first minima."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, ids = _signatures(batch), batch.column("point")
+            for t, order in enumerate(orders):
+                x = np.full(len(sig), seed + t, np.uint64)
+                for d in order[:depth]:
+                    x = T.mix(x * np.uint64(0x9E6C63D0876A9A47) + sig[:, d])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(sig), t, np.int32)), ids], ["region", "tree", "point"])
+
+    return run
+
+
+def _small(sig: np.ndarray) -> pa.Array:
+    """A byte of each minimum as sketch."""
+    return pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
 
 
 def _tails(batches):
-    """The further minima of the tree's order, big-endian so that bytes sort, and a byte of each minimum as sketch."""
+    """The order's further minima, big-endian so that bytes sort."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
-        tree = batch.column("tree").to_numpy()
-        cols = (tree[:, None] * DEPTH + DEPTH + np.arange(TAIL)) % WIDTH
+        sig = _signatures(batch)
+        cols = np.array([o[DEPTH:] for o in _ORDERS])[batch.column("tree").to_numpy()]
         tail = np.take_along_axis(sig, cols, 1).astype(">u4")
-        small = (sig & 0xFF).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("region"), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column("rep"), batch.column("n"), pa.array([x.tobytes() for x in small], pa.binary())],
-            ["region", "tail", "rep", "n", "small"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("region"), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column("point"), batch.column("n"), _small(sig)], ["region", "tail", "point", "n", "small"])
+
+
+def _sketches_of(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column("point"), batch.column("n"), _small(_signatures(batch))], ["point", "n", "small"])
 
 
 def _estimate(same: np.ndarray) -> np.ndarray:
@@ -120,16 +143,18 @@ def _estimate(same: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(percent: int):
-    """Candidates in the sorted order: a document and its predecessors within the region."""
+    """Candidates in the sorted order: a point and those before it, with the minima that their prefixes have in common."""
 
     def pairs(batch):
-        region, rep, n = (batch.column(c).to_numpy() for c in ("region", "rep", "n"))
+        region, point, n = (batch.column(c).to_numpy() for c in ("region", "point", "n"))
         small = np.frombuffer(b"".join(batch.column("small").to_pylist()), np.uint8).reshape(-1, WIDTH)
+        tail = np.frombuffer(b"".join(batch.column("tail").to_pylist()), ">u4").reshape(-1, TAIL)
         for d in range(1, NEIGHBOURS + 1):
+            shared = DEPTH + np.logical_and.accumulate(tail[d:] == tail[:-d], axis=1).sum(1)
             est = _estimate((small[d:] == small[:-d]).sum(1))
-            ok = (region[d:] == region[:-d]) & (est >= FLOOR) & (100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d])) & (rep[d:] != rep[:-d])
-            a, b = rep[d:][ok], rep[:-d][ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est[ok])], ["a", "b", "est"])
+            ok = (region[d:] == region[:-d]) & (est >= FLOOR) & (100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d])) & (point[d:] != point[:-d])
+            a, b = point[d:][ok], point[:-d][ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared[ok].astype(np.int32)), pa.array(est[ok])], ["a", "b", "shared", "est"])
 
     def run(batches):
         before = None
@@ -162,50 +187,83 @@ class _Forest:
         return i != j
 
 
-def _open_pairs(key, table: pa.Table, percent: int):
-    """(i, js): positions in a block pair that may be similar and lie in different components."""
+def _open_pairs(table: pa.Table, percent: int):
+    """(i, js): positions in a leaf, or in a pair of blocks, that may be similar and lie in different components."""
     n, comp, side = (table.column(c).to_numpy() for c in ("n", "comp", "side"))
     small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint8).reshape(-1, WIDTH)
-    same = key[-2].as_py() == key[-1].as_py()
-    left, right = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    for i in left:
-        js = right[right > i] if same else right
+    for i in range(len(n)):
+        js = np.arange(i + 1, len(n))
+        js = js[side[js] != side[i]] if side.any() else js
         js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
         if len(js):
             js = js[_estimate((small[js] == small[i]).sum(1)) >= FLOOR]
             if len(js):
-                yield int(i), js.tolist()
+                yield i, js.tolist()
 
 
 def _loose(percent: int):
-    """A spanning forest of the candidates in a block pair of a region."""
+    """A spanning forest of the candidates in a leaf."""
 
-    def run(key, table):
-        rep, forest, out = table.column("rep").to_numpy(), _Forest(table.num_rows), []
-        for i, js in _open_pairs(key, table, percent):
-            out += [(rep[i], rep[j]) for j in js if forest.join(i, j)]
+    def run(table: pa.Table) -> pa.Table:
+        point, forest, out = table.column("point").to_numpy(), _Forest(table.num_rows), []
+        for i, js in _open_pairs(table, percent):
+            out += [(point[i], point[j]) for j in js if forest.join(i, j)]
         a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        leaf = table.column("leaf")[0].as_py()
+        return pa.table({"leaf": pa.array([leaf] * len(out), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _loose_leaves(percent: int):
+    """``_loose`` of every leaf of several components; rows come sorted by leaf, many small leaves in a batch."""
+    one = _loose(percent)
+
+    def work(rows: pa.Table):
+        region, comp = rows.column("region").to_numpy(), rows.column("comp").to_numpy()
+        first = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+        size = np.diff(np.append(first, len(region)))
+        open_ = (np.minimum.reduceat(comp, first) < np.maximum.reduceat(comp, first)) & (size <= BLOCK)
+        for k in np.flatnonzero(open_):
+            yield from one(rows.slice(int(first[k]), int(size[k]))).to_batches()
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= 20_000:
+                rows = pa.Table.from_batches(held)
+                region = rows.column("region").to_numpy()
+                cut = int(np.searchsorted(region, region[-1]))  # the last leaf may go on
+                if cut:
+                    yield from work(rows.slice(0, cut))
+                held, n = rows.slice(cut).to_batches(), rows.num_rows - cut
+        if held:
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
 def _settle(k: int, percent: int):
-    """Confirms a block pair's candidates by full sets until their components meet; returns the links that joined some."""
+    """Confirms a group's candidates by full sets until their components meet; returns the links that joined some."""
 
-    def run(key, table):
-        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        point, comp = table.column("point").to_numpy(), table.column("comp").to_numpy()
         sets = list(shingle_sets(table.column("text").combine_chunks(), k))
         forest, first, out = _Forest(table.num_rows), {}, []
         for i, c in enumerate(comp):
             forest.join(i, first.setdefault(c, i))
-        for i, js in _open_pairs(key, table, percent):
+        for i, js in _open_pairs(table, percent):
             for j in js:
                 if forest.find(i) != forest.find(j):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                         forest.join(i, j)
-                        out.append((rep[i], rep[j]))
+                        out.append((point[i], point[j]))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -213,11 +271,12 @@ def _settle(k: int, percent: int):
 
 
 def _in_blocks(rows: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
-    """Each row once for every pair of blocks (i, j) of its group; ``sizes`` has the group and its number of rows c."""
-    sizes = sizes.select(group, F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, group).withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    """Leaves of whole groups, or, of those over ``BLOCK``, of each pair of blocks: leaves of two sides. ``sizes``: group and rows c."""
+    sizes = sizes.select(group, F.when(F.col("c") <= BLOCK, 1).otherwise(F.ceil(F.col("c") * 2 / BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, group).withColumn("own", F.expr("cast(pmod(xxhash64(point), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.when(F.col("own") <= F.col("other"), 0).otherwise(1)}).drop("own", "other", "blocks")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return rows.select(F.concat_ws(":", F.lit(group), group, low, high).alias("leaf"), "point", "n", "small", "comp", F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0).alias("side"))
 
 
 def _confirm(k: int, percent: int):
@@ -241,78 +300,124 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id): classes of ``docs`` (doc_id, text) under similarity >= percent / 100."""
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = work.write(docs.mapInArrow(_sketch(k), "doc_id long, n long, hi long, lo long, sig binary"), "sketches")
-    some = sketches.where("n > 0")
-    reps = some.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    own = some.join(reps.select("rep"), some.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sig")
-    own = work.write(own, "own")
-    rows = work.write(own.select("rep", "sig").mapInArrow(_forest, "region long, tree int, rep long"), "regions")
+def _classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+    """(doc_id, doc, th, n, point, component): a row per row of ``docs``; doc is the id, the least long for null; point and component are null for empty sets."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
+    sketches = work.write(docs.mapInArrow(_sketch(k), "doc_id long, doc long, th long, n long, hi long, lo long, sig binary"), "sketches")
+    own = sketches.where("n > 0").groupBy("hi", "lo", "n").agg(F.min(F.struct("doc", "th")).alias("r"), F.first("sig").alias("sig"))
+    own = work.write(own.select("hi", "lo", "n", "r.*", "sig", F.monotonically_increasing_id().alias("point")), "own")
+    rows = work.write(own.select("point", "sig").mapInArrow(_regions(_ORDERS, DEPTH, 1), "region long, tree int, point long"), "regions")
     shared = rows.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-    rows = rows.join(shared, "region").join(own, "rep").select("region", "tree", "rep", "n", "sig")
-    rows = work.write(rows.mapInArrow(_tails, "region long, tail binary, rep long, n long, small binary"), "rows")
+    rows = rows.join(shared, "region", "left_semi").join(own.select("point", "n", "sig"), "point").select("region", "tree", "point", "n", "sig")
+    rows = work.write(rows.mapInArrow(_tails, "region long, tail binary, point long, n long, small binary"), "rows")
     work.drop("regions")
-    in_order = rows.repartitionByRange("region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
-    near = work.write(in_order.mapInArrow(_neighbours(percent), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")), "near")
+    in_order = rows.repartitionByRange("region", "tail", "point").sortWithinPartitions("region", "tail", "point")
+    near = in_order.mapInArrow(_neighbours(percent), "a long, b long, shared int, est double")
+    near = work.write(near.groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("est").alias("est")), "near")
 
-    def fetched(ids: DataFrame, name: str) -> DataFrame:
-        return work.write(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), name)
+    def fetched(points: DataFrame, name: str) -> DataFrame:
+        wanted = points.join(own.select("point", "doc", "th"), "point")
+        return work.write(docs.join(wanted, ["doc", "th"]).dropDuplicates(["point"]).select("point", "text"), name)
 
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+    ends = near.select(F.col("a").alias("point")).union(near.select(F.col("b").alias("point"))).distinct()
     texts = fetched(work.write(ends, "ends"), "texts")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        left, right = texts.select(F.col("point").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("point").alias("b"), F.col("text").alias("text_b"))
         full = pairs.select("a", "b").join(right, "b").join(left, "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
         return work.write(full.mapInArrow(_confirm(k, percent), "a long, b long"), f"links_{name}")
 
-    def classes(links: DataFrame) -> DataFrame:
-        return work.write(connected_components(links, "a", "b", work), "classes")
+    def classes(links: DataFrame, name: str) -> DataFrame:
+        return work.write(connected_components(links, "a", "b").withColumnRenamed("id", "point"), name)
 
-    # each document's two closest candidates and its smallest: enough to join a group of near copies at once
-    both = near.select("a", "b", "est").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b1"), F.max_by("b", F.struct("est", F.col("b"))).alias("b2"), F.min_by("b", F.struct(F.col("est") < percent / 100, "b")).alias("b3"))
+    # each point's neighbour of longest prefix, most alike and smallest: enough to join a group of near copies at once
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "est"))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", "est", F.col("b"))).alias("b1"), F.max_by("b", F.struct("est", -F.col("b"))).alias("b2"), F.min_by("b", F.struct(F.col("est") < percent / 100, "b")).alias("b3"))
     best = best.select("a", F.explode(F.array_distinct(F.array("b1", "b2", "b3"))).alias("b"))
     tried = work.write(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
     links = confirmed(tried, "best")
-    found = classes(links)
+    found = classes(links, "classes")
 
     # the rest: what shares a region but not yet a component
-    left = rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    left = work.write(left.select("region", "rep", "n", "small", "comp"), "left")
-    mixed = left.groupBy("region").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    blocks = _in_blocks(left, "region", mixed.select("region", "c"))
-    loose = work.write(blocks.groupBy("region", "i", "j").applyInArrow(_loose(percent), "a long, b long").distinct(), "loose")
+    def with_components(rows: DataFrame) -> DataFrame:
+        return rows.join(found, "point", "left").select("region", "point", "n", "small", F.coalesce("component", "point").alias("comp"))
+
+    def named(left: DataFrame, level: str) -> DataFrame:
+        return left.select(F.concat_ws(":", F.lit(level), "region").alias("leaf"), "region", "point", "n", "small", "comp", F.lit(0).alias("side"))
+
+    def large(left: DataFrame, name: str) -> DataFrame:
+        sizes = left.groupBy("region").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("c") > BLOCK)
+        return work.write(sizes, name)
+
+    def forest(left: DataFrame, over: DataFrame) -> DataFrame:
+        left = left if over.isEmpty() else left.join(over.select("region"), "region", "left_anti")
+        return left.repartition("region").sortWithinPartitions("region").mapInArrow(_loose_leaves(percent), "leaf string, a long, b long")
+
+    left = work.write(named(with_components(rows), "first"), "left")
+    over = large(left, "large")
+    loose, leaf = forest(left, over), left
+    wide = over.where("lo < hi")
+    if not wide.isEmpty():
+        again = work.write(left.join(wide.select("region"), "region", "left_semi").select("point").distinct(), "again").join(own.select("point", "n", "sig"), "point")
+        deep = work.write(again.mapInArrow(_regions(_DEEP_ORDERS, DEEP, 1 << 20), "region long, tree int, point long"), "deep")
+        several = deep.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
+        deep = deep.join(several, "region", "left_semi").join(again.select("point", "n", "sig").mapInArrow(_sketches_of, "point long, n long, small binary"), "point")
+        deep = work.write(named(with_components(deep), "deep"), "deeper")
+        over = large(deep, "large_deep")
+        blocks = _in_blocks(deep.drop("leaf", "side"), "region", over.where("lo < hi"))
+        loose = loose.unionByName(forest(deep, over)).unionByName(blocks.groupBy("leaf").applyInArrow(_loose(percent), "leaf string, a long, b long"))
+        leaf = leaf.drop("region").unionByName(deep.drop("region")).unionByName(blocks)
+    loose = work.write(loose, "loose")
     if not loose.isEmpty():
-        # candidates of one loose cluster are confirmed together, in blocks of it
-        cluster = work.write(connected_components(loose, "a", "b", work).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
+        # candidates of one loose cluster are confirmed together; those of a huge one leaf by leaf
+        cluster = work.write(connected_components(loose.select("a", "b"), "a", "b").select(F.col("id").alias("point"), F.col("component").alias("cluster")), "clusters")
         # nearly all of them are ends of candidates already
-        absent = work.write(cluster.select(F.col("rep").alias("doc_id")).join(texts, "doc_id", "left_anti"), "absent")
+        absent = work.write(cluster.select("point").join(texts.select("point"), "point", "left_anti"), "absent")
         if not absent.isEmpty():
             texts = texts.unionByName(fetched(absent, "texts_absent"))
-        texts = texts.withColumnRenamed("doc_id", "rep")
-        rows = cluster.join(left.select("rep", "n", "small", "comp").dropDuplicates(["rep"]), "rep").join(texts, "rep")
-        blocks = _in_blocks(rows, "cluster", cluster.groupBy("cluster").agg(F.count("*").alias("c")))
-        more = work.write(blocks.groupBy("cluster", "i", "j").applyInArrow(_settle(k, percent), "a long, b long").distinct(), "links_rest")
+        counts = work.write(cluster.groupBy("cluster").agg(F.count("*").alias("c")), "counts")
+        one = cluster.join(leaf.select("point", "n", "small", "comp"), "point").dropDuplicates(["point"])
+        fit = F.col("c") <= BLOCK * TREES // 2
+        groups = _in_blocks(one, "cluster", counts.where(fit))
+        huge = counts.where(~fit)
+        if not huge.isEmpty():
+            held = loose.select("leaf", F.col("a").alias("point")).unionByName(loose.select("leaf", F.col("b").alias("point"))).distinct()
+            held = cluster.join(huge.select("cluster"), "cluster").select("point").join(held, "point")
+            groups = groups.unionByName(held.join(leaf, ["leaf", "point"]).select(*groups.columns))
+        groups = groups.join(texts, "point")
+        more = work.write(groups.groupBy("leaf").applyInArrow(_settle(k, percent), "a long, b long").distinct(), "links_rest")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = classes(links)
-    of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n", "hi", "lo").join(of, ["hi", "lo", "n"], "left")
-    for name in ("own", "rows", "near", "tried", "left", "ends", "texts", "absent", "texts_absent", "loose", "clusters"):
+            found = classes(links.unionByName(more), "classes_all")
+    of = work.write(own.join(found, "point", "left").select("hi", "lo", "n", "point", F.coalesce("component", "point").alias("component")), "of")
+    out = sketches.select("doc_id", "doc", "th", "n", "hi", "lo").join(of, ["hi", "lo", "n"], "left").drop("hi", "lo")
+    for name in ("own", "rows", "near", "tried", "left", "ends", "texts", "absent", "texts_absent", "loose", "clusters", "counts", "large", "large_deep", "again", "deep", "deeper"):
         work.drop(name)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id): classes of ``docs`` (doc_id, text) under similarity >= percent / 100."""
+    work = work or Workspace(docs.sparkSession, "neardup")
+    rows = work.write(_classes(docs, k, percent, work), "placed")
+    least = work.write(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    out = rows.join(least, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is their class's smallest; of rows with one doc_id a single one."""
-    classes = near_duplicates(docs, k, percent)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class of ``docs``, all columns: of its smallest doc_id (nulls last), then of the smallest hash of its text.
+
+    Rows whose texts have no words are classes of their own. Rows of equal id (or both null) and text are one document, of which
+    any one row stays; rows of one id with different texts are judged by their texts.
+    """
+    work = Workspace(docs.sparkSession, "one-of-each")
+    rows = work.write(_classes(docs, k, percent, work), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc", "th")).alias("first")
+    kept = rows.where("component is not null").groupBy("component").agg(first).select("first.doc", "first.th")
+    kept = kept.unionByName(rows.where("component is null").select("doc", "th").distinct())
+    d, h = (T.unused(docs.columns, n) for n in ("own_doc", "own_text"))
+    keyed = docs.withColumns({d: F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)), h: F.xxhash64(docs["text"])})
+    return keyed.join(kept.toDF(d, h), [d, h], "left_semi").dropDuplicates([d, h]).drop(d, h)
 
 
 def op2_minhash_lsh_forest(spark, sf_dir: str) -> DataFrame:

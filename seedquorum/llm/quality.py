@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedquorum.llm import text as T
+
 SPACE_CLASS = r"[ \x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -99,8 +101,10 @@ def verdict(policy: str) -> Column:
 
 
 def passing(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns."""
-    return ledger(docs, None, text).where(verdict(policy)).select("row.*")
+    """The rows of ``docs`` that a policy keeps, with all their columns, of any names."""
+    names = T.numbered(docs.columns)
+    rows = ledger(docs.toDF(*names), None, names[docs.columns.index(text)])
+    return rows.where(verdict(policy)).select("row.*").toDF(*docs.columns)
 
 
 def ablation(book: DataFrame, policy: str) -> DataFrame:

@@ -187,15 +187,17 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshol
 
 
 def passing(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score under the threshold, with all their columns."""
+    """The rows of ``docs`` that score under the threshold, with all their columns, of any names."""
     ship(docs.sparkSession)
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(model, threshold)
         for batch in batches:
-            yield batch.filter(pa.array(scorer(batch.column("text"))[0] < threshold))
+            kept = batch.filter(pa.array(scorer(batch.column(at))[0] < threshold))
+            yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*T.numbered(names)).mapInArrow(run, docs.schema)
 
 
 def fold():

@@ -242,7 +242,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return clean.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    classes = connected_components(found, "rep", "root", work).withColumnRenamed("id", "rep")
+    classes = connected_components(found, "rep", "root").withColumnRenamed("id", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of = points.select("dim", "hi", "lo", "rep", "n").join(links, "rep", "left").join(classes, "rep", "left")
     of = of.select("dim", "hi", "lo", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

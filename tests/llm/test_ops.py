@@ -77,8 +77,10 @@ def test_near_duplicates(docs, rows, none):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in want if want[i] == i)
 
 
-def test_near_duplicates_in_a_crowd(spark):
-    """A chain and a crowd of near copies below and above the threshold, small blocks: the rest step finds all."""
+@pytest.mark.parametrize("block", [1024, 4, 1])
+def test_near_duplicates_in_a_crowd(spark, block, monkeypatch):
+    """A crowd of near copies below and above the threshold, in leaves small and large: the rest step finds all."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     r = random.Random(5)
     base = [r.choice(WORDS) for _ in range(120)]
     rows = []
@@ -90,14 +92,29 @@ def test_near_duplicates_in_a_crowd(spark):
     sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in rows)}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components(sets, links)
-    old, neardup.BLOCK = neardup.BLOCK, 16
-    try:
-        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
-    finally:
-        neardup.BLOCK = old
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
     assert got == want and len(set(want.values())) > 1
 
 
+def test_neighbours_share_prefixes():
+    """The common prefix of sorted neighbours is counted in minima from the region's four on."""
+    tails = np.array([[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 9, 5, 6, 7, 8], [1, 2, 3, 9, 5, 6, 7, 8]], ">u4")
+    batch = pa.record_batch({"region": [5, 5, 5], "tail": [x.tobytes() for x in tails], "point": [1, 2, 3], "n": [10, 10, 10], "small": [bytes(128)] * 3})
+    got = {(r["a"], r["b"]): r["shared"] for out in neardup._neighbours(80)([batch]) for r in out.to_pylist()}
+    assert got == {(1, 2): 7, (2, 3): 12, (1, 3): 7}
+
+
+def test_one_id_with_two_texts_and_null_ids(spark):
+    long = [f"u{i}" for i in range(200)]
+    a, b, c = " ".join(long), " ".join([*long[:199], "z"]), " ".join(f"v{i}" for i in range(100))
+    rows = [(1, a), (7, c), (7, b), (None, c), (None, "own words of nobody else at all here"), (None, ""), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, `own_doc` int")
+    got = sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in neardup.near_duplicates(docs).collect())
+    assert got == sorted([("1", 196, "1"), ("7", 96, "7"), ("7", 196, "1"), ("None", 96, "7"), ("None", 4, "None"), ("None", 0, "None"), ("9", 0, "9"), ("9", 0, "9")])
+    kept = neardup.one_of_each(docs.withColumnRenamed("own_doc", "a.b"))
+    assert kept.columns == ["doc_id", "text", "a.b"] and sorted((str(x[0]), x[1][:5]) for x in kept.collect()) == sorted([("1", a[:5]), ("7", c[:5]), ("None", "own w"), ("None", ""), ("9", "")])
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_repeated_passages(docs, rows, none, hot):
     raw = [(i, (t or "").encode()) for i, t in rows]
@@ -388,15 +405,31 @@ def test_near_vectors(spark):
 
 
 def test_pipeline_runs(spark, tmp_path):
+    """Clashing columns, nulls, repeats, ties and a long text; what each stage keeps, and nothing of nothing."""
     import corpus_pipeline as P
 
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(WORDS) for _ in range(120)), "en", "s", 1) for i in range(12)] + [(50, "short", "en", "s", 1), (51, None, "en", "s", 0)]
-    rows += [(60, rows[0][1], "en", "s", 1)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows += [(60, rows[0][1], "en", "s", 1), (3, rows[3][1], "en", "s", 1), (None, " ".join(r.choice(WORDS) for _ in range(90)), None, None, None), (61, " ".join(r.choice(WORDS) for _ in range(6000)), "en", "s", 1)]
+    shared = " ".join(f"p{i}" for i in range(55))
+    rows += [(70 + k, " ".join(r.choice(WORDS) for _ in range(150)) + " " + shared, "en", "s", 1) for k in range(2)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, component_id int, `own.ranges` string, point long, `_key` int"
+    d = spark.createDataFrame([(*x, 1, "r", 2, 3) for x in rows], names)
     d.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert sorted({x["doc_id"] for x in P.run(spark, str(tmp_path)).collect()}) == list(range(12))
+    kept = d
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == d.columns, name
+    got = sorted(((x["doc_id"] if x["doc_id"] is not None else -1), x["text"]) for x in kept.collect())
+    first = dict(rows[k][:2] for k in (*range(12), 17)) | {-1: rows[16][1]} | {70 + k: rows[18 + k][1].replace(shared, "") for k in range(2)}
+    assert got == sorted(first.items())
+    pieces_ = P.run(spark, str(tmp_path)).collect()
+    assert sorted({x["doc_id"] for x in pieces_ if x["doc_id"] is not None}) == sorted(i for i in first if i >= 0)
+    assert sum(x["doc_id"] == 61 for x in pieces_) > 1
+    d.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_arrow_columns_with_offsets():
