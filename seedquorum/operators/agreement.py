@@ -1,14 +1,19 @@
 """Agreement of partitions: contingency tables, adjusted Rand index, normalised mutual information.
 
 All metrics come from contingency counts. Pair metrics never self-join the runs: each observation's labels are gathered in one array
-(one shuffle), the pairs of seeds are read off that array, and partial aggregation leaves about k*k cells per pair and task.
+(one shuffle), and each task adds up the products of the labels' indicators (a Gram matrix per unit), whose cells are the
+contingency counts of all pairs of seeds; only those, about k*k per pair and task, are shuffled again.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedquorum.plans.shipping import ship
+
 UNIT = ("dataset", "method")
 
 
@@ -53,14 +58,80 @@ def signatures(runs: DataFrame) -> DataFrame:
     return rows.groupBy(*UNIT, "sig").agg(F.count(F.lit(1)).alias("weight"))
 
 
+#: Numbers that a task's Gram matrices hold before their cells are given out.
+GRAM_SIZE = 1 << 23
+
+
+class _Gram:
+    """Counts of pairs of one unit's labels (seed, cluster); grows with the labels seen."""
+
+    def __init__(self):
+        self.code: dict[tuple, int] = {}
+        self.n = np.zeros((0, 0), np.int64)
+
+    def add(self, labels: np.ndarray, keys: list[tuple], row: np.ndarray) -> None:
+        """labels: a number per entry, meaning ``keys``; row: the entry's observation, in ascending order."""
+        own = np.array([self.code.setdefault(k, len(self.code)) for k in keys], np.int64)
+        size = len(self.code)
+        if size > len(self.n):
+            grown = np.zeros((size, size), np.int64)
+            grown[: len(self.n), : len(self.n)] = self.n
+            self.n = grown
+        own, row = own[labels], np.cumsum(np.append(0, row[1:] != row[:-1]))
+        step = max(1, GRAM_SIZE // max(size, 1))
+        for k in range(0, int(row[-1]) + 1, step):
+            x = np.zeros((min(step, int(row[-1]) + 1 - k), size), np.float32)
+            part = slice(*np.searchsorted(row, (k, k + step)))
+            np.add.at(x, (row[part] - k, own[part]), 1)
+            self.n += (x.T @ x).astype(np.int64)
+
+
+def _cells(batches):
+    """(dataset, method, seed_r, seed_s, a, b, n) of rows (dataset, method, sig): each unit's counts in this task."""
+    units: dict[tuple, _Gram] = {}
+
+    def out():
+        for (dataset, method), g in units.items():
+            keys = list(g.code)
+            i, j = np.nonzero(g.n)
+            seeds = np.array([k[0] for k in keys], np.int64)
+            i, j = (x[seeds[i] < seeds[j]] for x in (i, j))
+            names = pa.array([k[1] for k in keys], pa.string())
+            cols = [pa.array([dataset] * len(i), pa.string()), pa.array([method] * len(i), pa.string()), pa.array(seeds[i]), pa.array(seeds[j]), names.take(pa.array(i)), names.take(pa.array(j)), pa.array(g.n[i, j])]
+            yield pa.RecordBatch.from_arrays(cols, ["dataset", "method", "seed_r", "seed_s", "a", "b", "n"])
+        units.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = pa.StructArray.from_arrays([batch.column("dataset"), batch.column("method")], ["d", "m"])
+        names = [(x["d"], x["m"]) for x in unit.to_pylist()]
+        numbers: dict[tuple, int] = {}
+        of_row = np.array([numbers.setdefault(x, len(numbers)) for x in names], np.int64)
+        sig = batch.column("sig")
+        row = np.repeat(np.arange(len(sig)), np.diff(sig.offsets.to_numpy()))
+        seed, cluster = (sig.flatten().field(k) for k in ("seed", "cluster"))
+        named = cluster.dictionary_encode(null_encoding="encode")
+        both = seed.to_numpy().astype(np.int64) * len(named.dictionary) + named.indices.to_numpy()
+        for name, u in numbers.items():
+            mine = np.flatnonzero(of_row[row] == u)
+            if len(mine):
+                found, labels = np.unique(both[mine], return_inverse=True)
+                keys = [(int(x // len(named.dictionary)), named.dictionary[int(x % len(named.dictionary))].as_py()) for x in found]
+                units.setdefault(name, _Gram()).add(labels, keys, row[mine])
+        if sum(g.n.size for g in units.values()) > GRAM_SIZE:
+            yield from out()
+    yield from out()
+
+
 def pair_agreement(runs: DataFrame) -> DataFrame:
-    """One row per unordered pair of seeds, over all observations: seed_r < seed_s, ari, nmi."""
-    rows = runs.groupBy(*UNIT, "obs_id").agg(F.sort_array(F.collect_list(F.struct("seed", "cluster"))).alias("sig"))
-    # positions i < j by two generated columns, which stay in generated code; higher-order functions would be interpreted
-    rows = rows.where("size(sig) > 1").select("*", F.explode(F.expr("sequence(0, size(sig) - 2)")).alias("i")).select("*", F.explode(F.expr("sequence(i + 1, size(sig) - 1)")).alias("j"))
-    rows = rows.select(*UNIT, F.expr("sig[i].seed AS seed_r"), F.expr("sig[j].seed AS seed_s"), F.expr("sig[i].cluster AS a"), F.expr("sig[j].cluster AS b"))
+    """One row per unordered pair of seeds, over all observations: seed_r < seed_s, ari, nmi. A null label is a label; nulls in the keys are groups."""
+    ship(runs.sparkSession)
+    one = F.struct(F.col("seed").cast("long").alias("seed"), F.col("cluster").cast("string").alias("cluster"))
+    rows = runs.groupBy(*UNIT, "obs_id").agg(F.collect_list(one).alias("sig")).select(*UNIT, "sig")
     keys = [*UNIT, "seed_r", "seed_s"]
-    return agreement(contingency(rows, keys, "a", "b"), keys).select(*keys, "n_obs", "ari", "nmi")
+    cells = rows.mapInArrow(_cells, "dataset string, method string, seed_r long, seed_s long, a string, b string, n long")
+    return agreement(contingency(cells, keys, "a", "b", "n"), keys).select(*keys, "n_obs", "ari", "nmi")
 
 
 def seed_pairs(accuracy: DataFrame, pairs: DataFrame) -> DataFrame:

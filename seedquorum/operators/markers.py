@@ -27,7 +27,9 @@ def rank_sum_markers(expression: DataFrame, runs: DataFrame) -> DataFrame:
     # midrank among the gene's non-zeros, above its zeros
     ranked = nz.withColumn("zeros", F.col("nn") - F.count(F.lit(1)).over(in_gene)).withColumn("r", S.midrank(["dataset", "gene"], "value") + F.col("zeros"))
     genes = ranked.groupBy("dataset", "gene").agg(F.max("zeros").alias("zeros"), F.max("nn").alias("nn"))
-    own = ranked.select("dataset", "obs_id", "gene", "r").join(runs.select(*RUN, "obs_id", "cluster"), ["dataset", "obs_id"])
+    # an observation's labels in all runs meet its entries once
+    labels = runs.groupBy("dataset", "obs_id").agg(F.collect_list(F.struct("method", "seed", "cluster")).alias("labels"))
+    own = ranked.select("dataset", "obs_id", "gene", "r").join(labels, ["dataset", "obs_id"]).select("dataset", "gene", "r", F.explode("labels").alias("l")).select("dataset", "gene", "r", "l.*")
     own = own.groupBy(*RUN, F.col("cluster").alias("domain"), "gene").agg(F.sum("r").alias("r"), F.count("*").alias("k"))
     grid = size.join(genes, "dataset").join(own, [*RUN, "domain", "gene"], "left")
     total = "coalesce(r, 0D) + (n1 - coalesce(k, 0)) * (zeros + 1) / 2D"

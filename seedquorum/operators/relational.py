@@ -45,7 +45,8 @@ def require_columns(df: DataFrame, columns: list[str], where: str | None = None)
 
 
 def lookup(base: DataFrame, other: DataFrame, on: list[str], strict: bool = False) -> DataFrame:
-    """``other``'s columns for every row of ``base``; missing ones are NULL, or, strict, an error."""
+    """``other``'s columns for every row of ``base``; missing ones are NULL, or, strict, an error. ``other``'s keys have to be unique."""
+    require_unique(other, on, "lookup key")
     if strict and (missing := base.join(other, on, "left_anti").select(*on).limit(3).collect()):
         raise ValidationError(f"not found: {[tuple(r) for r in missing]}")
     return base.join(other, on, "left")
@@ -110,9 +111,9 @@ def without(df: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def full_outer_audit(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """key, status: added, removed, changed or same."""
-    l, r = left.select(key, F.col(value).alias("a")), right.select(key, F.col(value).alias("b"))
-    s = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("same")
+    """key, status: added, removed, changed or same. A null value is a value like others; null keys meet no key."""
+    l, r = left.select(key, F.struct(F.col(value).alias("v")).alias("a")), right.select(key, F.struct(F.col(value).alias("v")).alias("b"))
+    s = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a.v").eqNullSafe(F.col("b.v")), "same").otherwise("changed")
     return l.join(r, key, "full_outer").select(key, s.alias("status"))
 
 

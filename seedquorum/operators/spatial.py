@@ -41,11 +41,13 @@ def nearest(points: DataFrame, k: int, per_cell: float = 4.0, work: Workspace |
     """dataset, src, dst, distance, rank of the k nearest others; ties by id."""
     work = work or Workspace(points.sparkSession, "nearest")
     points = points.where("x IS NOT NULL AND y IS NOT NULL").select("dataset", "obs_id", "x", "y")
-    box = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
+    # the cells' side comes from the inner 96 per cent, so that far outliers don't put all else into one cell
+    inner = lambda c: F.element_at(F.percentile_approx(c, [0.02, 0.98]), 2) - F.element_at(F.percentile_approx(c, [0.02, 0.98]), 1)
+    box = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*"), inner("x"), inner("y")).first()
     if not box[2]:
         return points.selectExpr("dataset", "obs_id AS src", "obs_id AS dst", "x AS distance", "1 AS rank")
-    area = max(box[0], 1e-9) * max(box[1], 1e-9)
-    side = max((area * per_cell / box[2]) ** 0.5, max(box[0], box[1]) / 1e6, 1e-9)
+    width, height = (box[k + 3] if box[k + 3] else box[k] for k in (0, 1))
+    side = max((max(width, 1e-9) * max(height, 1e-9) * per_cell / box[2]) ** 0.5, max(width, height) / 1e6, max(box[0], box[1]) / 1e12, 1e-9)
     left, out, ring = points, None, 0
     while True:
         ring += 1
@@ -106,6 +108,8 @@ def graph_metadata(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     e = edge_set(edges)
     both = e.select("dataset", F.col("lo").alias("obs_id")).unionAll(e.select("dataset", F.col("hi").alias("obs_id")))
     deg = vertices.select("dataset", "obs_id").join(both.groupBy("dataset", "obs_id").agg(F.count("*").alias("degree")), ["dataset", "obs_id"], "left").select("dataset", "obs_id", F.coalesce("degree", F.lit(0)).alias("degree"))
-    comp = connected_components(e, "lo", "hi").withColumnRenamed("id", "obs_id")
-    deg = deg.join(comp, "obs_id", "left").withColumn("component", F.coalesce("component", "obs_id"))
+    # datasets may share ids: a vertex is the dataset's name and the id
+    named = lambda c: F.to_json(F.struct(F.col("dataset").alias("d"), F.col(c).alias("o")))
+    comp = connected_components(e.select(named("lo").alias("lo"), named("hi").alias("hi")), "lo", "hi").withColumnRenamed("id", "vertex")
+    deg = deg.withColumn("vertex", named("obs_id")).join(comp, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     return deg.groupBy("dataset").agg(F.count("*").alias("n_vertices"), (F.sum("degree") / 2).cast("long").alias("n_edges"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.count_if(F.col("degree") == 0).alias("n_isolated"), F.countDistinct("component").alias("n_components"))

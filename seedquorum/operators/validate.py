@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seedquorum.functions import scalar as S
 from seedquorum.operators.relational import ValidationError, grid_audit
+from seedquorum.plans.workspace import Workspace
 
 
 def schema_problems(df: DataFrame, required: list[str] | StructType) -> list[str]:
@@ -80,14 +81,21 @@ def forbidden_tokens(lines: DataFrame, column: str, patterns: dict[str, str]) ->
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n_lines")) for n in patterns))).alias("r")).select("r.*").where("n_lines > 0")
 
 
-def table_digest(df: DataFrame, order: list[str]) -> DataFrame:
-    """SHA-256 over rows as canonical JSON (columns by name), in order: the digests of chunks of rows, then of those.
+def table_digest(df: DataFrame, order: list[str], chunk: int = 10_000) -> DataFrame:
+    """n_rows and a SHA-256 over rows as canonical JSON (columns by name), in the given order: the digest of the digests of ``chunk`` rows each.
 
-    Rows are digested one by one and combined per range of the order; only a hex digest per row is gathered.
+    Rows of equal order go by their JSON, so the digest doesn't depend on layout. A row's place comes from range partitions and their
+    sizes; a task gathers one chunk's hex digests, the last step one line per chunk. An empty table has the digest of no lines.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)
-    parts = df.select(F.struct(*order).alias("o"), row.alias("d")).groupBy(F.expr("substring(d, 1, 2)").alias("bin")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n").cast("binary"), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sum("n").alias("n_rows"), S.digest(F.transform(F.sort_array(F.collect_list(F.struct("bin", "d"))), lambda x: x["d"])).alias("digest"))
+    work = Workspace(df.sparkSession, "digest")
+    rows = df.select(F.struct(*order).alias("o"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("j"))
+    rows = rows.repartitionByRange("o", "j").sortWithinPartitions("o", "j").select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), F.sha2(F.col("j").cast("binary"), 256).alias("d"))
+    rows = work.write(rows, "rows")
+    part = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    part = part.select("p", "first", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row per partition
+    placed = rows.join(part, "p").select((F.col("before") + F.col("i") - F.col("first")).alias("place"), "d")
+    chunks = placed.groupBy(F.floor(F.col("place") / chunk).alias("c")).agg(F.count("*").alias("n"), S.digest(F.transform(F.sort_array(F.collect_list(F.struct("place", "d"))), lambda x: x["d"])).alias("d"))
+    return chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), S.digest(F.transform(F.sort_array(F.collect_list(F.struct("c", "d"))), lambda x: x["d"])).alias("digest"))
 
 
 def complete_grid(df: DataFrame, expected: DataFrame, keys: list[str]) -> None:

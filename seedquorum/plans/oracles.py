@@ -14,7 +14,8 @@ def select(spec: str, body: str) -> str:
     cols = []
     for item in spec.split():
         name, _, kind = item.partition(":")
-        cols.append({"i": f"CAST({name} AS BIGINT) AS {name}", "d": f"round(CAST({name} AS DOUBLE), 9) + 0e0 AS {name}", "": name}[kind])
+        q = f'"{name}"'
+        cols.append({"i": f"CAST({q} AS BIGINT) AS {q}", "d": f"round(CAST({q} AS DOUBLE), 9) + 0e0 AS {q}", "": q}[kind])
     return f"SELECT {', '.join(cols)} FROM ({body}) AS q"
 
 
@@ -68,14 +69,14 @@ nx AS (SELECT dataset, obs_id, gene, round(ln(1 + value * 1e4 / sum(value) OVER
 MARK = f"""{RUNS}, {EXPR}, genes AS (SELECT DISTINCT dataset, gene FROM nx WHERE value > 0),
 dense AS (SELECT dataset, obs_id, gene, coalesce(value, 0e0) AS value FROM ob JOIN genes USING (dataset) LEFT JOIN nx USING (dataset, obs_id, gene)),
 rk AS (SELECT dataset, obs_id, gene, rank() OVER (PARTITION BY dataset, gene ORDER BY value) + (count(*) OVER (PARTITION BY dataset, gene, value) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY dataset, gene) AS nn FROM dense),
-rs AS (SELECT dataset, method, seed, cluster AS domain, gene, sum(r) AS r, count(*) AS n1, max(nn) AS nn FROM rk JOIN (SELECT * FROM runs WHERE method = 'm1') USING (dataset, obs_id) GROUP BY ALL),
+rs AS (SELECT dataset, method, seed, cluster AS domain, gene, sum(r) AS r, count(*) AS n1, max(nn) AS nn FROM rk JOIN runs USING (dataset, obs_id) GROUP BY ALL),
 zs AS (SELECT dataset, method, seed, domain, gene, round((r - n1 * (nn + 1) / 2e0) / nullif(sqrt(n1::DOUBLE * (nn - n1) * (nn + 1) / 12e0), 0), 9) AS z FROM rs),
 mk AS (SELECT *, row_number() OVER (PARTITION BY dataset, method, seed, domain ORDER BY z DESC NULLS LAST, gene) AS rank FROM zs)"""
 MPAIR = f"""{MARK}, mp AS (SELECT r.dataset, r.method, r.seed AS seed_r, s.seed AS seed_s, r.domain, count(*) FILTER (r.rank <= least(20, nd) AND s.rank <= least(20, nd)) AS s, max(least(20, nd)) AS k, sum((r.rank - s.rank)::DOUBLE * (r.rank - s.rank)) AS d2, max(nd) AS n
  FROM (SELECT *, count(*) OVER (PARTITION BY dataset, method, seed, domain) AS nd FROM mk) r JOIN mk s ON r.dataset = s.dataset AND r.method = s.method AND r.domain = s.domain AND r.gene = s.gene AND r.seed < s.seed GROUP BY ALL),
 mm AS (SELECT dataset, method, seed_r, seed_s, domain, s / (2 * k - s) AS jaccard, 1 - 6 * d2 / (n::DOUBLE * (n::DOUBLE * n - 1)) AS rank_spearman FROM mp),
 mr AS (SELECT dataset, method, seed_r, seed_s, median(jaccard) AS jaccard, median(rank_spearman) AS rank_spearman, count(*) AS domains FROM mm GROUP BY ALL),
-{_ACC}, {_PAIR}, prm AS (SELECT pr.dataset, pr.method, pr.seed_r, pr.seed_s, pr.ari AS partition_ari, jaccard, rank_spearman, domains FROM pr LEFT JOIN mr USING (dataset, method, seed_r, seed_s) WHERE pr.method = 'm1'),
+{_ACC}, {_PAIR}, prm AS (SELECT pr.dataset, pr.method, pr.seed_r, pr.seed_s, pr.ari AS partition_ari, jaccard, rank_spearman, domains FROM pr LEFT JOIN mr USING (dataset, method, seed_r, seed_s)),
 ter AS (SELECT *, CASE ntile(3) OVER (PARTITION BY dataset, method ORDER BY partition_ari, seed_r, seed_s) WHEN 1 THEN 'Low' WHEN 2 THEN 'Middle' ELSE 'High' END AS tertile FROM prm)"""
 POINTS = "pt AS (SELECT vec_id AS obs_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings)"
 NEAR = f"{POINTS}, nb AS (SELECT * FROM (SELECT a.obs_id AS src, b.obs_id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance, row_number() OVER (PARTITION BY a.obs_id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.obs_id) AS rank FROM pt a JOIN pt b ON a.obs_id <> b.obs_id) WHERE rank <= 6)"
@@ -129,8 +130,9 @@ ORACLES: dict[str, str] = {
  d AS (SELECT * FROM range({K}) x(p)), pm AS (SELECT a.p AS p0, b.p AS p1, c.p AS p2, d4.p AS p3, e.p AS p4 FROM d a, d b, d c, d d4, d e WHERE len(list_distinct([a.p, b.p, c.p, d4.p, e.p])) = 5)
  SELECT dataset, method, seed, max(t) AS overlap FROM (SELECT dataset, method, seed, p0, p1, p2, p3, p4, sum(n) AS t FROM pm JOIN ov ON (a = 0 AND b = p0) OR (a = 1 AND b = p1) OR (a = 2 AND b = p2) OR (a = 3 AND b = p3) OR (a = 4 AND b = p4) GROUP BY ALL) GROUP BY ALL""",
     "coassociation": f"WITH {SMALL} SELECT dataset, method, t AS seeds_together, count(*) AS n_pairs FROM (SELECT r.dataset, r.method, r.obs_id AS i, s.obs_id AS j, count(*) FILTER (r.cluster = s.cluster) AS t FROM runs r JOIN runs s ON r.dataset = s.dataset AND r.method = s.method AND r.seed = s.seed AND r.obs_id < s.obs_id GROUP BY ALL) GROUP BY ALL",
-    "reference_support": f"""WITH {SMALL}, co AS (SELECT r.dataset, r.method, r.obs_id, s.obs_id AS other, avg((r.cluster = s.cluster)::INT::DOUBLE) AS c FROM runs r JOIN runs s ON r.dataset = s.dataset AND r.method = s.method AND r.seed = s.seed AND r.obs_id <> s.obs_id AND r.ref = s.ref GROUP BY ALL),
- su AS (SELECT u.dataset, u.method, u.obs_id, coalesce(round(avg(c), 9), 1e0) AS support FROM (SELECT DISTINCT dataset, method, obs_id FROM runs) u LEFT JOIN co USING (dataset, method, obs_id) GROUP BY ALL) SELECT *, CASE WHEN support >= 0.8 THEN 'high' WHEN support <= 0.5 THEN 'low' ELSE 'intermediate' END AS class FROM su""",
+    "reference_support": f"""WITH {RUNS}, me AS (SELECT dataset, method, ref, count(DISTINCT obs_id) AS members FROM runs GROUP BY ALL), tg AS (SELECT dataset, method, seed, ref, cluster, count(*) AS n FROM runs GROUP BY ALL),
+ su AS (SELECT dataset, method, obs_id, round(CASE WHEN max(members) = 1 THEN 1e0 ELSE avg((n - 1) / (members - 1)::DOUBLE) END, 9) AS support FROM runs JOIN tg USING (dataset, method, seed, ref, cluster) JOIN me USING (dataset, method, ref) GROUP BY ALL)
+ SELECT dataset, method, obs_id, support, CASE WHEN support >= {S.HIGH_SUPPORT} THEN 'high' WHEN support <= {S.LOW_SUPPORT} THEN 'low' ELSE 'intermediate' END AS class FROM su""",
     "normalize_log1p": f"WITH {EXPR} SELECT * FROM nx",
     "gene_filter": f"WITH {EXPR} SELECT dataset, obs_id, gene, value FROM ex JOIN (SELECT dataset, gene FROM ex GROUP BY ALL HAVING count(*) FILTER (value > 0) >= 50 AND sum(value) >= 1500) USING (dataset, gene)",
     "gene_moments": f"WITH {EXPR}, nn AS (SELECT dataset, count(*) AS n FROM ob GROUP BY ALL) SELECT dataset, gene, n, sum(value) / n AS mean, (sum(value * value) - sum(value) * sum(value) / n) / (n - 1) AS variance FROM ex JOIN nn USING (dataset) GROUP BY dataset, gene, n",
@@ -178,3 +180,49 @@ ORACLES: dict[str, str] = {
 ORACLES["stable_unstable"] = f"""WITH {ORACLES["stable_control"].removeprefix("WITH ").rpartition(" SELECT * FROM (SELECT *, gap")[0]}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY CASE WHEN gap <= 0.002 + 1e-12 THEN 0 ELSE 1 END, CASE WHEN gap <= 0.002 + 1e-12 THEN 0 ELSE gap END, stable_ari DESC, stable_r, stable_s) AS k FROM j) WHERE k = 1),
  fam AS (SELECT dataset AS family, count(*) AS n, median(unstable_ari) AS unstable_median, median(stable_ari) AS stable_median, median(stable_ari) - median(unstable_ari) AS gap FROM best GROUP BY dataset) SELECT *, (SELECT count(*) FILTER (gap >= 0.1) >= 2 FROM fam) AS triggered FROM fam"""
 ORACLES["four_method_ranks"] = f"WITH {_FOUR} " + " UNION ALL ".join(f"SELECT dataset, '{_N[i - 1]}' AS method, 2 + 2 * (" + " + ".join(f"(s{j} > s{i})::INT" for j in range(1, 5) if j != i) + ") + " + " + ".join(f"(s{j} = s{i})::INT" for j in range(1, 5) if j != i) + " AS rank_x2, count(*) AS combos FROM four GROUP BY ALL" for i in range(1, 5))
+
+ORACLES |= {
+    "matrix_market": "SELECT n_nationkey + 1 AS row_number, n_nationkey + 1 AS column_number, n_nationkey + 1 AS value FROM nation",
+    "graph_audit": """WITH RECURSIVE v AS (SELECT x AS dataset, n_nationkey AS o FROM nation, (VALUES ('a'), ('b')) t(x)),
+ e AS (SELECT 'a' AS dataset, n_nationkey AS s, n_nationkey + 5 AS t FROM nation WHERE n_nationkey < 20 UNION ALL SELECT 'b', n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey < 10),
+ b AS (SELECT dataset, s AS o, t AS p FROM e UNION ALL SELECT dataset, t, s FROM e), r(dataset, o, p) AS (SELECT dataset, o, o FROM v UNION SELECT r.dataset, r.o, b.p FROM r JOIN b ON b.dataset = r.dataset AND b.o = r.p),
+ d AS (SELECT v.dataset, v.o, (SELECT count(*) FROM b WHERE b.dataset = v.dataset AND b.o = v.o) AS degree, (SELECT min(p) FROM r WHERE r.dataset = v.dataset AND r.o = v.o) AS root FROM v)
+ SELECT dataset, count(*) AS n_vertices, sum(degree) / 2 AS n_edges, min(degree) AS min_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS n_isolated, count(DISTINCT root) AS n_components FROM d GROUP BY dataset""",
+    "table_digest": """WITH r AS (SELECT n_nationkey // 10 AS c, n_nationkey AS k, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS d FROM nation),
+ h AS (SELECT c, count(*) AS n, upper(sha256(string_agg(d, chr(10) ORDER BY k))) AS d FROM r GROUP BY c) SELECT sum(n) AS n_rows, upper(sha256(string_agg(d, chr(10) ORDER BY c))) AS digest FROM h""",
+    "full_outer_nulls": """SELECT coalesce(c.c_custkey, s.s_suppkey) AS k, CASE WHEN c.c_custkey IS NULL THEN 'removed' WHEN s.s_suppkey IS NULL THEN 'added'
+ WHEN CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey END IS NOT DISTINCT FROM CASE WHEN c_custkey % 2 > 0 THEN c_nationkey END THEN 'same' ELSE 'changed' END AS status FROM supplier s FULL JOIN customer c ON c_custkey = s_suppkey""",
+    "not_finite": """SELECT 'x' AS "column", count(*) FILTER (o_orderkey % 7 = 0 OR o_totalprice / (o_orderkey % 7) > 1) AS n_bad FROM orders UNION ALL SELECT 'y', count(*) FILTER (o_totalprice / 1e5 > 1) FROM orders""",
+    "row_count_audit": "SELECT 'region' AS name, count(*) AS n, 6 AS expected FROM region",
+    "rank_sum_audit": f"""WITH {RANK} SELECT dataset, 'combinations' AS rule, sum(combos)::DOUBLE AS value FROM rd WHERE NOT (method = 'm2' AND rank_x2 = 6) GROUP BY dataset, method HAVING sum(combos) <> 3200000
+ UNION ALL SELECT dataset, 'credit', sum(credit)::DOUBLE FROM (SELECT dataset, CASE WHEN dataset = 'O' THEN 2 * credit ELSE credit END AS credit FROM wp) GROUP BY dataset HAVING sum(credit) <> 192000000
+ UNION ALL SELECT dataset, 'probability', sum(p) FROM (SELECT dataset, CASE WHEN dataset = 'F' THEN 2 * p_rank1 ELSE p_rank1 END AS p FROM wp) GROUP BY dataset HAVING abs(sum(p) - 1) > 1e-9""",
+    "reconcile_units": f"""WITH {UNITS} SELECT dataset, method, 'instability' AS "column", instability AS "left", CASE WHEN method = 'm3' THEN instability + 0.1 END AS "right" FROM units WHERE method IN ('m3', 'm5')""",
+    "names_by_dimension": "SELECT n_nationkey, lower(n_name) AS n_name, n_name AS canonical FROM nation WHERE n_nationkey % 6 = 0",
+    "not_constant": "SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_values FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderstatus) > 1",
+    "forbidden_tokens": "SELECT * FROM (SELECT 'licensed' AS name, count(*) FILTER (regexp_matches(text, '(?i)licensed under')) AS n_lines FROM documents UNION ALL SELECT 'never', count(*) FILTER (regexp_matches(text, 'no such token 123')) FROM documents) WHERE n_lines > 0",
+    "schema_audit": "SELECT * FROM (VALUES ('missing o_absent')) t(problem)",
+    "text_rules": """SELECT c_custkey, c_name LIKE 'Customer#%' AS customer, replace(c_name, 'Customer#', '') AS bare, CAST(replace(c_name, 'Customer#', '') AS DOUBLE) AS number, CAST(NULL AS DOUBLE) AS no_number, 'x' || chr(8722) || c_custkey AS canonical,
+ true AS good_digest, false AS bad_digest, c_custkey % 2 = 0 AS flag, epoch(TIMESTAMP '2020-01-01 00:00:00') + 86400 * (c_custkey % 9) AS seconds, 0.01 AS snapped, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' ELSE c_mktsegment END AS mapped FROM customer""",
+    "first_per_group": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
+    "without_pairs": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "repeatability": f"""WITH {RUNS}, rc AS (SELECT r.dataset, r.method, CASE WHEN r.method = 'm2' THEN s.cluster ELSE (r.cluster + 1) % {K} END AS b, r.cluster AS a, count(*) AS n FROM runs r JOIN runs s ON r.dataset = s.dataset AND r.method = s.method AND r.obs_id = s.obs_id AND r.seed = 1 AND s.seed = 2 GROUP BY ALL),
+ {agree("rp", "rc", "dataset, method")} SELECT dataset, method, n_obs, ari, nmi, ari = 1 AS identical FROM rp""",
+    "discordance": f"SELECT o_orderstatus AS dataset, 'm' AS method, o_orderkey AS obs_id, CAST(ref AS VARCHAR) AS \"right\", CAST(((c + 4) * 3) % 5 AS VARCHAR) AS \"left\", ((c + 4) * 3) % 5 <> ref AS discordant FROM (SELECT *, (ref * 2 + 1 + (o_orderkey % 32 = 0)::INT) % 5 AS c FROM (SELECT *, ascii(o_orderpriority) % {K} AS ref FROM orders))",
+    "csv_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "tsv_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "headerless_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "token_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier",
+    "json_summary": "SELECT count(*) AS n, max(n_name) AS last FROM nation",
+    "file_manifest": "SELECT 2 AS n_files, 2 AS n_hashes, 2 AS n_found",
+    "neighbour_mean": f"""WITH {EXPR}, ed AS (SELECT * FROM (SELECT o_orderstatus AS dataset, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL)
+ SELECT dataset, src AS obs_id, gene, sum(value) AS value FROM ed JOIN ex ON ex.dataset = ed.dataset AND ex.obs_id = dst GROUP BY ALL""".replace("SELECT dataset, src AS obs_id", "SELECT ed.dataset AS dataset, src AS obs_id"),
+    "boundary_support": f"WITH {NEAR}, bf AS (SELECT src, coalesce(bool_or(a.label <> b.label), false) AS f FROM nb JOIN pt a ON a.obs_id = src JOIN pt b ON b.obs_id = dst GROUP BY src) SELECT 'e' AS dataset, median(CASE WHEN f THEN (src % 100) / 100e0 END) AS boundary_median, median(CASE WHEN NOT f THEN (src % 100) / 100e0 END) AS inner_median, count(*) FILTER (f) AS n_boundary FROM bf",
+    "ranking_table": f"""WITH {RANK}, {_PAIR}, cu AS (SELECT *, sum(combos) OVER (PARTITION BY dataset, method ORDER BY rank_x2) AS cum, sum(combos) OVER (PARTITION BY dataset, method) AS n FROM rd),
+ rs AS (SELECT dataset, method, sum(combos * rank_x2) / 2e0 / max(n) AS expected_rank FROM cu GROUP BY ALL),
+ co AS (SELECT dataset, method, corr(x, y) AS spearman FROM (SELECT dataset, method, {midrank('dataset, method', 'round(ari, 6)')} AS x, {midrank('dataset, method', 'round(nmi, 6)')} AS y FROM pr) GROUP BY ALL),
+ te AS (SELECT dataset, method, CASE ntile(3) OVER (PARTITION BY dataset, method ORDER BY round(ari, 6), seed_r, seed_s) WHEN 1 THEN 'Low' WHEN 2 THEN 'Middle' ELSE 'High' END AS t, round(nmi, 6) AS v FROM pr),
+ tm AS (SELECT dataset, method, median(v) FILTER (t = 'Low') AS low, median(v) FILTER (t = 'Middle') AS middle, median(v) FILTER (t = 'High') AS high FROM te GROUP BY ALL),
+ ga AS (SELECT dataset, method, median(ari) AS split_half_ari, max(ari) AS gain FROM pr GROUP BY ALL)
+ SELECT * FROM rs JOIN co USING (dataset, method) JOIN tm USING (dataset, method) JOIN ga USING (dataset, method)""",
+}

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from seedquorum.functions import scalar as S
 from seedquorum.operators import agreement, consensus, expression, frames, graph, markers, pairs, ranking, relational, spatial, stats, validate
 from seedquorum.plans import oracles
+from seedquorum.plans.workspace import Workspace
 from seedquorum.sources import binding as B
+from seedquorum.sources import files, sinks
 
 TOP = 20
 RADIUS = oracles.RADIUS
@@ -29,10 +31,28 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
+_written: dict[tuple[str, str, str], tuple[Workspace, DataFrame]] = {}
+
+
+def once(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that several queries need, written once per application and folder of tables."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        key = (s.sparkContext.applicationId, d, plan.__name__)
+        if key not in _written:
+            work = Workspace(s, plan.__name__)
+            _written[key] = work, work.write(plan(s, d), plan.__name__)
+        return _written[key][1]
+
+    return run
+
+
+@once
 def accuracy(s: SparkSession, d: str) -> DataFrame:
     return agreement.seed_accuracy(B.runs(s, d))
 
 
+@once
 def pair_scores(s: SparkSession, d: str) -> DataFrame:
     return agreement.pair_agreement(B.runs(s, d))
 
@@ -53,14 +73,14 @@ def iso(s: SparkSession, d: str) -> DataFrame:
     return pairs.iso_summary(seed_pairs(s, d), unit_names(s, d))
 
 
+@once
 def marks(s: SparkSession, d: str) -> DataFrame:
-    """Markers of the first method's runs."""
     e = _rounded(expression.normalize_log1p(B.expression(s, d)), "value")
-    return markers.rank_sum_markers(e, B.runs(s, d).where("method = 'm1'"))
+    return markers.rank_sum_markers(e, B.runs(s, d))
 
 
 def marker_pairs(s: SparkSession, d: str) -> DataFrame:
-    p = pair_scores(s, d).where("method = 'm1'").select("dataset", "method", "seed_r", "seed_s", F.col("ari").alias("partition_ari"))
+    p = pair_scores(s, d).select("dataset", "method", "seed_r", "seed_s", F.col("ari").alias("partition_ari"))
     return markers.pair_rows(p, {"m": markers.pair_metrics(marks(s, d), TOP)}).withColumnsRenamed({"m_jaccard": "jaccard", "m_rank_spearman": "rank_spearman", "m_domains": "domains"})
 
 
@@ -73,7 +93,7 @@ def overlaps(s: SparkSession, d: str) -> DataFrame:
 
 def reference_support(s: SparkSession, d: str) -> DataFrame:
     """Support of the reference classes as if they were the consensus."""
-    r = B.small_runs(s, d)
+    r = B.runs(s, d)
     out = consensus.support(r, r.select("dataset", "method", "obs_id", F.col("ref").alias("cluster")).distinct())
     return _rounded(out, "support").withColumn("class", S.classify(F.col("support"), S.HIGH_SUPPORT, S.LOW_SUPPORT))
 
@@ -156,6 +176,145 @@ def part_sets(s: SparkSession, d: str) -> DataFrame:
     return frames.set_jaccard(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'"), ["l_suppkey"], "l_partkey")
 
 
+def _file(s: SparkSession, name: str) -> str:
+    return f"{Workspace(s, 'files').root}/{name}"
+
+
+def matrix_market(s: SparkSession, d: str) -> DataFrame:
+    """A diagonal matrix after more comments than a reader would look at; an entry looks like the size line."""
+    path = _file(s, "m.mtx")
+    head = s.range(2002).select("id", F.when(F.col("id") == 0, "%%MatrixMarket matrix coordinate integer general").when(F.col("id") == 2001, "25 25 25").otherwise("% comment").alias("value"))
+    k = F.col("n_nationkey") + 1
+    body = B.table(s, d, "nation").select((k + 3000).cast("long").alias("id"), F.concat_ws(" ", k, k, k).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("id").select("value").write.text(path)
+    return files.read_matrix_market(s, path).withColumnsRenamed({"row": "row_number", "column": "column_number"})
+
+
+def graph_audit(s: SparkSession, d: str) -> DataFrame:
+    """Two datasets of the same ids."""
+    n = B.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("obs_id"))
+    v = n.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("dataset"), "obs_id")
+    e = n.where("obs_id < 20").selectExpr("'a' AS dataset", "obs_id AS src", "obs_id + 5 AS dst").unionByName(n.where("obs_id < 10").selectExpr("'b' AS dataset", "obs_id AS src", "obs_id + 1 AS dst"))
+    return spatial.graph_metadata(e, v)
+
+
+def full_outer_nulls(s: SparkSession, d: str) -> DataFrame:
+    left = B.table(s, d, "supplier").selectExpr("s_suppkey AS k", "CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey END AS v")
+    right = B.table(s, d, "customer").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 2 > 0 THEN c_nationkey END AS v")
+    return relational.full_outer_audit(left, right, "k", "v")
+
+
+def not_finite(s: SparkSession, d: str) -> DataFrame:
+    o = B.table(s, d, "orders").selectExpr("try_divide(cast(o_totalprice AS double), o_orderkey % 7) AS x", "cast(o_totalprice AS double) / 1e5 AS y")
+    return validate.not_finite(o, ["x", "y"], unit_interval=True)
+
+
+def rank_sum_audit(s: SparkSession, d: str) -> DataFrame:
+    """Distributions and winners with planted errors."""
+    a = ranking.rank_distribution(accuracy(s, d)).where("NOT (method = 'm2' AND rank_x2 = 6)")
+    w = ranking.winner_probability(accuracy(s, d)).withColumns({"credit": F.expr("CASE WHEN dataset = 'O' THEN 2 * credit ELSE credit END"), "p_rank1": F.expr("CASE WHEN dataset = 'F' THEN 2 * p_rank1 ELSE p_rank1 END")})
+    return validate.rank_sums(a, w, 20**5, 60)
+
+
+def reconcile_units(s: SparkSession, d: str) -> DataFrame:
+    u = units(s, d)
+    other = u.where("method <> 'm5'").withColumn("instability", F.expr("CASE WHEN method = 'm3' THEN instability + 0.1D ELSE instability END"))
+    return validate.reconcile(u, other, ["dataset", "method"], {"instability": 1e-9})
+
+
+def dimension_names(s: SparkSession, d: str) -> DataFrame:
+    n = B.table(s, d, "nation").select("n_nationkey", "n_name")
+    return validate.names_by_dimension(n.withColumn("n_name", F.expr("CASE WHEN n_nationkey % 6 = 0 THEN lower(n_name) ELSE n_name END")), n, "n_nationkey", "n_name")
+
+
+def schema_audit(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(p,) for p in validate.schema_problems(B.table(s, d, "orders"), ["o_orderkey", "o_absent"])], "problem string")
+
+
+def text_rules(s: SparkSession, d: str) -> DataFrame:
+    c = B.table(s, d, "customer")
+    bare = F.regexp_replace("c_name", "^Customer#", "")
+    seconds = S.parse_timestamp(F.concat(F.lit("2020-01-0"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit("T01:00:00+01:00"))).cast("double")
+    out = relational.map_column(c, "c_mktsegment", "mapped", {"BUILDING": "b", "MACHINERY": "m"}, F.col("c_mktsegment"))
+    return out.select("c_custkey", F.startswith("c_name", F.lit("Customer#")).alias("customer"), bare.alias("bare"), S.number(bare).alias("number"), S.number(F.col("c_name")).alias("no_number"), S.canonical_name(F.concat(F.lit("x-"), F.col("c_custkey").cast("string"))).alias("canonical"), S.is_sha256(F.upper(F.sha2("c_name", 256))).alias("good_digest"), S.is_sha256(F.col("c_name")).alias("bad_digest"), S.parse_boolean(F.when(F.col("c_custkey") % 2 == 0, " TRUE").otherwise("false")).alias("flag"), seconds.alias("seconds"), S.snap(F.lit(0.01) + F.lit(1e-16)).alias("snapped"), "mapped")
+
+
+def repeatability(s: SparkSession, d: str) -> DataFrame:
+    """A run against itself under other names, for one method against the next seed."""
+    r = B.runs(s, d)
+    next_ = r.where("seed = 2").selectExpr("dataset", "method", "obs_id", "cluster AS other")
+    right = r.where("seed = 1").join(next_, ["dataset", "method", "obs_id"]).withColumn("cluster", F.expr(f"CASE WHEN method = 'm2' THEN other ELSE (cluster + 1) % {B.K} END"))
+    return agreement.repeatability(r.where("seed = 1"), right, ["dataset", "method"])
+
+
+def discordance(s: SparkSession, d: str) -> DataFrame:
+    o = B.observations(s, d).withColumn("method", F.lit("m"))
+    left = o.withColumn("cluster", F.expr("(ref * 2 + 1 + cast(obs_id % 32 = 0 AS int)) % 5"))
+    return consensus.discordance(left, o.withColumn("cluster", F.col("ref")))
+
+
+def _customers(s: SparkSession, d: str) -> DataFrame:
+    return B.table(s, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+_CUSTOMER = "c_custkey long, c_name string, c_acctbal double"
+
+
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Fixed digits, byte order mark and NA for null."""
+    sinks.write_csv(_customers(s, d), path := _file(s, "c.csv"), digits=12, null="NA", bom=True)
+    return files.read_csv(s, path, _CUSTOMER, null="NA")
+
+
+def tsv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    sinks.write_csv(_customers(s, d), path := _file(s, "c.tsv"), sep="\t")
+    return files.read_tsv(s, path, _CUSTOMER)
+
+
+def headerless_round_trip(s: SparkSession, d: str) -> DataFrame:
+    _customers(s, d).write.csv(path := _file(s, "plain.csv"))
+    return files.read_csv(s, path, _CUSTOMER, header=False)
+
+
+def token_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Old rows by their exact text, new ones after them."""
+    sinks.write_csv(B.table(s, d, "customer").select("c_custkey", "c_name"), path := _file(s, "t.csv"))
+    fresh = B.table(s, d, "supplier").selectExpr("concat('s', s_suppkey) AS c_custkey", "s_name AS c_name")
+    return sinks.token_union(files.read_tokens(s, path, ["c_custkey"]), fresh, ["c_custkey"])
+
+
+def json_summary(s: SparkSession, d: str) -> DataFrame:
+    sinks.write_json_summary(B.table(s, d, "nation").agg(F.count("*").alias("n"), F.max("n_name").alias("last")), path := _file(s, "summary"))
+    return files.read_json_documents(s, path, "n long, last string")
+
+
+def file_manifest(s: SparkSession, d: str) -> DataFrame:
+    """Two published tables: their files by name, with digests."""
+    sinks.publish(s, {"a": B.table(s, d, "nation").coalesce(1), "b": B.table(s, d, "region").coalesce(1)}, path := _file(s, "published"))
+    found = files.discover(s, path, "*.parquet", expected=2)
+    both = files.file_hashes(s, path, "*.parquet").join(found.select("path"), "path", "left")
+    return both.agg(F.count("*").alias("n_files"), F.count_if(S.is_sha256(F.col("sha256"))).alias("n_hashes"), F.count("path").alias("n_found"))
+
+
+def neighbour_mean(s: SparkSession, d: str) -> DataFrame:
+    """Neighbour: the customer's next order of the status."""
+    o = B.table(s, d, "orders").selectExpr("o_orderstatus AS dataset", "o_orderkey AS src", "lead(o_orderkey) OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey) AS dst").where("dst IS NOT NULL")
+    return expression.neighbour_mean(B.expression(s, d), o)
+
+
+def boundary_support(s: SparkSession, d: str) -> DataFrame:
+    p = B.points(s, d)
+    return spatial.boundary_support(spatial.boundary(p), p.selectExpr("dataset", "obs_id", "(obs_id % 100) / 100D AS support"))
+
+
+def ranking_table(s: SparkSession, d: str) -> DataFrame:
+    """Four unit tables, one to one; partition agreement by both measures stands in for markers and gains."""
+    p = pair_scores(s, d).withColumns({n: F.round(n, 6) for n in ("ari", "nmi")}).withColumnsRenamed({"ari": "partition_ari", "nmi": "jaccard"})
+    gains = pair_scores(s, d).groupBy("dataset", "method").agg(F.median("ari").alias("split_half_ari"), F.max("ari").alias("gain"))
+    out = frames.ranking_table(ranking.rank_summary(accuracy(s, d)), stats.spearman(p, ["dataset", "method"], "partition_ari", "jaccard"), markers.tertile_summary(p), gains)
+    return relational.require_columns(out, ["spearman", "gain"]).withColumnsRenamed({"Low": "low", "Middle": "middle", "High": "high"})
+
+
 U = "dataset method"
 P = f"{U} seed_r:i seed_s:i"
 QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
@@ -236,6 +395,32 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "set_jaccard": ("l_suppkey:i shared:i all_items:i jaccard:d", part_sets),
     "four_method_ranks": (f"{U} rank_x2:i combos:i", lambda s, d: ranking.rank_distribution(accuracy(s, d).where("method <> 'm5'"), 4, observed_only=True)),
     "scalar_rules": ("l_orderkey:i l_linenumber:i ratio:d class iso inside returned", scalar_rules),
+    "matrix_market": ("row_number:i column_number:i value:d", matrix_market),
+    "graph_audit": ("dataset n_vertices:i n_edges:i min_degree:i max_degree:i n_isolated:i n_components:i", graph_audit),
+    "table_digest": ("n_rows:i digest", lambda s, d: validate.table_digest(B.table(s, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 10)),
+    "full_outer_nulls": ("k:i status", full_outer_nulls),
+    "not_finite": ("column n_bad:i", not_finite),
+    "row_count_audit": ("name n:i expected:i", lambda s, d: validate.row_counts({"nation": (B.table(s, d, "nation"), 25), "region": (B.table(s, d, "region"), 6)}).withColumnRenamed("table", "name")),
+    "rank_sum_audit": ("dataset rule value:d", rank_sum_audit),
+    "reconcile_units": (f"{U} column left:d right:d", reconcile_units),
+    "names_by_dimension": ("n_nationkey:i n_name canonical", dimension_names),
+    "not_constant": ("o_custkey:i n_values:i", lambda s, d: validate.not_constant(B.table(s, d, "orders"), ["o_custkey"], "o_orderstatus")),
+    "forbidden_tokens": ("name n_lines:i", lambda s, d: validate.forbidden_tokens(B.table(s, d, "documents"), "text", {"licensed": "(?i)licensed under", "never": "no such token 123"})),
+    "schema_audit": ("problem", schema_audit),
+    "text_rules": ("c_custkey:i customer bare number:d no_number:d canonical good_digest bad_digest flag seconds:d snapped:d mapped", text_rules),
+    "first_per_group": ("o_custkey:i o_orderkey:i o_orderstatus", lambda s, d: relational.first_per_group(B.table(s, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"])),
+    "without_pairs": ("o_orderkey:i o_custkey:i", lambda s, d: relational.without(B.table(s, d, "orders"), B.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])),
+    "repeatability": (f"{U} n_obs:i ari:d nmi:d identical", repeatability),
+    "discordance": (f"{U} obs_id:i left right discordant", discordance),
+    "csv_round_trip": ("c_custkey:i c_name c_acctbal:d", csv_round_trip),
+    "tsv_round_trip": ("c_custkey:i c_name c_acctbal:d", tsv_round_trip),
+    "headerless_round_trip": ("c_custkey:i c_name c_acctbal:d", headerless_round_trip),
+    "token_round_trip": ("c_custkey c_name", token_round_trip),
+    "json_summary": ("n:i last", json_summary),
+    "file_manifest": ("n_files:i n_hashes:i n_found:i", file_manifest),
+    "neighbour_mean": ("dataset obs_id:i gene:i value:d", neighbour_mean),
+    "boundary_support": ("dataset boundary_median:d inner_median:d n_boundary:i", boundary_support),
+    "ranking_table": (f"{U} expected_rank:d spearman:d low:d middle:d high:d split_half_ari:d gain:d", ranking_table),
 }
 
 

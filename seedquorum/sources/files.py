@@ -63,15 +63,18 @@ def single_match(spark: SparkSession, pattern: str) -> str:
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """row, column (from 1), value of a coordinate matrix; a symmetric one lists both halves; pattern entries are 1.
 
-    The size line is the first line that isn't a comment; it is told from entries by the file's first lines, read once.
+    The size line is the first line that is neither a comment nor blank; it is told from entries by its place in the file.
     """
-    lines = spark.read.text(path)
-    head = [r[0] for r in lines.limit(1000).collect()]  # comments come first
-    if not head or not head[0].lower().startswith("%%matrixmarket matrix coordinate"):
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    full = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    head = lines.agg(F.min_by("value", "at").alias("banner"), F.min(F.when(full, F.col("at"))).alias("size")).first()
+    if not (head["banner"] or "").lower().startswith("%%matrixmarket matrix coordinate"):
         raise ValidationError(f"{path} is no coordinate matrix")
-    banner, size = head[0].lower().split(), next(x for x in head if not x.startswith("%"))
+    if head["size"] is None:
+        raise ValidationError(f"{path} has no size line")
+    banner = head["banner"].lower().split()
+    rows = lines.where(full & (F.col("at") > F.struct(F.lit(head["size"]["block"]).alias("block"), F.lit(head["size"]["i"]).alias("i"))))
     s = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "") & (F.col("value") != size))
     value = F.lit(1.0) if "pattern" in banner else s[2].cast("double")
     out = rows.select(s[0].cast("long").alias("row"), s[1].cast("long").alias("column"), value.alias("value"))
     if "symmetric" in banner:

@@ -1,3 +1,4 @@
+import collections
 import math
 from itertools import permutations, product
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
-from seedquorum.operators import consensus, expression, graph, markers, ranking, relational, spatial, stats, validate
+from seedquorum.operators import agreement, consensus, expression, graph, markers, ranking, relational, spatial, stats, validate
 from seedquorum.sources import files, sinks
 from seedquorum.streaming import live
 
@@ -174,3 +175,44 @@ def test_stream_scores_what_has_come(spark, tmp_path):
     q = live.score_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first()["ari"] == 1.0
+
+
+def test_nearest_with_an_outlier(spark):
+    """A point a million times further out than the rest changes nothing for them."""
+    r = np.random.default_rng(3)
+    xy = [*map(tuple, r.random((200, 2))), (1e6, 1e6)]
+    p = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "dataset string, obs_id long, x double, y double")
+    got = {(x["src"], x["rank"]): x["dst"] for x in spatial.nearest(p, 3).collect()}
+    a = np.array(xy)
+    for i in range(len(a)):
+        d = np.sqrt(((a - a[i]) ** 2).sum(1))
+        best = sorted((d[j], j) for j in range(len(a)) if j != i)[:3]
+        assert [got[i, k + 1] for k in range(3)] == [j for _, j in best]
+
+
+def test_digest_follows_the_order(spark):
+    df = spark.createDataFrame([(k, -k) for k in range(50)], "k int, v int")
+    digest = lambda d, o: validate.table_digest(d, o, 7).first()["digest"]
+    assert digest(df, ["k"]) == digest(df.repartition(5), ["k"]) != digest(df, ["v"])
+    assert validate.table_digest(df.limit(0), ["k"]).first()["n_rows"] == 0
+
+
+def test_lookup_keys_are_unique(spark):
+    base, other = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(relational.ValidationError):
+        relational.lookup(base, other, ["k"])
+
+
+def test_pair_agreement_of_null_labels_and_gaps(spark):
+    """Labels of any number; a null is a label; observations that a seed lacks don't count for its pairs."""
+    r = np.random.default_rng(1)
+    rows = [("d", "m", s, i, None if r.random() < 0.1 else f"c{r.integers(0, 30)}") for s in range(4) for i in range(80) if r.random() < 0.9]
+    got = {(x["seed_r"], x["seed_s"]): x for x in agreement.pair_agreement(spark.createDataFrame(rows, "dataset string, method string, seed int, obs_id int, cluster string")).collect()}
+    of = {(s, i): c for _, _, s, i, c in rows}
+    pairs = lambda c: sum(n * (n - 1) / 2 for n in c.values())
+    for a in range(4):
+        for b in range(a + 1, 4):
+            both = [(of[a, i], of[b, i]) for i in range(80) if (a, i) in of and (b, i) in of]
+            n, x, y, z = len(both), collections.Counter(both), collections.Counter(p for p, _ in both), collections.Counter(q for _, q in both)
+            e = pairs(y) * pairs(z) / (n * (n - 1) / 2)
+            assert got[a, b]["n_obs"] == n and abs(got[a, b]["ari"] - (pairs(x) - e) / ((pairs(y) + pairs(z)) / 2 - e)) < 1e-12
