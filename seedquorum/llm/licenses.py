@@ -1,12 +1,16 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-A header is a line that names a licence; a licence file is a text that as a whole is close to a template. Document frequencies of the
-templates' words come from every header of the table. A file without a licence of its own takes that of the licence
-file in the nearest directory above it: distinct directories list their ancestors, which meet the licence files by an
-equi-join on the path, so a directory's files are never multiplied by its depth.
+A header is a line that names a licence, compared with header wording; the document frequencies of its words come from every header of
+the table. A licence file is a text whose whole bag of words is close to a licence's text (``licence_texts``: sparse vectors over the
+templates' words, with the document frequencies of all texts), or one most of which is a header. Texts that cannot reach the
+threshold, as their other words alone make them too long, are told apart by that bound; the rest are scored exactly.
+A file without a licence of its own takes that of the licence file in the nearest directory above it: distinct directories list
+their ancestors, which meet the licence files by an equi-join on the path, so a directory's files are never multiplied by its depth.
 
-Defined cases: null and empty texts have no header; of equal scores the first template by name wins, of several headers the best, then the first;
-a null path has no directory and inherits nothing; repeated rows get a row each; an empty table gives an empty result; further columns aren't read.
+Defined cases: null and empty texts have no licence of their own; a text's likeness to a licence's text goes before its headers; of equal
+scores the first template by name wins, of several headers the best, then the first; a null path has no directory and inherits nothing;
+rows that share id and path are told apart by their texts, repeated rows get a row each; an empty table gives an empty result;
+further columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedquorum.llm import text as T
+from seedquorum.llm.licence_texts import TEXTS
 from seedquorum.plans.workspace import Workspace
 
 #: Header wording by SPDX id.
@@ -37,7 +43,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 NAMED = re.compile(r"licen[cs]e|released under|public domain|mozilla public", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-HEADER_SCORE, FILE_SCORE = 0.6, 0.5
+HEADER_SCORE, TEXT_SCORE = 0.6, 0.6
 
 
 def words(text: str) -> list[str]:
@@ -59,18 +65,110 @@ def headers(text: str) -> list[tuple[int, str]]:
     return out
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of ASCII letters and digits in lower case, and per row the range of its tokens."""
+    start, end = T.runs(_ALNUM[data], bounds)
+    return T.mix(T.range_hash(T.prefix_sums(T.LOWER[data]), start, end) + (end - start).astype(np.uint64)), np.searchsorted(start, bounds)
+
+
+def _hashes(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return _tokens(data, np.array([0, len(data)]))[0]
+
+
+#: The licence texts and their openings, which some files hold alone: names, words as sorted hashes, counts of them.
+OPENING = 1500
+_TEXTS = [(n, t) for n in sorted(TEXTS) for t in dict.fromkeys((TEXTS[n], TEXTS[n][:OPENING]))]
+NAMES = [n for n, _ in _TEXTS]
+TERMS = np.unique(np.concatenate([_hashes(t) for _, t in _TEXTS]))
+COUNTS = np.array([np.bincount(np.searchsorted(TERMS, _hashes(t)), minlength=len(TERMS)) for _, t in _TEXTS], float)
+
+
+def _known(h: np.ndarray) -> np.ndarray:
+    """The tokens' numbers among the templates' words; -1 for others."""
+    at = np.minimum(np.searchsorted(TERMS, h), len(TERMS) - 1)
+    return np.where(TERMS[at] == h, at, -1)
+
+
+_FOUND = "doc_id long, path string, th long, start long, line string, mostly boolean, term int, n long"
+
+
 def _headers(batches):
-    """Header lines of each text, and the text as a whole if it is no longer than a licence header (a licence file)."""
+    """Header lines of each text; ``mostly``: they make up most of it. Last, the number of texts that hold each template word (-1: all)."""
+    names, kinds = ["doc_id", "path", "th", "start", "line", "mostly", "term", "n"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*zip(*rows, strict=True)] if rows else [()] * 8, kinds, strict=True)], names)
+    total, n = np.zeros(len(TERMS), np.int64), 0
     for batch in batches:
         rows = []
-        for doc, path, text in zip(batch.column("doc_id").to_pylist(), batch.column("path").to_pylist(), batch.column("text"), strict=True):
+        for doc, path, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "path", "th")), batch.column("text"), strict=True):
             text = text.as_py() or ""
-            found = [(doc, path, *h) for h in headers(text)]
-            share = sum(len(f[3].strip()) for f in found)
-            rows += [(*f, 2 * share > len(text.strip())) for f in found]
-        cols = [*zip(*rows, strict=True)] if rows else [()] * 5
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "path", "start", "line", "mostly"])
+            found = [(doc, path, th, *h) for h in headers(text)]
+            share = sum(len(f[4].strip()) for f in found)
+            rows += [(*f, 2 * share > len(text.strip()), None, None) for f in found]
+        data, offs = T.flat(batch.column("text"))
+        for i, j in T.blocks(offs):
+            h, at = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            k = _known(h)
+            hit = np.flatnonzero(k >= 0)
+            own = np.unique((np.searchsorted(at, hit, "right") - 1) * len(TERMS) + k[hit])
+            total += np.bincount(own % len(TERMS), minlength=len(TERMS))
+        n += batch.num_rows
+        yield made(rows)
+    yield made([(None, None, None, None, None, None, k, int(c)) for k, c in enumerate(total.tolist()) if c] + [(None, None, None, None, None, None, -1, n)])
+
+
+class FileMatcher:
+    """Cosines of whole texts to the licence texts."""
+
+    def __init__(self, frequency: dict[int, int], n: int):
+        self.idf = np.array([math.log((1 + n) / (1 + frequency.get(k, 0))) + 1 for k in range(len(TERMS))])
+        self.other = math.log(1 + n) + 1
+        weights = COUNTS * self.idf
+        self.unit = weights / np.sqrt((weights**2).sum(1))[:, None]
+
+    def __call__(self, column: pa.Array, least: float):
+        """(row, name, score) of texts that reach ``least``."""
+        data, offs = T.flat(column)
+        for i, j in T.blocks(offs):
+            h, at = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            k = _known(h)
+            row = np.repeat(np.arange(j - i), np.diff(at))
+            known = k >= 0
+            cell, count = np.unique(row[known] * len(TERMS) + k[known], return_counts=True)
+            weight = count * self.idf[cell % len(TERMS)]
+            cell_row = cell // len(TERMS)
+            square = np.bincount(cell_row, weight**2, j - i)
+            others = np.bincount(row[~known], minlength=j - i)
+            # the other words' squares are at least their number, and the cosine at most the known words' share
+            for r in np.flatnonzero((square > 0) & (square >= least**2 * (square + others * self.other**2))):
+                mine = slice(*np.searchsorted(cell_row, (r, r + 1)))
+                vector = np.zeros(len(TERMS))
+                vector[cell[mine] % len(TERMS)] = weight[mine]
+                rest = h[at[r] : at[r + 1]][~known[at[r] : at[r + 1]]]
+                norm = math.sqrt(square[r] + (np.unique(rest, return_counts=True)[1].astype(float) ** 2).sum() * self.other**2)
+                scores = np.round(self.unit @ vector / norm, 9)
+                best = int(scores.argmax())
+                if scores[best] >= least:
+                    yield i + int(r), NAMES[best], float(scores[best])
+
+
+_OWN = "doc_id long, path string, th long, license string, score double, start long, line string, file boolean, whole boolean"
+
+
+def _files(frequency: dict[int, int], n: int):
+    def run(batches):
+        m = FileMatcher(frequency, n)
+        for batch in batches:
+            got = list(m(batch.column("text"), TEXT_SCORE))
+            rows = pa.array([g[0] for g in got], pa.int64())
+            cols = [batch.column(c).take(rows) for c in ("doc_id", "path", "th")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.float64()), pa.array([0] * len(got), pa.int64()), pa.nulls(len(got), pa.string()), *[pa.array([True] * len(got), pa.bool_())] * 2], ["doc_id", "path", "th", "license", "score", "start", "line", "file", "whole"])
+
+    return run
 
 
 def _frequencies(batches):
@@ -110,7 +208,10 @@ def _match(frequency: dict[str, int], n: int):
         m = Matcher(frequency, n)
         for batch in batches:
             got = [m.best(line) for line in batch.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "path", "start", "line", "mostly")), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "path", "start", "line", "mostly", "license", "score"])
+            score = np.array([g[1] for g in got], float)
+            file = batch.column("mostly").to_numpy(zero_copy_only=False).astype(bool)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "path", "th")), pa.array([g[0] for g in got], pa.string()), pa.array(score), batch.column("start"), batch.column("line"), pa.array(file, pa.bool_()), pa.array([False] * len(got), pa.bool_())], ["doc_id", "path", "th", "license", "score", "start", "line", "file", "whole"])
+            yield out.filter(pa.array(score >= HEADER_SCORE))
 
     return run
 
@@ -121,22 +222,27 @@ def directory(path):
 
 
 def scan(files: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """``files`` (doc_id, path, text) with license, score, start and line of the best header, is_license_file, inherited_from."""
+    """``files`` (doc_id, path, text) with license, score, start and line of the best header (a whole text's: 0 and null), is_license_file, inherited_from."""
     work = work or Workspace(files.sparkSession, "licenses")
-    files = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text")
-    found = work.write(files.mapInArrow(_headers, "doc_id long, path string, start long, line string, mostly boolean"), "headers")
-    df = {r["word"]: r["n"] for r in found.select("line").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per template word
+    files = files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", F.xxhash64("text").alias("th"), "text")
+    found = work.write(files.mapInArrow(_headers, _FOUND), "headers")
+    terms = {r["term"]: r["n"] for r in found.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row per template word
+    lines = found.where("term is null").drop("term", "n")
+    df = {r["word"]: r["n"] for r in lines.select("line").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per word of header wording
     n = df.pop("", 0)
-    scored = found.mapInArrow(_match(df, n), "doc_id long, path string, start long, line string, mostly boolean, license string, score double").where(F.col("score") >= HEADER_SCORE)
-    own = scored.groupBy("doc_id", "path").agg(F.max_by(F.struct("license", "score", "start", "line", (F.col("mostly") & (F.col("score") >= FILE_SCORE)).alias("file")), F.struct("score", -F.col("start"))).alias("own"))
+    scored = lines.mapInArrow(_match(df, n), _OWN).unionByName(files.mapInArrow(_files(terms, terms.pop(-1, 0)), _OWN))
+    key = ["doc_id", "path", "th"]
+    own = scored.groupBy(*key).agg(F.max_by(F.struct("license", "score", "start", "line", "file"), F.struct("whole", "score", -F.col("start"))).alias("own"))
     own = work.write(own, "own")
     givers = own.where("own.file and path is not null").select(directory(F.col("path")).alias("up"), F.struct(-F.col("own.score"), "path", "own.license").alias("g"))
     givers = givers.groupBy("up").agg(F.min("g").alias("g"))
-    rows = files.select("doc_id", "path").join(own, (files.doc_id == own.doc_id) & files.path.eqNullSafe(own.path), "left").select(files.doc_id, files.path, "own", directory(files.path).alias("dir"))
+    hit = own.select(*(F.col(c).alias(f"own_{c}") for c in key), "own")
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in key]
+    rows = files.select(*key).join(hit, same[0] & same[1] & same[2], "left").select("doc_id", "path", "own", directory(F.col("path")).alias("dir"))
     dirs = rows.where("own is null and dir is not null").select("dir").distinct()
     steps = dirs.select("dir", F.split("dir", "/").alias("s"))
     above = steps.select("dir", F.explode(F.expr("transform(sequence(0, size(s)), k -> struct(k as depth, array_join(slice(s, 1, k), '/') as up))")).alias("a")).select("dir", "a.*")
-    heir = above.join(givers, "up").groupBy("dir").agg(F.max_by(F.struct("g.license", "g.path"), "depth").alias("from"))
+    heir = work.write(above.join(givers, "up").groupBy("dir").agg(F.max_by(F.struct("g.license", "g.path"), "depth").alias("from")), "heirs")
     out = rows.join(heir, "dir", "left")
     return out.select(
         "doc_id",

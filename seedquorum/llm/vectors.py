@@ -1,6 +1,6 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-1. collapse  bit-equal vectors to their smallest id with a count, so a group of copies is one point with a weight.
+1. collapse  bit-equal vectors to one point with a count, so a group of copies is one point with a weight.
 2. order     vectors of length one are projected on the leading principal directions (from a distributed covariance); the
              grid cells of side epsilon on the first few of these, then the id, give a sequence, sorted by range.
 3. join      the sequence is cut into blocks. Blocks meet by an equi-join on the first grid coordinate and its neighbour, and
@@ -11,7 +11,8 @@
 
 Cosine >= c of unit vectors is distance <= sqrt(2 - 2c) = epsilon, and a projection never lengthens a distance, so nothing
 is lost. Defined cases: null, zero and ragged vectors and those with null or non-finite parts link with nothing; vectors of
-different lengths don't link; repeated rows are copies of each other; an empty table gives an empty result; further columns aren't read.
+different lengths don't link; parts of any size do, as far as doubles go; repeated rows are copies of each other; null ids are
+vectors of their own that a class is named after only if it has no other; an empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,21 +32,30 @@ _SLACK = 1e-5
 
 
 def _clean(batches):
-    """Valid vectors as bytes of doubles with a digest; others with dim 0."""
+    """Valid vectors as bytes of doubles with a digest; others with dim 0. A power of two brings the largest part near one, so no norm overflows."""
     for batch in batches:
-        raw, dim, hi, lo = [], [], [], []
-        for v in batch.column("embedding").to_pylist():
-            x = np.array(v, np.float64) if v and None not in v else np.zeros(0)
-            with np.errstate(over="ignore"):
-                good = len(x) > 0 and bool(np.isfinite(x).all()) and 0 < float(x @ x) < np.inf
-            x = (x + 0.0) if good else np.zeros(0)
-            raw.append(x.tobytes())
-            dim.append(len(x))
-            d = xxhash.xxh3_128_intdigest(raw[-1])
-            hi.append(d >> 64)
-            lo.append(d & (1 << 64) - 1)
+        lists = batch.column("embedding")
+        offs, part = lists.offsets.to_numpy().astype(np.int64), lists.values.cast(pa.float64())
+        x = np.array(part.to_numpy(zero_copy_only=False), np.float64)  # null parts become NaN
+        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(offs), 0)
+        full = np.flatnonzero(size > 0)
+        dim = np.zeros(len(lists), np.int32)
+        if len(full):
+            at = np.repeat(offs[full] - np.append(0, np.cumsum(size[full])[:-1]), size[full]) + np.arange(int(size[full].sum()))
+            x, first = x[at], np.cumsum(size[full]) - size[full]
+            top = np.maximum.reduceat(np.where(np.isfinite(x), np.abs(x), np.inf), first)
+            good = np.isfinite(top) & (top > 0)
+            keep = np.repeat(good, size[full])
+            x = np.ldexp(x[keep], np.repeat(-np.frexp(top[good])[1], size[full][good])) + 0.0
+            dim[full[good]] = size[full][good]
+        else:
+            x = x[:0]
+        cut = np.append(0, np.cumsum(dim.astype(np.int64))) * 8
+        raw = memoryview(np.ascontiguousarray(x)).cast("B")
+        d = [xxhash.xxh3_128_intdigest(raw[s:e]) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         as_long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(dim, pa.int32()), as_long(hi), as_long(lo), pa.array(raw, pa.binary())], ["vec_id", "dim", "hi", "lo", "x"])
+        body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(cut), pa.py_buffer(raw)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(dim, pa.int32()), as_long([v >> 64 for v in d]), as_long([v & (1 << 64) - 1 for v in d]), body], ["vec_id", "dim", "hi", "lo", "x"])
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -218,8 +228,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None
     work = work or Workspace(spark, "vectors")
     eps = float(np.sqrt(2 - 2 * cosine))
     clean = work.write(vectors.select("vec_id", "embedding").mapInArrow(_clean, "vec_id long, dim int, hi long, lo long, x binary"), "clean")
-    points = clean.where("dim > 0").groupBy("dim", "hi", "lo").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("x").alias("x"))
-    points = work.write(points, "points")
+    points = clean.where("dim > 0").groupBy("dim", "hi", "lo").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.min("x").alias("x"))
+    points = work.write(points.withColumn("rep", F.monotonically_increasing_id()), "points")
     found = None
     for dim in sorted(r["dim"] for r in points.select("dim").distinct().collect()):  # lengths of vectors: one, as a rule
         own = points.where(F.col("dim") == dim).select("rep", "n", "x")
@@ -244,10 +254,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None
         return clean.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     classes = connected_components(found, "rep", "root").withColumnRenamed("id", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of = points.select("dim", "hi", "lo", "rep", "n").join(links, "rep", "left").join(classes, "rep", "left")
-    of = of.select("dim", "hi", "lo", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of = points.drop("x").join(links, "rep", "left").join(classes, "rep", "left").withColumn("class", F.coalesce("component", "rep"))
+    of = work.write(of.select("dim", "hi", "lo", "class", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "of")
+    least = work.write(of.groupBy("class").agg(F.min("least").alias("component_id")), "least")
+    of = work.write(of.drop("least").join(least, "class").drop("class"), "classes")
     out = clean.select("vec_id", "dim", "hi", "lo").join(of, ["dim", "hi", "lo"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op10_embedding_neardup(spark, sf_dir: str) -> DataFrame:

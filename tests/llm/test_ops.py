@@ -387,6 +387,49 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_license_files(spark):
+    """Licence texts, whole or as openings, are found by their words and inherited; scores are those of plain dictionaries."""
+    import math
+
+    T_ = licenses.TEXTS
+    mit, bsd, apache = (T_[n].replace("<year>", "2031").replace("<copyright holders>", "Some Body") for n in ("MIT", "BSD-3-Clause", "Apache-2.0"))
+    prose = " ".join(random.Random(3).choice(WORDS + ["the", "of", "software", "license"]) for _ in range(4000))
+    rows = [(1, "a/LICENSE", mit), (2, "a/b/x.py", "code"), (3, "c/COPYING", bsd), (4, "c/y.py", None), (5, "d/LICENSE", apache), (6, "d/e/f/z.py", ""), (7, "g/LICENSE", apache[:1200]), (8, "g/w.py", "w"), (9, "h/p.txt", prose)]
+    rows += [(10, "a/LICENSE", mit[:700]), (10, "a/LICENSE", "nothing of that kind"), (2, "a/b/x.py", "code"), (11, "k/t.py", prose + "\nReleased under the MIT License.\n" + prose)]
+    docs = spark.createDataFrame([(*x, 1, "r") for x in rows], "doc_id long, path string, text string, own int, `a.b` string")
+    got = licenses.scan(docs).collect()
+    of = lambda i: sorted((str(r["license"]), r["is_license_file"], str(r["inherited_from"])) for r in got if r["doc_id"] == i)
+    assert len(got) == len(rows) and of(1) == [("MIT", True, "None")] and of(2) == [("MIT", False, "a/LICENSE")] * 2
+    assert of(3) == [("BSD-3-Clause", True, "None")] and of(4) == [("BSD-3-Clause", False, "c/COPYING")]
+    assert of(5) == of(7) == [("Apache-2.0", True, "None")] and of(6) == [("Apache-2.0", False, "d/LICENSE")] and of(8) == [("Apache-2.0", False, "g/LICENSE")]
+    assert of(9) == [("None", False, "None")] and of(10) == [("MIT", False, "a/LICENSE"), ("MIT", True, "None")] and of(11) == [("MIT", False, "None")]
+    # scores by brute force
+    bag = lambda t: collections.Counter(re.findall(r"[a-z0-9]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), t or "")))
+    n, held = len(rows), collections.Counter(w for x in rows for w in bag(x[2]))
+    idf = lambda w: math.log((1 + n) / (1 + (held[w] if w in known else 0))) + 1
+    texts_ = [t for name in T_ for t in (T_[name], T_[name][: licenses.OPENING])]
+    known = {w for t in texts_ for w in bag(t)}
+
+    def cosine(a, b):
+        a, b = ({w: c * idf(w) for w, c in bag(x).items()} for x in (a, b))
+        return sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    for r in got:
+        if r["is_license_file"]:
+            text = next(x[2] for x in rows if x[0] == r["doc_id"] and x[2][:9] != "nothing o")
+            assert abs(r["score"] - max(cosine(text, t) for t in texts_)) < 1e-8
+
+
+def test_vectors_of_any_size(spark):
+    """Huge and tiny parts link by their angle; other columns and an empty table don't matter."""
+    a = [1.0, 2.0, 3.0, 4.0]
+    rows = [(1, [x * 1e200 for x in a]), (2, [x * 1e-200 for x in a]), (3, a), (4, [-x for x in a]), (5, [5e-324, 0.0, 0.0, 0.0]), (6, [1e308, 0.0, 0.0, 0.0]), (7, [0.0, float("inf"), 0.0, 0.0]), (8, []), (8, a), (None, [0.0, 0.0, 1.0, 0.0]), (None, [0.0, 0.0, 1.0, 0.1]), (None, [-1.0, 1.0, 0.0, 0.0]), (9, [-1.0, 1.0, 0.01, 0.0])]
+    docs = spark.createDataFrame([(*x, 0, 0) for x in rows], "vec_id long, embedding array<double>, rep int, n int")
+    got = collections.Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in vectors.near_vectors(docs).collect())
+    assert got == collections.Counter([(1, 3, 1), (2, 3, 1), (3, 3, 1), (8, 3, 1), (8, 0, 8), (4, 0, 4), (5, 1, 5), (6, 1, 5), (7, 0, 7), (None, 1, None), (None, 1, None), (None, 1, 9), (9, 1, 9)])
+    assert vectors.near_vectors(docs.limit(0)).count() == 0
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(0)
     c = rng.normal(size=(6, 8))
