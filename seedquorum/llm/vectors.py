@@ -28,6 +28,7 @@ from seedquorum.plans.workspace import Workspace
 
 BLOCK, LEAF = 4096, 256
 GRID, AXES = 4, 16
+PARTNERS = 32
 _SLACK = 1e-5
 
 
@@ -201,23 +202,33 @@ class _Join:
 
 
 def _join(axes: np.ndarray, dim: int, cosine: float):
+    """Rows by (a, salt): first block a itself, then its partners one by one."""
+
+    def links(a, b, same: bool) -> pa.RecordBatch:
+        (ia, na, x), (ib, nb, y) = a, b
+        j = _Join(x, y, axes, cosine, same)
+        la = np.zeros(len(ia), np.int64)
+        found = (la, la if same else np.zeros(len(ib), np.int64))
+        j.go(0, len(ia), 0, len(ib), na, nb, found)
+        ids, count = (ia, la) if same else (np.concatenate([ia, ib]), np.concatenate(found))
+        hit = np.flatnonzero(count)
+        root = ids[[j.find(int(i)) for i in hit]] if len(hit) else ids[:0]
+        return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(count[hit]), pa.array(root)], ["rep", "links", "root"])
+
     def run(batches):
+        own = None
         for batch in batches:
-            for r in batch.to_pylist():
-                side = []
-                for k in "ab":
-                    x = np.frombuffer(r[f"xs_{k}"], np.float64).reshape(-1, dim)
-                    side.append((np.frombuffer(r[f"reps_{k}"], np.int64), np.frombuffer(r[f"ns_{k}"], np.int64), x / np.sqrt((x * x).sum(1))[:, None]))
-                (ia, na, a), (ib, nb, b) = side
-                same = r["a"] == r["b"]
-                j = _Join(a, b, axes, cosine, same)
-                la = np.zeros(len(ia), np.int64)
-                links = (la, la if same else np.zeros(len(ib), np.int64))
-                j.go(0, len(ia), 0, len(ib), na, nb, links)
-                ids, count = (ia, la) if same else (np.concatenate([ia, ib]), np.concatenate(links))
-                hit = np.flatnonzero(count)
-                root = ids[[j.find(int(i)) for i in hit]] if len(hit) else ids[:0]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(count[hit]), pa.array(root)], ["rep", "links", "root"])
+            salts, partner = batch.column("salt").to_pylist(), batch.column("partner").to_pylist()
+            for r in range(batch.num_rows):
+                reps, ns, xs = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("reps", np.int64), ("ns", np.int64), ("xs", np.float64)))
+                x = xs.reshape(-1, dim)
+                block = reps.copy(), ns.copy(), x / np.sqrt((x * x).sum(1))[:, None]
+                if partner[r]:
+                    yield links(own, block, False)
+                else:
+                    own = block
+                    if not salts[r]:
+                        yield links(own, own, True)
 
     return run
 
@@ -246,8 +257,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None
         gap = "aggregate(transform(arrays_zip(al, ah, bl, bh), z -> greatest(0D, z.al - z.bh, z.bl - z.ah)), 0D, (s, g) -> s + g * g)"
         pairs = left.join(right, "cell").where("a <= b").where(f"{gap} <= {eps * eps + _SLACK}").select("a", "b").distinct()
         pairs = pairs.unionByName(left.join(right, "cell").where("a > b").where(f"{gap} <= {eps * eps + _SLACK}").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        body = lambda k: blocks.select(F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("reps", "ns", "xs")))
-        full = pairs.join(body("a"), "a").join(body("b"), "b").repartition(F.expr("xxhash64(a, b)"))
+        # a block is shipped once for each of its partners, and itself once per PARTNERS of them
+        pairs = work.write(pairs.where("a <> b"), "pairs")
+        salts = pairs.groupBy("a").agg(F.expr(f"cast(count(*) div {PARTNERS} + 1 as int)").alias("salts"))
+        salts = work.write(blocks.select(F.col("block").alias("a")).join(salts, "a", "left").select("a", F.coalesce("salts", F.lit(1)).alias("salts")), "salts")
+        body = ["reps", "ns", "xs"]
+        owners = salts.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt")).join(blocks.select(F.col("block").alias("a"), *body), "a").select("a", "salt", F.lit(False).alias("partner"), *body)
+        partners = pairs.join(salts, "a").select("a", F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), "b").join(blocks.select(F.col("block").alias("b"), *body), "b").select("a", "salt", F.lit(True).alias("partner"), *body)
+        full = owners.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
         hits = work.write(full.mapInArrow(_join(axes, dim, cosine), "rep long, links long, root long"), f"hits{dim}")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
