@@ -376,7 +376,7 @@ def _classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFram
         if not absent.isEmpty():
             texts = texts.unionByName(fetched(absent, "texts_absent"))
         counts = work.write(cluster.groupBy("cluster").agg(F.count("*").alias("c")), "counts")
-        one = cluster.join(leaf.select("point", "n", "small", "comp"), "point").dropDuplicates(["point"])
+        one = cluster.join(leaf.select("point", "n", "small", "comp").dropDuplicates(["point"]), "point")
         fit = F.col("c") <= BLOCK * TREES // 2
         groups = _in_blocks(one, "cluster", counts.where(fit))
         huge = counts.where(~fit)
