@@ -97,6 +97,7 @@ def _known(h: np.ndarray) -> np.ndarray:
 _FOUND = "doc_id long, path string, th long, start long, line string, mostly boolean, term int, n long"
 
 
+@T.released
 def _headers(batches):
     """Header lines of each text; ``mostly``: they make up most of it. Last, the number of texts that hold each template word (-1: all)."""
     names, kinds = ["doc_id", "path", "th", "start", "line", "mostly", "term", "n"], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64()]
@@ -168,9 +169,10 @@ def _files(frequency: dict[int, int], n: int):
             cols = [batch.column(c).take(rows) for c in ("doc_id", "path", "th")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.float64()), pa.array([0] * len(got), pa.int64()), pa.nulls(len(got), pa.string()), *[pa.array([True] * len(got), pa.bool_())] * 2], ["doc_id", "path", "th", "license", "score", "start", "line", "file", "whole"])
 
-    return run
+    return T.released(run)
 
 
+@T.released
 def _frequencies(batches):
     place = {w: i for i, w in enumerate(VOCABULARY)}
     total, n = np.zeros(len(VOCABULARY), np.int64), 0
@@ -213,7 +215,7 @@ def _match(frequency: dict[str, int], n: int):
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "path", "th")), pa.array([g[0] for g in got], pa.string()), pa.array(score), batch.column("start"), batch.column("line"), pa.array(file, pa.bool_()), pa.array([False] * len(got), pa.bool_())], ["doc_id", "path", "th", "license", "score", "start", "line", "file", "whole"])
             yield out.filter(pa.array(score >= HEADER_SCORE))
 
-    return run
+    return T.released(run)
 
 
 def directory(path):

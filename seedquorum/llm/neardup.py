@@ -91,7 +91,7 @@ def _sketch(k: int):
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "doc", "th")), pa.array(n, pa.int64()), as_long(hi), as_long(lo), pa.array(sig, pa.binary())], ["doc_id", "doc", "th", "n", "hi", "lo", "sig"])
 
-    return run
+    return T.released(run)
 
 
 def _signatures(batch: pa.RecordBatch) -> np.ndarray:
@@ -112,7 +112,7 @@ def _regions(orders: list[np.ndarray], depth: int, seed: int):
                     x = T.mix(x * np.uint64(0x9E6C63D0876A9A47) + sig[:, d])
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(sig), t, np.int32)), ids], ["region", "tree", "point"])
 
-    return run
+    return T.released(run)
 
 
 def _small(sig: np.ndarray) -> pa.Array:
@@ -120,6 +120,7 @@ def _small(sig: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
 
 
+@T.released
 def _tails(batches):
     """The order's further minima, big-endian so that bytes sort."""
     for batch in batches:
@@ -131,6 +132,7 @@ def _tails(batches):
         yield pa.RecordBatch.from_arrays([batch.column("region"), pa.array([x.tobytes() for x in tail], pa.binary()), batch.column("point"), batch.column("n"), _small(sig)], ["region", "tail", "point", "n", "small"])
 
 
+@T.released
 def _sketches_of(batches):
     for batch in batches:
         if batch.num_rows:
@@ -166,7 +168,7 @@ def _neighbours(percent: int):
             before = batch.slice(max(0, batch.num_rows - NEIGHBOURS))
             yield from pairs(batch)
 
-    return run
+    return T.released(run)
 
 
 class _Forest:
@@ -245,7 +247,7 @@ def _loose_leaves(percent: int):
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return run
+    return T.released(run)
 
 
 def _settle(k: int, percent: int):
@@ -297,7 +299,7 @@ def _confirm(k: int, percent: int):
                 keep.append(bool(len(left) and len(y)) and 100 * both >= percent * (len(left) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return T.released(run)
 
 
 def _classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:

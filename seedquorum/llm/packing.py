@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedquorum.llm import text as T
 from seedquorum.llm import tokens
 from seedquorum.plans.workspace import Workspace
 
@@ -177,7 +178,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return T.released(run)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, work: Workspace | None = None) -> DataFrame:

@@ -150,7 +150,7 @@ def _segments(kind: Kind):
                     ["anchor", "digest", "off", "span", "doc", "th", "at"],
                 )
 
-    return run
+    return T.released(run)
 
 
 _KEY = ["anchor", "digest", "off", "span"]
@@ -181,7 +181,7 @@ def _cut_out(kind: Kind):
                     out, held = [], 0
             yield made(out)
 
-    return run
+    return T.released(run)
 
 
 class SuffixSorter:
@@ -356,7 +356,7 @@ def _sort_variants(kind: Kind):
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    return run
+    return T.released(run)
 
 
 def _window_digests(kind: Kind):
@@ -372,7 +372,7 @@ def _window_digests(kind: Kind):
                 place = pa.array(np.arange(n, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in own.columns), place, place, pa.array(hi), pa.array(lo)], [*own.column_names, "first", "last", "hi", "lo"])
 
-    return run
+    return T.released(run)
 
 
 def _merge(ranges: list) -> list[tuple[int, int]]:
@@ -418,9 +418,10 @@ def _keep(kind: Kind):
                 cut.append(sum(e - s for s, e in gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(spans, types), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return run
+    return T.released(run)
 
 
+@T.released
 def _digest(batches):
     """The contract's columns, and the number of longer passages of words."""
     for batch in batches:
@@ -503,7 +504,7 @@ def without_repeats(docs: DataFrame, work: Workspace | None = None, kind: Kind =
                 cols[size] = pa.array([len(t or "") for t in new]).cast(cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.toDF(*T.numbered(rows.columns)).mapInArrow(run, docs.schema)
+    return rows.toDF(*T.numbered(rows.columns)).mapInArrow(T.released(run), docs.schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

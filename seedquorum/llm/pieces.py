@@ -211,7 +211,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), lists, pa.array(ok, pa.bool_())], ["doc_id", "n_pieces", "ids", "decoded_ok"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, decoded_ok boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.released(run), "doc_id long, n_pieces long, ids array<int>, decoded_ok boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -228,7 +228,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(offs[:-1], offs[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(T.released(run), "doc_id long, text string")
 
 
 def op1_sentencepiece(spark, sf_dir: str, path: str | None = None) -> DataFrame:

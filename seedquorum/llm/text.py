@@ -100,6 +100,18 @@ def exact_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(range_hash(prefix_sums(data), start, end) + (end - start).astype(np.uint64)), start, end, np.searchsorted(start, bounds)
 
 
+def released(run):
+    """A function of batches that gives Arrow's unused memory back to the system when it ends: idle workers would keep it for long."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that none of ``columns`` has."""
     taken = {c.lower() for c in columns}

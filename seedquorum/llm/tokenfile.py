@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seedquorum.llm import text as T
 from seedquorum.llm import tokens
 from seedquorum.plans.workspace import Workspace
 
@@ -110,7 +111,7 @@ def _tokenize(path: str, end_id: int):
         hit = np.flatnonzero(total)
         yield row(-1, 0, 0, 0, np.zeros(0), hit.astype("<i8"), total[hit].astype("<i8"))
 
-    return run
+    return T.released(run)
 
 
 _PLAIN = "shard int, block int, start long, n_ids long, width int, docs binary, sizes binary, ids binary"
@@ -120,6 +121,7 @@ def _ids(width: int, raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype(np.int64)
 
 
+@T.released
 def _counts(batches):
     for batch in batches:
         for ids, n in zip(batch.column("sizes"), batch.column("ids"), strict=True):
@@ -136,7 +138,7 @@ def _write(ids_by_rank: np.ndarray):
                 made.append(pack_block(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["sizes"], "<u4"), rank[_ids(r["width"], r["ids"])], r["start"]))
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("block"), batch.column("n_ids"), pa.array(made, pa.binary())], ["shard", "block", "n_ids", "payload"])
 
-    return run
+    return T.released(run)
 
 
 def write_token_files(docs: DataFrame, target: str, path: str, end_id: int, shards: int | None = None) -> None:
@@ -175,7 +177,7 @@ def read_token_files(spark: SparkSession, target: str) -> DataFrame:
     totals = shards.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = totals.select("shard", before.alias("first"))  # a row per shard
-    rows = shards.select("shard", "payload").mapInArrow(decode, "shard int, doc_id long, own long, n_tokens long, ids_crc32 long")
+    rows = shards.select("shard", "payload").mapInArrow(T.released(decode), "shard int, doc_id long, own long, n_tokens long, ids_crc32 long")
     return rows.join(places, "shard").select("doc_id", (F.col("first") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 

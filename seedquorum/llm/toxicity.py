@@ -46,6 +46,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.searchsorted(s_start, start, "right") - 1, s_start, s_end
 
 
+@T.released
 def _count_features(batches):
     """Documents of either label that hold a feature, per task."""
     counts = np.zeros((2, 1 << BITS), np.int32)
@@ -87,7 +88,7 @@ def _bags(chosen: np.ndarray):
                 lists += [pairs[cut[r] : cut[r + 1]] - (int(at[r]) << 32) for r in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(n_sent, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["toxic", "n", "pairs"])
 
-    return run
+    return T.released(run)
 
 
 def _fit(toxic: np.ndarray, n: np.ndarray, pairs: list[np.ndarray], width: int, rounds: int = 400, l2: float = 2e-5) -> tuple[float, np.ndarray]:
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshol
             scores, found = scorer(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(found, kind)], ["doc_id", "score", "sentences"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.released(run), "doc_id long, score double, sentences array<struct<start:long,end:long,score:double>>")
 
 
 def passing(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
@@ -197,7 +198,7 @@ def passing(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], thresh
             kept = batch.filter(pa.array(scorer(batch.column(at))[0] < threshold))
             yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return docs.toDF(*T.numbered(names)).mapInArrow(run, docs.schema)
+    return docs.toDF(*T.numbered(names)).mapInArrow(T.released(run), docs.schema)
 
 
 def fold():

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedquorum.llm import text as T
 from seedquorum.operators.graph import connected_components
 from seedquorum.plans.workspace import Workspace
 
@@ -32,6 +33,7 @@ PARTNERS = 32
 _SLACK = 1e-5
 
 
+@T.released
 def _clean(batches):
     """Valid vectors as bytes of doubles with a digest; others with dim 0. A power of two brings the largest part near one, so no norm overflows."""
     for batch in batches:
@@ -76,7 +78,7 @@ def _moments(dim: int):
         i, j = np.triu_indices(dim + 1)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "s"])
 
-    return run
+    return T.released(run)
 
 
 def _principal(points: DataFrame, dim: int) -> np.ndarray:
@@ -96,7 +98,7 @@ def _cells(axes: np.ndarray, dim: int, eps: float):
                 c = np.hstack([c, np.zeros((len(c), GRID - c.shape[1]), np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array(c[:, k]) for k in range(GRID)] + [batch.column(n) for n in ("rep", "n", "x")], [*(f"c{k}" for k in range(GRID)), "rep", "n", "x"])
 
-    return run
+    return T.released(run)
 
 
 def _blocks(axes: np.ndarray, dim: int):
@@ -123,7 +125,7 @@ def _blocks(axes: np.ndarray, dim: int):
         if n:
             yield out(pa.Table.from_batches(held))
 
-    return run
+    return T.released(run)
 
 
 class _Join:
@@ -230,7 +232,7 @@ def _join(axes: np.ndarray, dim: int, cosine: float):
                     if not salts[r]:
                         yield links(own, own, True)
 
-    return run
+    return T.released(run)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None = None) -> DataFrame:
