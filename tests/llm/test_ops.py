@@ -282,8 +282,6 @@ def test_sentencepiece_is_the_unigram_library(tmp_path):
     path = tokens.default_path("piece_bpe_32k.model")
     raw = open(path, "rb").read()
     # the library runs the same Viterbi when the file says unigram: trainer_spec (field 2), model_type (field 3) = 1
-    at = raw.index(b"\x18\x02", raw.rindex(b"\x12", 0, raw.rindex(b"\x18\x02") + 1) - 400)
-    lib = None
     for p in [m.start() for m in re.finditer(b"\x18\x02", raw)][::-1]:
         trial = raw[:p] + b"\x18\x01" + raw[p + 2 :]
         try:
@@ -292,8 +290,9 @@ def test_sentencepiece_is_the_unigram_library(tmp_path):
             continue
         if lib.encode(" the") != sentencepiece.SentencePieceProcessor(model_file=path).encode(" the"):
             break
-    codec = pieces.Codec(path)
-    assert at >= 0
+    (tmp_path / "unigram.model").write_bytes(trial)
+    codec = pieces.Codec(str(tmp_path / "unigram.model"))
+    assert isinstance(codec.viterbi, pieces.Viterbi)
     for t in ["this is a simple test of words", "  double  spaces ", "thonoued hetian, with that.", "a" * 40, ""]:
         ids, _ = codec.encode([t])
         scores = [codec.model.pieces[i][1] for i in ids]
@@ -301,9 +300,37 @@ def test_sentencepiece_is_the_unigram_library(tmp_path):
         assert sum(scores) >= sum(theirs)
 
 
+def test_sentencepiece_ids_are_the_bpe_library(tmp_path):
+    import random
+
+    import sentencepiece
+
+    path = tokens.default_path("piece_bpe_32k.model")
+    lib, codec, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Codec(path), random.Random(5)
+    assert isinstance(codec.viterbi, pieces.Merging)
+    letters = ["  ab", " \n\tab", "abcdeht rsn ", "aab ", "▁ a", "中é a💥th", " the in er on"]
+    mixed = ["".join(rng.choice(a) for _ in range(rng.randrange(60))) for a in letters * 200]
+    whole = texts(30) + mixed + ["", None, "a" * 5000, " " * 300, "ab" * 3000 + "💥" * 50]
+    ids, n = codec.encode(whole)
+    assert ids.tolist() == [i for t in whole for i in lib.encode(t or "")] and n.tolist() == [len(lib.encode(t or "")) for t in whole]
+
+
+def test_neighbours_stay_as_merging_says():
+    import random
+
+    codec, rng = pieces.Codec(tokens.default_path("piece_bpe_32k.model")), random.Random(7)
+    v, normal = codec.viterbi, [i for i, p in enumerate(codec.model.pieces) if p[2] == pieces.NORMAL]
+    for _ in range(5000):
+        a, b = rng.choice(normal), rng.choice(normal)
+        names = [v._name(a), v._name(b)]
+        if v.merge(names[0]) == names[:1] and v.merge(names[1]) == names[1:]:
+            assert v._stay(a, b, 0) == (v.merge("".join(names)) == names)
+
+
 def test_viterbi_is_best_and_decodes(tmp_path):
     path = tokens.default_path("piece_bpe_32k.model")
     codec = pieces.Codec(path)
+    viterbi = pieces.Viterbi(codec.model)
     score = {p: s for p, s, k in codec.model.pieces if k == pieces.NORMAL}
 
     def best(t):
@@ -314,7 +341,7 @@ def test_viterbi_is_best_and_decodes(tmp_path):
         return out[-1]
 
     for t in ["hello world", "thonoued hetian of and", "zzz qqq"]:
-        ids, _ = codec.encode([t])
+        ids = viterbi.encode("▁" + t.replace(" ", "▁"))
         assert sum(codec.model.pieces[i][1] for i in ids) == best("▁" + t.replace(" ", "▁"))
     all_ = [t for t in texts(10) if t and "▁" not in t]
     ids, n = codec.encode(all_)
@@ -328,6 +355,8 @@ def test_encode_documents(docs, none):
     assert got.count() == docs.count() and pieces.encode_documents(none, path).count() == 0
     back = {r["doc_id"]: r["text"] for r in pieces.decode_documents(got, path).collect()}
     assert all(back[r["doc_id"]] == (r["text"] or "").replace("▁", " ") for r in docs.collect())
+    odd = docs.sparkSession.createDataFrame([(1, [None, 99999, -3]), (2, None)], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in pieces.decode_documents(odd, path).collect()} == {1: "⁇  ⁇  ⁇ ", 2: ""}
 
 
 def test_toxicity_learns_words_and_finds_sentences(spark):
