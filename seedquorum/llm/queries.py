@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seedquorum.llm import chat, licenses, neardup, packing, passages, pieces, quality, tokenfile, toxicity, vectors
+from seedquorum.llm import chat, divergence, exact, licenses, neardup, packing, passages, periodic, pieces, quality, tokenfile, toxicity, vectors
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_embedding_neardup": vectors.op10_embedding_neardup,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_exact_dedup": exact.op13_exact_dedup,
 }
-ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op9_quality_rules": quality.OP9_SQL}
+ORACLES = {"op3_chat_formatting": chat.OP3_SQL, "op9_quality_rules": quality.OP9_SQL, "op11_source_divergence": divergence.OP11_SQL, "op13_exact_dedup": exact.OP13_SQL}
