@@ -1,79 +1,221 @@
 """Consensus partitions, support and alignment of labels.
 
 Observations with equal label vectors are interchangeable in co-association, so a unit is clustered over its distinct vectors with
-weights. Average linkage needs the vectors' pairwise distances in one task: memory grows with the square of a unit's
-distinct vectors (8 bytes each), which is why the operator refuses more than ``max_signatures`` instead of dropping any. Support needs no pairs
-at all: it is a sum of per-seed counts within the consensus cluster.
+weights. The average linkage of two clusters needs no distances of their members: the share of seeds and members together is the product
+of the clusters' label counts, divided by both sizes. So a cluster is one row of counts (seeds * labels), and no table of pairwise distances exists.
+
+Average linkage is reducible: merging two clusters never brings them nearer to a third than the nearer one was. So all pairs of clusters
+that are each other's nearest can merge in one round, and the merges are those of merging one pair at a time. In a round, clusters
+whose nearest isn't known meet all clusters of their unit, a block of each at a time; then two joins merge. Once a unit is a single block,
+its remaining rounds are done in that block's task. The order of merges is told from their heights afterwards, to cut the tree at k.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
 from seedquorum.operators.agreement import UNIT, agreement, contingency
 from seedquorum.plans.shipping import ship
+from seedquorum.plans.workspace import Workspace
+
+#: Clusters of a block: two blocks' counts and the products of a block pair are what a task holds.
+BLOCK = 2048
 
 
-def average_linkage(distance: np.ndarray, weight: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
-    """Labels 0..k-1 of a weighted average linkage cut at k clusters; labels go by each cluster's smallest order.
+def nearest_clusters(counts: np.ndarray, weight: np.ndarray, ids: np.ndarray, to_counts: np.ndarray, to_weight: np.ndarray, to_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cluster, the place of its nearest other one and their mean co-association times the seeds; the first of equals. ``to_ids`` ascend.
 
-    Of equal distances the pair with the smallest (smaller order, larger order) merges first.
+    Products and sizes are whole numbers in doubles, so equal shares come out equal.
     """
-    n = len(weight)
-    d = np.round(distance.astype(float), 12)
-    np.fill_diagonal(d, np.inf)
-    w, first, label, live = weight.astype(float), order.astype(np.int64).copy(), np.arange(n), np.ones(n, bool)
-    # rows in order of their first observation, so that argmin meets ties in the wanted order
-    by = np.argsort(first, kind="stable")
-    d, w, first = d[np.ix_(by, by)], w[by], first[by]
-    low, at = d.min(1), d.argmin(1)
-    for _ in range(n - k):
-        i = int(np.argmin(np.where(live, low, np.inf)))
-        j = int(at[i])
-        i, j = min(i, j), max(i, j)
-        new = np.round((w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j]), 12)
-        new[~live] = np.inf
-        new[[i, j]] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        w[i] += w[j]
-        live[j] = False
-        label[label == j] = i
-        low[j] = np.inf
-        stale = np.flatnonzero(live & ((at == i) | (at == j)))
-        low[stale], at[stale] = d[stale].min(1), d[stale].argmin(1)
-        better = live & (new < low) | live & (new == low) & (i < at)
-        low[better], at[better] = new[better], i
-        low[i], at[i] = d[i].min(), d[i].argmin()
-    names = {c: k for k, c in enumerate(dict.fromkeys(label))}
-    out = np.empty(n, np.int64)
-    out[by] = [names[c] for c in label]
+    near = (counts @ to_counts.T) / (weight[:, None] * to_weight[None, :])
+    near[ids[:, None] == to_ids[None, :]] = -1
+    at = near.argmax(1)
+    return at, near[np.arange(len(at)), at]
+
+
+def merge_block(ids: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float]]:
+    """(lo, hi, near) of all merges of a unit that fits in a block, children before parents; a cluster is named by its smallest id."""
+    by = np.argsort(ids)
+    ids, weight, counts, out = ids[by], weight[by].astype(float), counts[by].astype(float), []
+    stale, nearest, near = np.ones(len(ids), bool), np.zeros(len(ids), np.int64), np.zeros(len(ids))
+    while len(ids) > 1:
+        q = np.flatnonzero(stale)
+        nearest[q], near[q] = nearest_clusters(counts[q], weight[q], ids[q], counts, weight, ids)
+        here = np.arange(len(ids))
+        lo = here[(nearest[nearest] == here) & (here < nearest)]
+        hi = nearest[lo]
+        out += zip(ids[lo].tolist(), ids[hi].tolist(), near[lo].tolist(), strict=True)
+        counts[lo] += counts[hi]
+        weight[lo] += weight[hi]
+        gone = np.zeros(len(ids), bool)
+        gone[hi] = True
+        changed = gone.copy()
+        changed[lo] = True
+        kept, place = ~gone, np.cumsum(~gone) - 1
+        stale = (changed | changed[nearest])[kept]
+        nearest, near, ids, weight, counts = place[nearest][kept], near[kept], ids[kept], weight[kept], counts[kept]
     return out
 
 
-def consensus(runs: DataFrame, k: int, seeds: tuple[int, int] = (1, 20), max_signatures: int = 12_000) -> DataFrame:
-    """dataset, method, obs_id, cluster: exactly min(k, distinct vectors) clusters over seeds in the inclusive range."""
-    ship(runs.sparkSession)
-    rows = runs.where(F.col("seed").between(*seeds)).groupBy(*UNIT, "obs_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seed", "cluster"))), lambda x: x["cluster"]).alias("sig"))
-    sig = rows.groupBy(*UNIT, "sig").agg(F.count("*").alias("weight"), F.min("obs_id").alias("first"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_signatures:
-            raise ValueError(f"{len(pdf)} distinct label vectors; raise max_signatures if {8 * len(pdf) ** 2 >> 20} MB fit in a task")
-        m = np.array(pdf.sig.tolist())
-        same = np.zeros((len(m), len(m)), np.float32)
-        for c in range(m.shape[1]):
-            same += m[:, c, None] == m[None, :, c]
-        out = pdf[["dataset", "method", "sig"]].copy()
-        out["cluster"] = average_linkage(1 - same.astype(float) / m.shape[1], pdf.weight.to_numpy(), pdf["first"].to_numpy(), min(k, len(m)))
-        return out
+def last_merges(lo: list[int], hi: list[int], step: list[int], n: int) -> list[int]:
+    """The ``hi`` of the last n of equally high merges, if the pair of smallest (lo, hi) that is there goes first.
+
+    A merge waits for earlier ones of its two clusters.
+    """
+    own: dict[int, list[int]] = {}
+    for i in sorted(range(len(lo)), key=lambda i: step[i]):
+        own.setdefault(lo[i], []).append(i)
+    after: dict[int, list[int]] = {}
+    waits = [0] * len(lo)
+    for chain in own.values():
+        for a, b in zip(chain, chain[1:], strict=False):
+            after.setdefault(a, []).append(b)
+            waits[b] += 1
+    for i, h in enumerate(hi):
+        if h in own:
+            after.setdefault(own[h][-1], []).append(i)
+            waits[i] += 1
+    ready, order = [(lo[i], hi[i], i) for i, w in enumerate(waits) if not w], []
+    heapq.heapify(ready)
+    while ready:
+        i = heapq.heappop(ready)[2]
+        order.append(hi[i])
+        for j in after.get(i, ()):
+            waits[j] -= 1
+            if not waits[j]:
+                heapq.heappush(ready, (lo[j], hi[j], j))
+    return order[len(order) - n :]
+
+
+def _vectors(runs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(unit, obs_id, sig) of the observations; (unit, sig, id, weight, counts) of the distinct vectors, id the smallest observation, counts by the unit's labels."""
+    one = F.struct("seed", F.col("cluster").cast("string").alias("cluster"))
+    rows = work.write(runs.groupBy(*UNIT, "obs_id").agg(F.sort_array(F.collect_list(one)).alias("sig")), "rows")
+    sig = work.write(rows.groupBy(*UNIT, "sig").agg(F.count("*").alias("weight"), F.min("obs_id").cast("long").alias("id")), "vectors")
+    names = sig.select(*UNIT, F.explode("sig").alias("x")).distinct().groupBy(*UNIT).agg(F.sort_array(F.collect_list("x")).alias("names"))
+    count = F.transform("names", lambda x: F.when(F.array_contains("sig", x), F.col("weight")).otherwise(F.lit(0).cast("long")))
+    return rows, sig.join(names, list(UNIT)).select(*UNIT, "sig", "id", "weight", count.alias("counts"))
+
+
+def _block(n: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), n)
+
+
+def _meet(left: DataFrame, right: DataFrame, run, schema: str, lower: bool = False) -> DataFrame:
+    """``run`` of each pair of a block of ``left`` and a block of ``right`` in a unit; both have ``blocks``, the unit's number of blocks.
+
+    Rows go to as many block pairs as a unit has blocks; a task holds two blocks. ``lower``: each unordered pair of blocks once.
+    """
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    own = _block(F.col("blocks"))
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # may stem from the same rows
+    a = left.withColumn("a", own).withColumn("b", F.explode(F.filter(every, lambda x: x <= F.col("a")) if lower else every))
+    b = right.withColumn("b", own).withColumn("a", F.explode(F.filter(every, lambda x: x >= F.col("b")) if lower else every))
+    return a.groupBy(*UNIT, "a", "b").cogroup(b.groupBy(*UNIT, "a", "b")).applyInPandas(run, schema)
+
+
+def _with_blocks(rows: DataFrame, block: int) -> DataFrame:
+    n = rows.groupBy(*UNIT).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    return rows.join(n, list(UNIT))
+
+
+def _search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    right = right.sort_values("id")
+    if not len(left) or not len(right) or len(right) == 1 and (left.id == right.id.iloc[0]).all():
+        return pd.DataFrame({c: [] for c in (*UNIT, "id", "nearest", "near")})
+    args = [x for d in (left, right) for x in (np.array(d["counts"].tolist(), float), d["weight"].to_numpy(float), d["id"].to_numpy())]
+    at, near = nearest_clusters(*args)
+    return pd.DataFrame({"dataset": key[0], "method": key[1], "id": left["id"].to_numpy(), "nearest": args[5][at], "near": near})[near >= 0]
+
+
+def merge_tree(vectors: DataFrame, work: Workspace, block: int = BLOCK) -> DataFrame:
+    """(unit, lo, hi, near, step): every merge of each unit's average linkage; children have smaller steps."""
+    ship(vectors.sparkSession)
+    keys, done = list(UNIT), []
+    state = vectors.select(*UNIT, "id", "weight", "counts").withColumns({"nearest": F.lit(None).cast("long"), "near": F.lit(None).cast("double")})
+    state = work.write(state, "state")
+    while True:
+        large = _with_blocks(state, block).where("blocks > 1")
+        if large.isEmpty():
+            break
+        found = _meet(large.where("nearest IS NULL"), large, _search, "dataset string, method string, id long, nearest long, near double")
+        best = found.groupBy(*UNIT, "id").agg(F.max(F.struct("near", (-F.col("nearest")).alias("at"))).alias("best"))
+        known = state.join(best, [*keys, "id"], "left").select(*UNIT, "id", "weight", "counts", F.coalesce(-F.col("best.at"), "nearest").alias("nearest"), F.coalesce("best.near", "near").alias("near"))
+        known = work.write(known, "known")
+        other = known.select(*UNIT, F.col("id").alias("nearest"), F.col("nearest").alias("back"), F.col("weight").alias("w2"), F.col("counts").alias("c2"))
+        pairs = known.where("nearest IS NOT NULL").join(other, [*keys, "nearest"]).where("back = id AND id < nearest")
+        done.append(work.write(pairs.select(*UNIT, F.col("id").alias("lo"), F.col("nearest").alias("hi"), "near", "w2", "c2"), f"merged{len(done)}"))
+        pairs = done[-1]
+        rest = known.join(pairs.select(*UNIT, F.col("hi").alias("id")), [*keys, "id"], "left_anti")
+        rest = rest.join(pairs.select(*UNIT, F.col("lo").alias("id"), "w2", "c2"), [*keys, "id"], "left")
+        changed = pairs.select(*UNIT, F.explode(F.array("lo", "hi")).alias("nearest"), F.lit(True).alias("stale"))
+        rest = rest.join(changed, [*keys, "nearest"], "left")
+        stale = F.col("w2").isNotNull() | F.col("stale").isNotNull()
+        state = work.write(
+            rest.select(
+                *UNIT, "id", (F.col("weight") + F.coalesce("w2", F.lit(0))).alias("weight"), F.when(F.col("w2").isNull(), F.col("counts")).otherwise(F.zip_with("counts", "c2", lambda x, y: x + y)).alias("counts"),
+                F.when(~stale, F.col("nearest")).alias("nearest"), F.when(~stale, F.col("near")).alias("near"),
+            ),
+            "state",
+        )
+    after = len(done)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = merge_block(pdf["id"].to_numpy(), pdf["weight"].to_numpy(), np.array(pdf["counts"].tolist()))
+        out = pd.DataFrame(found, columns=["lo", "hi", "near"])
+        return out.assign(dataset=pdf["dataset"].iloc[0], method=pdf["method"].iloc[0], step=after + np.arange(len(out)))
+
+    last = state.select(*UNIT, "id", "weight", "counts").groupBy(*UNIT).applyInPandas(finish, "dataset string, method string, lo long, hi long, near double, step long")
+    for step, merged in enumerate(done):
+        last = last.unionByName(merged.select(*UNIT, "lo", "hi", "near", F.lit(step).cast("long").alias("step")))
+    return work.write(last, "merges")
+
+
+def cut_tree(merges: DataFrame, k: int, work: Workspace) -> DataFrame:
+    """(unit, hi) of the merges that a cut at k clusters undoes: the last k - 1 of one pair at a time, nearest first, then smallest (lo, hi).
+
+    Only merges as high as the lowest undone one, if there are more of these than are to be undone, meet in a task.
+    """
+    ranked = merges.withColumn("n", F.row_number().over(Window.partitionBy(*UNIT).orderBy("near", F.desc("step")))).where(F.col("n") <= k - 1)
+    level = ranked.groupBy(*UNIT).agg(F.max("near").alias("level"), F.count("*").alias("cut"))
+    high = merges.join(level, list(UNIT)).where("near <= level")
+    need = high.groupBy(*UNIT).agg((F.max("cut") - F.count_if(F.expr("near < level"))).alias("need"))
+    high = work.write(high.join(need, list(UNIT)).select(*UNIT, "lo", "hi", "step", "need", F.expr("near = level").alias("tied")), "high")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        undone = last_merges(pdf.lo.tolist(), pdf.hi.tolist(), pdf.step.tolist(), int(pdf.need.iloc[0]))
+        return pd.DataFrame({"dataset": pdf.dataset.iloc[0], "method": pdf.method.iloc[0], "hi": undone})
+
+    tied = high.where("tied").groupBy(*UNIT).applyInPandas(choose, "dataset string, method string, hi long")
+    return high.where("NOT tied").select(*UNIT, "hi").unionByName(tied)
 
-    parts = sig.groupBy(*UNIT).applyInPandas(cut, "dataset string, method string, sig array<int>, cluster int")
-    return rows.join(parts, [*UNIT, "sig"]).select(*UNIT, "obs_id", "cluster")
+
+def consensus(runs: DataFrame, k: int, seeds: tuple[int, int] = (1, 20), block: int = BLOCK) -> DataFrame:
+    """dataset, method, obs_id, cluster: exactly min(k, distinct vectors) clusters over seeds in the inclusive range, numbered by their smallest observation.
+
+    A null label is a label; a seed that an observation lacks agrees with nothing. Rows of null dataset or method don't count.
+    """
+    work = Workspace(runs.sparkSession, "consensus")
+    keys = list(UNIT)
+    rows, vectors = _vectors(runs.where(F.col("seed").between(*seeds)), work)
+    merges = merge_tree(vectors, work, block)
+    kept = merges.join(cut_tree(merges, k, work), [*keys, "hi"], "left_anti") if k > 1 else merges
+    up = vectors.select(*UNIT, "id").join(kept.select(*UNIT, F.col("hi").alias("id"), F.col("lo").alias("up")), [*keys, "id"], "left").select(*UNIT, "id", F.coalesce("up", "id").alias("up"))
+    up, moved = work.write(up, "up"), True
+    while moved:  # each round doubles, twice, how far up a vector looks
+        two = up.join(up.select(*UNIT, F.col("id").alias("up"), F.col("up").alias("up2")), [*keys, "up"])
+        four = two.join(two.select(*UNIT, F.col("id").alias("up2"), F.col("up2").alias("up4")), [*keys, "up2"])
+        new = work.write(four.select(*UNIT, "id", F.col("up4").alias("up"), (F.col("up") != F.col("up4")).alias("moved")), "up")
+        moved, up = not new.where("moved").isEmpty(), new.drop("moved")
+    names = up.where("id = up").select(*UNIT, "up", (F.row_number().over(Window.partitionBy(*UNIT).orderBy("up")) - 1).alias("cluster"))  # k rows a unit
+    of_vector = vectors.select(*UNIT, "sig", "id").join(up, [*keys, "id"]).join(names, [*keys, "up"]).select(*UNIT, "sig", "cluster")
+    return work.write(rows.join(of_vector, [*keys, "sig"]).select(*UNIT, "obs_id", "cluster"), "partition")
 
 
 def support(runs: DataFrame, partition: DataFrame) -> DataFrame:
@@ -87,18 +229,32 @@ def support(runs: DataFrame, partition: DataFrame) -> DataFrame:
     return s.withColumn("class", S.classify(F.col("support"), S.HIGH_SUPPORT, S.LOW_SUPPORT))
 
 
-def coassociation(runs: DataFrame) -> DataFrame:
-    """dataset, method, c, seeds_together: the distribution of co-association over pairs of observations, from pairs of distinct vectors.
+def _together(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    if not len(left) or not len(right):
+        return pd.DataFrame({c: [] for c in (*UNIT, "seeds_together", "n_pairs")})
+    a, b = (np.array(d["counts"].tolist(), float) > 0 for d in (left, right))
+    wa, wb, ia, ib = (d[c].to_numpy() for c in ("weight", "id") for d in (left, right))
+    t = np.rint(a.astype(np.float32) @ b.T.astype(np.float32)).astype(np.int64)
+    pairs = wa[:, None] * wb[None, :]
+    if key[2] == key[3]:  # one block with itself: each pair of vectors once, a vector's own pairs
+        pairs = np.where(ia[:, None] < ib[None, :], pairs, np.where(ia[:, None] == ib[None, :], wa[:, None] * (wa[:, None] - 1) // 2, 0))
+    n = np.zeros(int(t.max()) + 1, np.int64)
+    np.add.at(n, t.ravel(), pairs.ravel())
+    found = np.flatnonzero(n)
+    return pd.DataFrame({"dataset": key[0], "method": key[1], "seeds_together": found, "n_pairs": n[found]})
+
 
-    For small units: a unit's vectors meet all of its own.
+def coassociation(runs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """dataset, method, seeds_together, n_pairs: the distribution of co-association over pairs of observations.
+
+    Blocks of distinct vectors meet; each pair of blocks leaves one row per number of seeds.
     """
-    rows = runs.groupBy(*UNIT, "obs_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seed", "cluster"))), lambda x: x["cluster"]).alias("sig"))
-    sig = rows.groupBy(*UNIT, "sig").agg(F.count("*").alias("w"))
-    other = sig.select(*UNIT, F.col("sig").alias("sig2"), F.col("w").alias("w2"))
-    both = sig.join(other, list(UNIT)).where("sig <= sig2")
-    n = F.when(F.col("sig") == F.col("sig2"), F.expr("w * (w - 1) div 2")).otherwise(F.col("w") * F.col("w2"))
-    together = F.expr("aggregate(zip_with(sig, sig2, (x, y) -> CASE WHEN x = y THEN 1 ELSE 0 END), 0, (a, x) -> a + x)")
-    return both.groupBy(*UNIT, together.alias("seeds_together")).agg(F.sum(n).alias("n_pairs")).where("n_pairs > 0")
+    work = Workspace(runs.sparkSession, "coassociation")
+    ship(runs.sparkSession)
+    vectors = _with_blocks(_vectors(runs, work)[1].select(*UNIT, "id", "weight", "counts"), block)
+    vectors = work.write(vectors, "blocks")
+    counts = _meet(vectors, vectors, _together, "dataset string, method string, seeds_together int, n_pairs long", lower=True)
+    return counts.groupBy(*UNIT, "seeds_together").agg(F.sum("n_pairs").alias("n_pairs"))
 
 
 def partition_agreement(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -27,7 +27,6 @@ runs AS (SELECT dataset, method, ord, seed, obs_id, ref, CAST(CASE WHEN (obs_id
 
 
 RUNS = _runs(f"SELECT o_orderstatus AS dataset, o_orderkey AS obs_id, ascii(o_orderpriority) % {K} AS ref FROM orders")
-SMALL = _runs(f"SELECT 'd' || CAST(s_nationkey % 3 AS VARCHAR) AS dataset, s_suppkey AS obs_id, CAST(s_suppkey % {K} AS INTEGER) AS ref FROM supplier")
 
 
 def agree(name: str, cells: str, keys: str) -> str:
@@ -129,7 +128,9 @@ ORACLES: dict[str, str] = {
     "alignment_overlap": f"""WITH {RUNS}, ov AS (SELECT r.dataset, r.method, r.seed, r.cluster AS a, s.cluster AS b, count(*) AS n FROM runs r JOIN runs s ON s.dataset = r.dataset AND s.method = r.method AND s.obs_id = r.obs_id AND s.seed = 1 GROUP BY ALL),
  d AS (SELECT * FROM range({K}) x(p)), pm AS (SELECT a.p AS p0, b.p AS p1, c.p AS p2, d4.p AS p3, e.p AS p4 FROM d a, d b, d c, d d4, d e WHERE len(list_distinct([a.p, b.p, c.p, d4.p, e.p])) = 5)
  SELECT dataset, method, seed, max(t) AS overlap FROM (SELECT dataset, method, seed, p0, p1, p2, p3, p4, sum(n) AS t FROM pm JOIN ov ON (a = 0 AND b = p0) OR (a = 1 AND b = p1) OR (a = 2 AND b = p2) OR (a = 3 AND b = p3) OR (a = 4 AND b = p4) GROUP BY ALL) GROUP BY ALL""",
-    "coassociation": f"WITH {SMALL} SELECT dataset, method, t AS seeds_together, count(*) AS n_pairs FROM (SELECT r.dataset, r.method, r.obs_id AS i, s.obs_id AS j, count(*) FILTER (r.cluster = s.cluster) AS t FROM runs r JOIN runs s ON r.dataset = s.dataset AND r.method = s.method AND r.seed = s.seed AND r.obs_id < s.obs_id GROUP BY ALL) GROUP BY ALL",
+    "coassociation": f"""WITH {RUNS}, sg AS (SELECT dataset, method, code, count(*) AS w FROM (SELECT dataset, method, obs_id, sum(cluster::BIGINT << (3 * (seed - 1)))::BIGINT AS code FROM runs GROUP BY ALL) GROUP BY ALL),
+ b AS (SELECT a.dataset, a.method, xor(a.code, b.code) AS x, CASE WHEN a.code = b.code THEN a.w * (a.w - 1) // 2 ELSE a.w * b.w END AS n FROM sg a JOIN sg b ON a.dataset = b.dataset AND a.method = b.method AND a.code <= b.code)
+ SELECT dataset, method, {SEEDS} - bit_count((x | (x >> 1) | (x >> 2)) & {sum(1 << 3 * i for i in range(SEEDS))}) AS seeds_together, sum(n) AS n_pairs FROM b GROUP BY ALL HAVING sum(n) > 0""",
     "reference_support": f"""WITH {RUNS}, me AS (SELECT dataset, method, ref, count(DISTINCT obs_id) AS members FROM runs GROUP BY ALL), tg AS (SELECT dataset, method, seed, ref, cluster, count(*) AS n FROM runs GROUP BY ALL),
  su AS (SELECT dataset, method, obs_id, round(CASE WHEN max(members) = 1 THEN 1e0 ELSE avg((n - 1) / (members - 1)::DOUBLE) END, 9) AS support FROM runs JOIN tg USING (dataset, method, seed, ref, cluster) JOIN me USING (dataset, method, ref) GROUP BY ALL)
  SELECT dataset, method, obs_id, support, CASE WHEN support >= {S.HIGH_SUPPORT} THEN 'high' WHEN support <= {S.LOW_SUPPORT} THEN 'low' ELSE 'intermediate' END AS class FROM su""",

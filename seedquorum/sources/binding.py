@@ -37,15 +37,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(observations(spark, sf_dir))
 
 
-def small_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as observations, for operators whose work grows with the square of a dataset."""
-    return table(spark, sf_dir, "supplier").selectExpr("concat('d', cast(s_nationkey % 3 AS string)) AS dataset", "s_suppkey AS obs_id", f"cast(s_suppkey % {K} AS int) AS ref")
-
-
-def small_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(small_observations(spark, sf_dir))
-
-
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, obs_id, gene, value: non-zero entries only."""
     items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("obs_id"), (F.col("l_partkey") % GENES).alias("gene")).agg(F.sum("l_quantity").alias("value"))

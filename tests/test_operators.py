@@ -47,18 +47,6 @@ def test_spearman_is_null_on_constants(spark):
     assert got["a"] is None and math.isclose(got["b"], 1)
 
 
-def test_average_linkage_recovers_and_is_order_free():
-    rng = np.random.default_rng(0)
-    truth = np.repeat([0, 1, 2], 5)
-    panel = np.array([np.where(rng.random(15) < 0.1, rng.integers(0, 3, 15), truth) for _ in range(20)])
-    d = 1 - (panel[:, :, None] == panel[:, None, :]).mean(0)
-    lab = consensus.average_linkage(d, np.ones(15), np.arange(15), 3)
-    assert len(set(zip(lab, truth, strict=True))) == 3
-    p = rng.permutation(15)
-    again = consensus.average_linkage(d[np.ix_(p, p)], np.ones(15), p, 3)
-    assert (again == lab[p]).all()
-
-
 def test_assignment_is_optimal():
     rng = np.random.default_rng(2)
     for n, m in ((3, 3), (2, 4), (4, 5)):
