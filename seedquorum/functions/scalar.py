@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Frozen study constants.
@@ -92,12 +92,6 @@ def classify(x: Column, high: float, low: float, names: tuple[str, str, str] = (
     return F.when(x.isNull(), None).when(x >= high, names[0]).when(x <= low, names[2]).otherwise(names[1])
 
 
-def midrank(partition: list[str], value: str, descending: bool = False) -> Column:
-    """Average rank of ties."""
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    return F.rank().over(Window.partitionBy(*partition).orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / F.lit(2.0)
-
-
 def correlation(x: str, y: str) -> Column:
     """Pearson; NULL with fewer than two pairs or a constant side."""
     both = f"{x} IS NOT NULL AND {y} IS NOT NULL"

@@ -7,12 +7,14 @@ contingency counts of all pairs of seeds; only those, about k*k per pair and tas
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedquorum.plans.shipping import ship
+from seedquorum.plans.workspace import Workspace
 
 UNIT = ("dataset", "method")
 
@@ -52,73 +54,72 @@ def seed_accuracy(runs: DataFrame) -> DataFrame:
     return out.withColumnsRenamed({"k_a": "k_ref", "k_b": "k_observed"})
 
 
-def signatures(runs: DataFrame) -> DataFrame:
-    """Per unit the distinct label vectors (seed order) and how many observations have each."""
-    rows = runs.groupBy(*UNIT, "obs_id").agg(F.sort_array(F.collect_list(F.struct("seed", "cluster"))).alias("sig"))
-    return rows.groupBy(*UNIT, "sig").agg(F.count(F.lit(1)).alias("weight"))
-
-
 #: Numbers that a task's Gram matrices hold before their cells are given out.
 GRAM_SIZE = 1 << 23
+#: Distinct labels that are broadcast to give them numbers; of more, a join that Spark may split.
+BROADCAST_LABELS = 100_000
+
+
+def label_codes(runs: DataFrame, by: list[str], columns: list[str], work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``runs`` with ``code`` in place of ``columns``, and the codes' table (by, columns, code): numbers from 0 within ``by``, in the columns' order.
+
+    Null labels have a code. The table has a row per distinct label, not per observation.
+    """
+    order = Window.partitionBy(*by).orderBy(*columns)
+    codes = work.write(runs.select(*by, *columns).distinct().withColumn("code", (F.row_number().over(order) - 1).cast("int")), "codes")
+    c = (F.broadcast(codes) if codes.count() <= BROADCAST_LABELS else codes).alias("c")
+    on = reduce(lambda x, y: x & y, (F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*by, *columns]))
+    rest = [k for k in runs.columns if k not in columns]
+    return runs.alias("r").join(c, on).select(*(F.col(f"r.{k}").alias(k) for k in rest), F.col("c.code").alias("code")), codes
 
 
 class _Gram:
-    """Counts of pairs of one unit's labels (seed, cluster); grows with the labels seen."""
+    """Counts of pairs of one unit's codes; grows with the codes seen."""
 
     def __init__(self):
-        self.code: dict[tuple, int] = {}
+        self.codes = np.zeros(0, np.int64)
         self.n = np.zeros((0, 0), np.int64)
 
-    def add(self, labels: np.ndarray, keys: list[tuple], row: np.ndarray) -> None:
-        """labels: a number per entry, meaning ``keys``; row: the entry's observation, in ascending order."""
-        own = np.array([self.code.setdefault(k, len(self.code)) for k in keys], np.int64)
-        size = len(self.code)
-        if size > len(self.n):
-            grown = np.zeros((size, size), np.int64)
-            grown[: len(self.n), : len(self.n)] = self.n
-            self.n = grown
-        own, row = own[labels], np.cumsum(np.append(0, row[1:] != row[:-1]))
-        step = max(1, GRAM_SIZE // max(size, 1))
+    def add(self, codes: np.ndarray, row: np.ndarray) -> None:
+        """codes, and row: the entry's observation, numbered from 0."""
+        new = np.setdiff1d(codes, self.codes)
+        if len(new):
+            every = np.union1d(self.codes, new)
+            place, grown = np.searchsorted(every, self.codes), np.zeros((len(every),) * 2, np.int64)
+            grown[np.ix_(place, place)] = self.n
+            self.codes, self.n = every, grown
+        own, size = np.searchsorted(self.codes, codes), len(self.codes)
+        step = max(1, GRAM_SIZE // size)
         for k in range(0, int(row[-1]) + 1, step):
             x = np.zeros((min(step, int(row[-1]) + 1 - k), size), np.float32)
             part = slice(*np.searchsorted(row, (k, k + step)))
-            np.add.at(x, (row[part] - k, own[part]), 1)
+            x.ravel()[(row[part] - k) * size + own[part]] = 1
             self.n += (x.T @ x).astype(np.int64)
 
 
 def _cells(batches):
-    """(dataset, method, seed_r, seed_s, a, b, n) of rows (dataset, method, sig): each unit's counts in this task."""
+    """(dataset, method, i, j, n) of rows (dataset, method, codes): how many observations of a unit have both codes, summed in this task."""
     units: dict[tuple, _Gram] = {}
 
     def out():
         for (dataset, method), g in units.items():
-            keys = list(g.code)
-            i, j = np.nonzero(g.n)
-            seeds = np.array([k[0] for k in keys], np.int64)
-            i, j = (x[seeds[i] < seeds[j]] for x in (i, j))
-            names = pa.array([k[1] for k in keys], pa.string())
-            cols = [pa.array([dataset] * len(i), pa.string()), pa.array([method] * len(i), pa.string()), pa.array(seeds[i]), pa.array(seeds[j]), names.take(pa.array(i)), names.take(pa.array(j)), pa.array(g.n[i, j])]
-            yield pa.RecordBatch.from_arrays(cols, ["dataset", "method", "seed_r", "seed_s", "a", "b", "n"])
+            i, j = np.nonzero(np.triu(g.n, 1))
+            cols = [pa.array([dataset] * len(i), pa.string()), pa.array([method] * len(i), pa.string()), pa.array(g.codes[i]), pa.array(g.codes[j]), pa.array(g.n[i, j])]
+            yield pa.RecordBatch.from_arrays(cols, ["dataset", "method", "i", "j", "n"])
         units.clear()
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        unit = pa.StructArray.from_arrays([batch.column("dataset"), batch.column("method")], ["d", "m"])
-        names = [(x["d"], x["m"]) for x in unit.to_pylist()]
-        numbers: dict[tuple, int] = {}
-        of_row = np.array([numbers.setdefault(x, len(numbers)) for x in names], np.int64)
-        sig = batch.column("sig")
-        row = np.repeat(np.arange(len(sig)), np.diff(sig.offsets.to_numpy()))
-        seed, cluster = (sig.flatten().field(k) for k in ("seed", "cluster"))
-        named = cluster.dictionary_encode(null_encoding="encode")
-        both = seed.to_numpy().astype(np.int64) * len(named.dictionary) + named.indices.to_numpy()
-        for name, u in numbers.items():
-            mine = np.flatnonzero(of_row[row] == u)
-            if len(mine):
-                found, labels = np.unique(both[mine], return_inverse=True)
-                keys = [(int(x // len(named.dictionary)), named.dictionary[int(x % len(named.dictionary))].as_py()) for x in found]
-                units.setdefault(name, _Gram()).add(labels, keys, row[mine])
+        dataset, method = (batch.column(c).dictionary_encode(null_encoding="encode") for c in UNIT)
+        unit = dataset.indices.to_numpy().astype(np.int64) * len(method.dictionary) + method.indices.to_numpy()
+        lists = batch.column("codes")
+        row, codes = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        for u in np.unique(unit):
+            mine = unit[row] == u
+            if mine.any():
+                name = (dataset.dictionary[int(u) // len(method.dictionary)].as_py(), method.dictionary[int(u) % len(method.dictionary)].as_py())
+                units.setdefault(name, _Gram()).add(codes[mine], (np.cumsum(unit == u) - 1)[row[mine]])
         if sum(g.n.size for g in units.values()) > GRAM_SIZE:
             yield from out()
     yield from out()
@@ -126,12 +127,15 @@ def _cells(batches):
 
 def pair_agreement(runs: DataFrame) -> DataFrame:
     """One row per unordered pair of seeds, over all observations: seed_r < seed_s, ari, nmi. A null label is a label; nulls in the keys are groups."""
-    ship(runs.sparkSession)
-    one = F.struct(F.col("seed").cast("long").alias("seed"), F.col("cluster").cast("string").alias("cluster"))
-    rows = runs.groupBy(*UNIT, "obs_id").agg(F.collect_list(one).alias("sig")).select(*UNIT, "sig")
+    work = Workspace(runs.sparkSession, "pairs")
+    coded, codes = label_codes(runs.select(*UNIT, "obs_id", "seed", "cluster"), [], ["seed", "cluster"], work)
+    rows = coded.groupBy(*UNIT, "obs_id").agg(F.collect_list("code").alias("codes")).select(*UNIT, "codes")
+    n = rows.mapInArrow(_cells, "dataset string, method string, i long, j long, n long").groupBy(*UNIT, "i", "j").agg(F.sum("n").alias("n"))
+    named = F.broadcast(codes) if codes.count() <= BROADCAST_LABELS else codes
+    side = lambda at, s, c: named.select(F.col("code").cast("long").alias(at), F.col("seed").alias(s), F.col("cluster").alias(c))
+    cells = n.join(side("i", "seed_r", "a"), "i").join(side("j", "seed_s", "b"), "j").where("seed_r < seed_s")
     keys = [*UNIT, "seed_r", "seed_s"]
-    cells = rows.mapInArrow(_cells, "dataset string, method string, seed_r long, seed_s long, a string, b string, n long")
-    return agreement(contingency(cells, keys, "a", "b", "n"), keys).select(*keys, "n_obs", "ari", "nmi")
+    return agreement(cells.select(*keys, "a", "b", "n"), keys).select(*keys, "n_obs", "ari", "nmi")
 
 
 def seed_pairs(accuracy: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,35 +6,89 @@ entries plus (members - its non-zero entries) times the block's midrank. Values
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
 from seedquorum.operators import stats
+from seedquorum.operators.agreement import label_codes
+from seedquorum.operators.selection import value_ranks
+from seedquorum.plans.shipping import ship
+from seedquorum.plans.workspace import Workspace
 
 RUN = ("dataset", "method", "seed")
 
 
+#: Sums that a task holds before they are given out.
+SUMS = 1 << 22
+
+
+def _label_sums(labels: int):
+    """(dataset, gene, r, codes) to (dataset, gene, code, r, k): rank sums and entries by label, summed in this task. Codes are below ``labels``."""
+
+    def run(batches):
+        genes: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out():
+            for (dataset, gene), (r, k) in genes.items():
+                c = np.flatnonzero(k)
+                yield pa.RecordBatch.from_arrays([pa.array([dataset] * len(c), pa.string()), pa.array([gene] * len(c), pa.int64()), pa.array(c.astype(np.int32)), pa.array(r[c]), pa.array(k[c])], ["dataset", "gene", "code", "r", "k"])
+            genes.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dataset, gene = (batch.column(c).dictionary_encode(null_encoding="encode") for c in ("dataset", "gene"))
+            both = dataset.indices.to_numpy().astype(np.int64) * len(gene.dictionary) + gene.indices.to_numpy()
+            names, of_row = np.unique(both, return_inverse=True)
+            lists = batch.column("codes")
+            n = np.diff(lists.offsets.to_numpy())
+            key = np.repeat(of_row, n) * labels + lists.flatten().to_numpy()
+            r = np.bincount(key, np.repeat(batch.column("r").to_numpy(), n), len(names) * labels).reshape(-1, labels)
+            k = np.bincount(key, minlength=len(names) * labels).reshape(-1, labels)
+            for i, x in enumerate(names):
+                name = (dataset.dictionary[int(x) // len(gene.dictionary)].as_py(), gene.dictionary[int(x) % len(gene.dictionary)].as_py())
+                if name in genes:
+                    genes[name][0][:] += r[i]
+                    genes[name][1][:] += k[i]
+                else:
+                    genes[name] = r[i].copy(), k[i].copy()
+            if len(genes) * labels > SUMS:
+                yield from out()
+        yield from out()
+
+    return run
+
+
 def rank_sum_markers(expression: DataFrame, runs: DataFrame) -> DataFrame:
     """(dataset, method, seed, domain, gene, z, rank): every gene of the dataset for every domain of a run.
 
-    z has no tie correction; ranks go by z descending, then gene. A domain that holds all observations has z NULL.
+    z has no tie correction; ranks go by z descending, then gene. A domain that holds all observations has z NULL. Genes are whole numbers.
+
+    An observation's labels are one array of small numbers, which meets its entries once; tasks add up the rank sums of each gene and label.
     """
+    work = Workspace(runs.sparkSession, "markers")
+    ship(runs.sparkSession)
     n = runs.select("dataset", "obs_id").distinct().groupBy("dataset").agg(F.count("*").alias("nn"))
-    size = runs.groupBy(*RUN, F.col("cluster").alias("domain")).agg(F.count("*").alias("n1"))
-    nz = expression.where("value > 0").join(n, "dataset")
-    in_gene = Window.partitionBy("dataset", "gene")
-    # midrank among the gene's non-zeros, above its zeros
-    ranked = nz.withColumn("zeros", F.col("nn") - F.count(F.lit(1)).over(in_gene)).withColumn("r", S.midrank(["dataset", "gene"], "value") + F.col("zeros"))
-    genes = ranked.groupBy("dataset", "gene").agg(F.max("zeros").alias("zeros"), F.max("nn").alias("nn"))
-    # an observation's labels in all runs meet its entries once
-    labels = runs.groupBy("dataset", "obs_id").agg(F.collect_list(F.struct("method", "seed", "cluster")).alias("labels"))
-    own = ranked.select("dataset", "obs_id", "gene", "r").join(labels, ["dataset", "obs_id"]).select("dataset", "gene", "r", F.explode("labels").alias("l")).select("dataset", "gene", "r", "l.*")
-    own = own.groupBy(*RUN, F.col("cluster").alias("domain"), "gene").agg(F.sum("r").alias("r"), F.count("*").alias("k"))
-    grid = size.join(genes, "dataset").join(own, [*RUN, "domain", "gene"], "left")
-    total = "coalesce(r, 0D) + (n1 - coalesce(k, 0)) * (zeros + 1) / 2D"
+    coded, codes = label_codes(runs.select("dataset", "obs_id", "method", "seed", "cluster"), ["dataset"], ["method", "seed", "cluster"], work)
+    size = coded.groupBy("dataset", "code").agg(F.count("*").alias("n1"))
+    most = codes.agg(F.max("code")).first()[0]
+    labels = coded.groupBy("dataset", "obs_id").agg(F.collect_list("code").alias("codes"))
+    nz = expression.where("value > 0").select("dataset", "obs_id", "gene", "value")
+    ranks = value_ranks(nz, ["dataset", "gene"], "value", work)
+    ranks = work.write(ranks, "ranks")
+    genes = ranks.groupBy("dataset", "gene").agg(F.sum("n").alias("nonzero")).join(n, "dataset").select("dataset", "gene", "nn", (F.col("nn") - F.col("nonzero")).alias("zeros"))
+    # a non-zero's rank is that among the gene's non-zeros, above its zeros
+    ranked = nz.join(ranks, ["dataset", "gene", "value"]).join(labels, ["dataset", "obs_id"]).select("dataset", F.col("gene").cast("long").alias("gene"), F.col("rank").alias("r"), "codes")
+    own = ranked.mapInArrow(_label_sums((most or 0) + 1), "dataset string, gene long, code int, r double, k long")
+    own = own.groupBy("dataset", "gene", "code").agg(F.sum("r").alias("r"), F.sum("k").alias("k"))
+    grid = size.join(genes, "dataset").join(own, ["dataset", "gene", "code"], "left")
+    total = "coalesce(r + k * zeros, 0D) + (n1 - coalesce(k, 0)) * (zeros + 1) / 2D"
     z = f"try_divide({total} - n1 * (nn + 1) / 2D, sqrt(cast(n1 AS double) * (nn - n1) * (nn + 1) / 12D))"
-    out = grid.select(*RUN, "domain", "gene", F.expr(f"round({z}, 9)").alias("z"))
+    named = codes.select("dataset", "code", "method", "seed", F.col("cluster").alias("domain"))
+    out = grid.join(named, ["dataset", "code"]).select(*RUN, "domain", "gene", F.expr(f"round({z}, 9)").alias("z"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*RUN, "domain").orderBy(F.desc_nulls_last("z"), "gene")))
 
 

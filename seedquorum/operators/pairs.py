@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
 from seedquorum.operators.agreement import UNIT
+from seedquorum.operators.selection import quantiles
+from seedquorum.operators.stats import spearman
 
 
 def quantile(x: str, p: float):
@@ -58,13 +60,14 @@ def iso_summary(pairs: DataFrame, units: DataFrame, thresholds: tuple[float, ...
 def threshold_sensitivity(pairs: DataFrame, thresholds: tuple[float, ...] = S.ISO_THRESHOLDS) -> DataFrame:
     rows = pairs.select("ari_r", "ari_s", "partition_ari", *UNIT, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     rows = rows.where(S.iso_accuracy(F.col("ari_r"), F.col("ari_s"), F.col("threshold")))
-    return rows.groupBy("threshold").agg(
+    pooled = quantiles(rows, ["threshold"], {"pooled_median_partition_ari": ("partition_ari", 0.5)}).drop("n__partition_ari")  # over all units
+    out = rows.groupBy("threshold").agg(
         F.countDistinct(*UNIT).alias("n_units"),
         F.count("*").alias("n_iso_pairs"),
         F.count_if(S.divergent(F.col("partition_ari"))).alias("n_divergent"),
         F.avg(S.divergent(F.col("partition_ari")).cast("double")).alias("divergent_fraction"),
-        F.median("partition_ari").alias("pooled_median_partition_ari"),
     )
+    return out.join(pooled, "threshold")
 
 
 def iso_pairs(pairs: DataFrame, threshold: float = S.PRIMARY_ISO) -> DataFrame:
@@ -97,8 +100,7 @@ def global_example(pairs: DataFrame, threshold: float = S.PRIMARY_ISO) -> DataFr
 
 def decoupling(units: DataFrame, x: str = "reference_ari_sd", y: str = "instability") -> DataFrame:
     """Spearman over units."""
-    ranked = units.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(S.midrank([], x).alias("x"), S.midrank([], y).alias("y"))
-    return ranked.agg(F.count("*").alias("n_units"), S.correlation("x", "y").alias("spearman"))
+    return spearman(units, [], x, y).withColumnRenamed("n", "n_units")
 
 
 def seed_percentile(accuracy: DataFrame, seed: int = 1) -> DataFrame:

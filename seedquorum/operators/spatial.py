@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedquorum.operators.selection import quantiles
 from seedquorum.plans.workspace import Workspace
 
 
@@ -79,15 +80,19 @@ def boundary(points: DataFrame, k: int = 6) -> DataFrame:
 
 def boundary_support(flags: DataFrame, support: DataFrame) -> DataFrame:
     """Median support of boundary and of inner observations."""
-    s = flags.join(support, ["dataset", "obs_id"])
-    return s.groupBy("dataset").agg(F.median(F.expr("CASE WHEN is_boundary THEN support END")).alias("boundary_median"), F.median(F.expr("CASE WHEN NOT is_boundary THEN support END")).alias("inner_median"), F.count_if("is_boundary").alias("n_boundary"))
+    s = flags.join(support, ["dataset", "obs_id"]).select("dataset", F.expr("CASE WHEN is_boundary THEN support END").alias("boundary"), F.expr("CASE WHEN NOT is_boundary THEN support END").alias("inner"), "is_boundary")
+    q = quantiles(s, ["dataset"], {"boundary_median": ("boundary", 0.5), "inner_median": ("inner", 0.5)})
+    n = s.groupBy("dataset").agg(F.count_if("is_boundary").alias("n_boundary"))
+    return q.join(n, "dataset").select("dataset", "boundary_median", "inner_median", "n_boundary")
 
 
 def geometry(points: DataFrame, radius: float) -> DataFrame:
     """Per dataset: median nearest distance, degree quartiles within the radius, isolated points."""
-    near = nearest(points, 1).groupBy("dataset").agg(F.median("distance").alias("median_nearest"))
-    d = degrees(points, radius).groupBy("dataset").agg(F.count("*").alias("n"), F.percentile("degree", 0.25).alias("degree_q25"), F.median("degree").alias("degree_median"), F.percentile("degree", 0.75).alias("degree_q75"), F.count_if(F.col("degree") == 0).alias("n_isolated"))
-    return d.join(near, "dataset", "left")
+    near = quantiles(nearest(points, 1), ["dataset"], {"median_nearest": ("distance", 0.5)}).select("dataset", "median_nearest")
+    d = degrees(points, radius)
+    q = quantiles(d, ["dataset"], {"degree_q25": ("degree", 0.25), "degree_median": ("degree", 0.5), "degree_q75": ("degree", 0.75)}).withColumnRenamed("n__degree", "n")
+    alone = d.groupBy("dataset").agg(F.count_if(F.col("degree") == 0).alias("n_isolated"))
+    return q.join(alone, "dataset").join(near, "dataset", "left")
 
 
 def edge_set(edges: DataFrame) -> DataFrame:

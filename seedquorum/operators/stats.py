@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from seedquorum.functions import scalar as S
+from seedquorum.operators.selection import midranks, quantiles, value_ranks
+from seedquorum.plans.workspace import Workspace
 
 
 def _exact_tail(n: int, w: float) -> float:
@@ -32,8 +35,13 @@ def signed_rank(rows: DataFrame, greater: str, less: str, keys: list[str] | None
     keys = keys or []
     d = rows.select(*keys, S.finite_or_null(F.col(greater) - F.col(less)).alias("d")).where("d IS NOT NULL")
     zeros = d.groupBy(*keys).agg(F.count_if(F.expr("d = 0")).alias("n_zero"), F.count("*").alias("n_pairs"))
-    r = d.where("d <> 0").withColumn("m", F.abs("d")).withColumn("rank", S.midrank(keys, "m")).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "m")))
-    s = r.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.expr("CASE WHEN d > 0 THEN rank ELSE 0D END")).alias("w_plus"), F.sum(F.expr("CASE WHEN d < 0 THEN rank ELSE 0D END")).alias("w_minus"), F.sum(F.expr("cast(t * t - 1 AS double)")).alias("ties"))
+    work = Workspace(rows.sparkSession, "signed_rank")
+    m = work.write(d.where("d <> 0").withColumn("m", F.abs("d")), "differences")
+    ranks = value_ranks(m, keys, "m", work).alias("r")
+    signs = m.groupBy(*keys, "m").agg(F.count_if(F.expr("d > 0")).alias("plus"), F.count_if(F.expr("d < 0")).alias("minus")).alias("s")
+    on = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "m"]))
+    r = signs.join(ranks, on).select(*(F.col(f"s.{k}").alias(k) for k in keys), "s.plus", "s.minus", "r.n", "r.rank")
+    s = r.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.expr("plus * rank")).alias("w_plus"), F.sum(F.expr("minus * rank")).alias("w_minus"), F.sum(F.expr("cast(n AS double) * (n * n - 1)")).alias("ties"))
     z = "try_divide(w_plus - n * (n + 1) / 4D, sqrt(n * (n + 1) * (2 * n + 1) / 24D - ties / 48D))"
     s = s.select(*keys, "n", "w_plus", "w_minus", F.expr(z).alias("z"), F.expr("try_divide(w_plus - w_minus, w_plus + w_minus)").alias("rank_biserial"), F.col("ties"))
     out = s.join(zeros, keys) if keys else s.crossJoin(zeros)  # one row each
@@ -44,15 +52,16 @@ def signed_rank(rows: DataFrame, greater: str, less: str, keys: list[str] | None
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Per key over complete pairs; NULL with fewer than two or a constant side."""
-    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = full.select(*keys, S.midrank(keys, x).alias("rx"), S.midrank(keys, y).alias("ry"))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), S.correlation("rx", "ry").alias("spearman"))
+    work = Workspace(rows.sparkSession, "spearman")
+    full = work.write(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), "pairs")
+    r = midranks(midranks(full, keys, "_x", "_rx", work), keys, "_y", "_ry", work)
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), S.correlation("_rx", "_ry").alias("spearman"))
 
 
 def finite_summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """n, median and quartiles of the finite values."""
-    v = S.finite_or_null(F.col(value))
-    return rows.groupBy(*(keys or [])).agg(F.count(v).alias("n"), F.median(v).alias("median"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.75).alias("q75"))
+    q = quantiles(rows, keys or [], {"median": (value, 0.5), "q25": (value, 0.25), "q75": (value, 0.75)})
+    return q.withColumnRenamed(f"n__{value}", "n")
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
