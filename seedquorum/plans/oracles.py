@@ -215,7 +215,9 @@ ORACLES |= {
     "headerless_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "token_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier",
     "json_summary": "SELECT count(*) AS n, max(n_name) AS last FROM nation",
-    "file_manifest": "SELECT 2 AS n_files, 2 AS n_hashes, 2 AS n_found",
+    "file_manifest": """WITH n AS (SELECT c_nationkey AS nation, bool_or(c_nationkey % 4 <> 0 AND c_custkey % 5 = 0) AS hit FROM customer GROUP BY ALL)
+ SELECT nation, CASE WHEN nation = 3 THEN 'removed' WHEN hit THEN 'changed' ELSE 'same' END AS status FROM n UNION ALL SELECT 26, 'added' FROM n WHERE nation = 5""",
+    "published_tables": "SELECT 'orders_' || o_orderstatus AS name, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders",
     "neighbour_mean": f"""WITH {EXPR}, ed AS (SELECT * FROM (SELECT o_orderstatus AS dataset, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL)
  SELECT dataset, src AS obs_id, gene, sum(value) AS value FROM ed JOIN ex ON ex.dataset = ed.dataset AND ex.obs_id = dst GROUP BY ALL""".replace("SELECT dataset, src AS obs_id", "SELECT ed.dataset AS dataset, src AS obs_id"),
     "boundary_support": f"WITH {NEAR}, bf AS (SELECT src, coalesce(bool_or(a.label <> b.label), false) AS f FROM nb JOIN pt a ON a.obs_id = src JOIN pt b ON b.obs_id = dst GROUP BY src) SELECT 'e' AS dataset, median(CASE WHEN f THEN (src % 100) / 100e0 END) AS boundary_median, median(CASE WHEN NOT f THEN (src % 100) / 100e0 END) AS inner_median, count(*) FILTER (f) AS n_boundary FROM bf",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from seedquorum.operators import agreement, consensus, expression, frames, graph
 from seedquorum.plans import oracles
 from seedquorum.plans.workspace import Workspace
 from seedquorum.sources import binding as B
-from seedquorum.sources import files, sinks
+from seedquorum.sources import files, journal, sinks
 
 TOP = 20
 RADIUS = oracles.RADIUS
@@ -31,18 +32,31 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
-_written: dict[tuple[str, str, str], tuple[Workspace, DataFrame]] = {}
+_written: dict[tuple[str, str, str], tuple[tuple, Workspace, DataFrame]] = {}
+
+
+def _state(s: SparkSession, d: str) -> tuple:
+    """Paths, sizes and times of the tables' files."""
+    root = s._jvm.org.apache.hadoop.fs.Path(d)
+    fs, found = root.getFileSystem(s._jsparkSession.sessionState().newHadoopConf()), []
+    every = fs.listFiles(root, True)
+    while every.hasNext():
+        f = every.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def once(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A table that several queries need, written once per application and folder of tables."""
+    """A table that several queries need, written once per application and folder of tables; anew when the folder's files have changed."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        key = (s.sparkContext.applicationId, d, plan.__name__)
-        if key not in _written:
+        key, state = (s.sparkContext.applicationId, d, plan.__name__), _state(s, d)
+        if key not in _written or _written[key][0] != state:
+            if key in _written:
+                _written[key][1].close()
             work = Workspace(s, plan.__name__)
-            _written[key] = work, work.write(plan(s, d), plan.__name__)
-        return _written[key][1]
+            _written[key] = state, work, work.write(plan(s, d), plan.__name__)
+        return _written[key][2]
 
     return run
 
@@ -287,11 +301,25 @@ def json_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def file_manifest(s: SparkSession, d: str) -> DataFrame:
-    """Two published tables: their files by name, with digests."""
-    sinks.publish(s, {"a": B.table(s, d, "nation").coalesce(1), "b": B.table(s, d, "region").coalesce(1)}, path := _file(s, "published"))
-    found = files.discover(s, path, "*.parquet", expected=2)
-    both = files.file_hashes(s, path, "*.parquet").join(found.select("path"), "path", "left")
-    return both.agg(F.count("*").alias("n_files"), F.count_if(S.is_sha256(F.col("sha256"))).alias("n_hashes"), F.count("path").alias("n_found"))
+    """Customers in a folder for each nation, written twice: nation 3 goes, 26 comes, some rows of nations not divisible by 4 change."""
+    c = B.table(s, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_nationkey")
+    new = c.withColumn("c_acctbal", F.expr("CASE WHEN c_nationkey % 4 <> 0 AND c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END")).where("c_nationkey <> 3")
+    new = new.unionByName(c.where("c_nationkey = 5").withColumn("c_nationkey", F.lit(26).cast(dict(c.dtypes)["c_nationkey"])))
+    found = []
+    for name, rows in (("before", c), ("after", new)):
+        rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").write.partitionBy("c_nationkey").csv(path := _file(s, name))
+        found.append(files.folder_digests(s, path, names=False))
+    return files.compare_baseline(*found).select(F.substring_index("folder", "=", -1).alias("nation"), "status")
+
+
+def published_tables(s: SparkSession, d: str) -> DataFrame:
+    """Orders by status, published; then published anew with one table and a document replaced, read back by the receipt's names."""
+    o = B.table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    home = _file(s, "published")
+    of = lambda status: o.where(F.col("o_orderstatus") == status).drop("o_orderstatus")
+    journal.publish(s, home, {**{f"orders_{x}": of(x) for x in "FOP"}, "note": b"first"})
+    journal.publish_gate(s, home, {"orders_P": of("P").withColumn("o_totalprice", -F.col("o_totalprice")), "note": b"second"}, "gate", {"finite": validate.not_finite(o, ["o_totalprice"])}, replace=("orders_P", "note"))
+    return reduce(DataFrame.unionByName, (s.read.parquet(f"{home}/orders_{x}").withColumn("name", F.lit(f"orders_{x}")) for x in "FOP"))
 
 
 def neighbour_mean(s: SparkSession, d: str) -> DataFrame:
@@ -415,7 +443,8 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "headerless_round_trip": ("c_custkey:i c_name c_acctbal:d", headerless_round_trip),
     "token_round_trip": ("c_custkey c_name", token_round_trip),
     "json_summary": ("n:i last", json_summary),
-    "file_manifest": ("n_files:i n_hashes:i n_found:i", file_manifest),
+    "file_manifest": ("nation:i status", file_manifest),
+    "published_tables": ("name o_orderkey:i o_totalprice:d", published_tables),
     "neighbour_mean": ("dataset obs_id:i gene:i value:d", neighbour_mean),
     "boundary_support": ("dataset boundary_median:d inner_median:d n_boundary:i", boundary_support),
     "ranking_table": (f"{U} expected_rank:d spearman:d low:d middle:d high:d split_half_ari:d gain:d", ranking_table),

@@ -18,14 +18,29 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed(df.columns[0], df.columns[0].lstrip(BOM).strip('"')) if df.columns and df.columns[0].startswith(BOM) else df
 
 
+#: Stand in for a quoted empty cell and for a null that no cell holds, so that the one is told from the other.
+_EMPTY, _NEVER = "\ue000\ue001", "\ue000\ue002"
+
+
+def _cells(spark: SparkSession, path: str, header: bool, sep: str, null: str, multi_line: bool) -> DataFrame:
+    """Every cell as text: unquoted empty cells (or ``null``) are NULL, quoted empty ones the empty text, blanks stay."""
+    got = spark.read.csv(path, header=header, inferSchema=False, sep=sep, nullValue=null or _NEVER, emptyValue=_EMPTY, multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return got.select(*(F.when(F.col(f"`{c}`") == _EMPTY, "").otherwise(F.col(f"`{c}`")).alias(c) for c in got.columns))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | StructType, header: bool = True, sep: str = ",", null: str = "", multi_line: bool = False) -> DataFrame:
-    """CSV or TSV with declared columns; with a header, columns are found by name (other ones ignored, a missing one is an error)."""
-    if not header:
-        return spark.read.schema(schema).csv(path, header=False, sep=sep, nullValue=null, multiLine=multi_line, quote='"', escape='"')
-    text = _named(spark.read.csv(path, header=True, inferSchema=False, sep=sep, nullValue=null, multiLine=multi_line, quote='"', escape='"'))
+    """CSV or TSV with declared columns; with a header, columns are found by name (other ones ignored, a missing one is an error), else by place.
+
+    Cells with line ends need ``multi_line``, with which a file is read in one task.
+    """
+    text = _cells(spark, path, header, sep, null, multi_line)
     want = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    if missing := [f.name for f in want if f.name not in text.columns]:
-        raise ValidationError(f"{path} has no {missing}")
+    if header:
+        text = _named(text)
+        if missing := [f.name for f in want if f.name not in text.columns]:
+            raise ValidationError(f"{path} has no {missing}")
+    else:
+        text = text.toDF(*want.names)
     return text.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in want))
 
 
@@ -103,5 +118,27 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return f.select("path", F.col("length").alias("bytes"), F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
+def folder_digests(spark: SparkSession, path: str, depth: int = 1, names: bool = True) -> DataFrame:
+    """folder, n_files, bytes, sha256 of the folders ``depth`` below a path: the digest of their files' sorted (path within, digest) lines.
+
+    Without ``names`` of the digests alone, as Spark's file names differ from run to run. Data pass through the tasks that hash them; a folder's
+    lines, one per file, are sorted in a task.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toUri().getPath().rstrip("/")
+    within = F.split(F.substring(F.regexp_replace("path", "^[a-zA-Z0-9]+:/*", "/"), len(root) + 2, 1 << 30), "/")
+    f = file_hashes(spark, path).select(F.array_join(F.slice(within, 1, depth), "/").alias("folder"), F.array_join(F.slice(within, depth + 1, 1000), "/").alias("name"), "bytes", "sha256")
+    line = F.concat_ws(" ", "name", "sha256") if names else F.col("sha256")
+    out = f.groupBy("folder").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"), F.sort_array(F.collect_list(line)).alias("lines"))
+    return out.select("folder", "n_files", "bytes", F.upper(F.sha2(F.array_join("lines", "\n").cast("binary"), 256)).alias("sha256"))
+
+
+def compare_baseline(before: DataFrame, after: DataFrame, key: str = "folder") -> DataFrame:
+    """key, status (added, removed, changed, same) of two tables of digests."""
+    b, a = before.select(key, F.col("sha256").alias("was")), after.select(key, F.col("sha256").alias("is"))
+    status = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") == F.col("is"), "same").otherwise("changed")
+    return b.join(a, key, "full_outer").select(key, status.alias("status"))
+
+
 def text_schema(names: list[str]) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])

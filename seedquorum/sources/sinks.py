@@ -1,10 +1,9 @@
-"""Sinks: CSV in several number formats, JSON summaries, and publication as a whole or not at all."""
+"""Sinks: CSV in several number formats, JSON summaries, unions that keep old rows' text. Publication is in journal.py."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -14,27 +13,27 @@ BOM = "﻿"
 
 
 def formatted(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """Floating columns as text with so many significant digits, trailing zeros stripped; the others unchanged."""
+    """Floating columns as text with so many significant digits, as C's %g (ties by the exact binary value, -0 keeps its sign); NaN is NULL. The others unchanged.
+
+    Java's %g rounds the shortest decimal text of a double, so the digits come from an Arrow UDF.
+    """
     if digits is None:
         return df
+    fmt = f"%.{digits}g"
 
-    def one(name: str):
-        v = F.col(name).cast("double")
-        exponent = F.floor(F.log10(F.abs(v)))
-        plain = F.format_string(f"%.{digits}g", v)
-        # Java's %g keeps trailing zeros and switches to exponents elsewhere than C's
-        fixed = F.when((exponent >= -5) & (exponent < digits), F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(F.regexp_replace(plain, r"(\.\d*?)0*(e)", "$1$2"))
-        return F.when(v.isNull(), None).when(v == 0, "0").otherwise(F.regexp_replace(fixed, r"\.e", "e")).alias(name)
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v != v else fmt % v for v in x.to_numpy(dtype=float)], dtype=object)
 
-    return df.select(*(one(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in df.schema))
+    return df.select(*(text(F.col(f"`{f.name}`").cast("double")).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`") for f in df.schema))
 
 
 def write_csv(df: DataFrame, path: str, digits: int | None = None, null: str = "", bom: bool = False, sep: str = ",") -> None:
-    """Refuses to overwrite. A byte order mark goes before the first column's name."""
+    """Refuses to overwrite. A byte order mark goes before the first column's name. Quotes are doubled, an empty text is written as two quotes, blanks stay."""
     out = formatted(df, digits)
     if bom:
         out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
-    out.write.mode("errorifexists").csv(path, header=True, nullValue=null, sep=sep, emptyValue="")
+    out.write.mode("errorifexists").csv(path, header=True, nullValue=null, sep=sep, quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json_summary(df: DataFrame, path: str) -> None:
@@ -48,42 +47,3 @@ def token_union(old: DataFrame, new: DataFrame, keys: list[str], digits: int = 1
     if clash := old.join(fresh, keys, "left_semi").select(*keys).limit(1).collect():
         raise ValidationError(f"already there: {tuple(clash[0])}")
     return old.unionByName(fresh)
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
-
-
-def publish(spark: SparkSession, tables: dict[str, DataFrame], target: str) -> None:
-    """All tables, or none: written beside the target, then renamed at once, with a manifest; an existing target is never touched."""
-    fs, final = _fs(spark, target)
-    if fs.exists(final):
-        raise ValidationError(f"{target} exists")
-    staging = f"{target}.staging-{uuid.uuid4().hex}"
-    try:
-        for name, df in tables.items():
-            df.write.parquet(f"{staging}/{name}")
-        rows = [(name, spark.read.parquet(f"{staging}/{name}").count()) for name in tables]
-        spark.createDataFrame(rows, "table string, n_rows long").coalesce(1).write.json(f"{staging}/_manifest")
-        if not fs.rename(_fs(spark, staging)[1], final):
-            raise ValidationError(f"could not publish {target}")
-    finally:
-        if fs.exists(_fs(spark, staging)[1]):
-            fs.delete(_fs(spark, staging)[1], True)
-
-
-def recover(spark: SparkSession, target: str) -> list[str]:
-    """Removes what interrupted publications left beside a target; the target itself and foreign files stay."""
-    fs, p = _fs(spark, f"{target}.staging-*")
-    found = [s.getPath() for s in fs.globStatus(p) or []]
-    for f in found:
-        fs.delete(f, True)
-    return [f.toString() for f in found]
-
-
-def check_manifest(spark: SparkSession, target: str) -> DataFrame:
-    """table, n_rows, found of published tables whose number of rows isn't the manifest's."""
-    m = spark.read.schema("table string, n_rows long").json(f"{target}/_manifest")
-    rows = [(r["table"], r["n_rows"], spark.read.parquet(f"{target}/{r['table']}").count()) for r in m.collect()]
-    return spark.createDataFrame(rows, "table string, n_rows long, found long").where("n_rows <> found")

@@ -146,16 +146,26 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {tuple(r) for r in files.read_matrix_market(spark, str(tmp_path / "m.mtx")).collect()} == {(1, 1, 3.5), (2, 1, 2.0)}
     np.savez(tmp_path / "e.npz", z=np.eye(2))
     assert files.read_arrays(spark, str(tmp_path / "e.npz"), "z").count() == 2
-    target = str(tmp_path / "out")
-    sinks.publish(spark, {"t": d}, target)
-    assert sinks.check_manifest(spark, target).count() == 0 and sinks.recover(spark, target) == []
-    with pytest.raises(relational.ValidationError):
-        sinks.publish(spark, {"t": d}, target)
     assert sinks.formatted(spark.createDataFrame([(0.1 + 0.2,), (1e-9,), (2.0,), (None,)], "x double"), 10).toPandas().x.tolist() == ["0.3", "1e-09", "2", None]
     with pytest.raises(relational.ValidationError):
         files.read_tokens(spark, str(tmp_path / "a.csv"), ["section"]).unionAll(d.selectExpr("section", "'1'")) and files.single_match(spark, str(tmp_path / "*.none"))
 
 
+def test_csv_comes_back_as_it_was(spark, tmp_path):
+    cells = ['a"b', "", " sp ", "x,y", "two\nlines", "cr\rend", "\\", '\\"', None, "NA", '""', "é\t", "'", "#c"]
+    d = spark.createDataFrame([(i, c, c) for i, c in enumerate(cells)], "k int, a string, b string")
+    for name, null, sep in (("plain", "", ","), ("na", "none", ","), ("tabs", "", "\t")):
+        sinks.write_csv(d, path := f"{tmp_path}/{name}", null=null, sep=sep, bom=name == "na")
+        got = files.read_csv(spark, path, "k int, a string, b string", null=null, sep=sep, multi_line=True).orderBy("k").collect()
+        assert [(r["a"], r["b"]) for r in got] == [(c, c) for c in cells], name
+
+
+def test_digits_are_those_of_c(spark):
+    values = [123456789012.5, 0.1 + 0.2, -0.0, 1e-9, 2.0, 0.1234567890125, 1e22, 123456789013.5, float("inf"), 5e-324, 1234567890125e-13, None, float("nan")]
+    got = sinks.formatted(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double"), 12).orderBy("i").collect()
+    assert [r["x"] for r in got] == [None if v is None or v != v else "%.12g" % v for v in values]
+
+
 def test_stream_scores_what_has_come(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("d", "m", 1, o, o % 2, o % 2) for o in range(6)], "dataset string, method string, seed int, obs_id long, ref int, cluster int").write.parquet(src)
