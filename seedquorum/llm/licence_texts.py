@@ -243,5 +243,235 @@ act of relinquishment in perpetuity of all present and future rights to this sof
 WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
 NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
 OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+""",
+    "GFDL-1.3": """
+GNU Free Documentation License Version 1.3, 3 November 2008 Copyright (C) 2000, 2001, 2002, 2007, 2008 Free Software Foundation, Inc.
+<https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. 0. PREAMBLE
+The purpose of this License is to make a manual, textbook, or other functional and useful document "free" in the sense of freedom: to assure everyone
+the effective freedom to copy and redistribute it, with or without modifying it, either commercially or noncommercially. Secondarily, this License
+preserves for the author and publisher a way to get credit for their work, while not being considered responsible for modifications made by others.
+This License is a kind of "copyleft", which means that derivative works of the document must themselves be free in the same sense. It complements the
+GNU General Public License, which is a copyleft license designed for free software. We have designed this License in order to use it for manuals for
+free software, because free software needs free documentation: a free program should come with manuals providing the same freedoms that the software
+does. But this License is not limited to software manuals; it can be used for any textual work, regardless of subject matter or whether it is
+published as a printed book. We recommend this License principally for works whose purpose is instruction or reference. 1. APPLICABILITY AND
+DEFINITIONS This License applies to any manual or other work, in any medium, that contains a notice placed by the copyright holder saying it can be
+distributed under the terms of this License. Such a notice grants a world-wide, royalty-free license, unlimited in duration, to use that work under
+the conditions stated herein. The "Document", below, refers to any such manual or work. Any member of the public is a licensee, and is addressed as
+"you". You accept the license if you copy, modify or distribute the work in a way requiring permission under copyright law. A "Modified Version" of
+the Document means any work containing the Document or a portion of it, either copied verbatim, or with modifications and/or translated into another
+language. A "Secondary Section" is a named appendix or a front-matter section of the Document that deals exclusively with the relationship of the
+publishers or authors of the Document to the Document's overall subject (or to related matters) and contains nothing that could fall directly within
+that overall subject. (Thus, if the Document is in part a textbook of mathematics, a Secondary Section may not explain any mathematics.) The
+relationship could be a matter of historical connection with the subject or with related matters, or of legal, commercial, philosophical, ethical or
+political position regarding them. The "Invariant Sections" are certain Secondary Sections whose titles are designated, as being those of Invariant
+Sections, in the notice that says that the Document is released under this License. If a section does not fit the above definition of Secondary then
+it is not allowed to be designated as Invariant. The Document may contain zero Invariant Sections. If the Document does not identify any Invariant
+Sections then there are none. The "Cover Texts" are certain short passages of text that are listed, as Front-Cover Texts or Back-Cover Texts, in the
+notice that says that the Document is released under this License. A Front-Cover Text may be at most 5 words, and a Back-Cover Text may be at most 25
+words. A "Transparent" copy of the Document means a machine-readable copy, represented in a format whose specification is available to the general
+public, that is suitable for revising the document straightforwardly with generic text editors or (for images composed of pixels) generic paint
+programs or (for drawings) some widely available drawing editor, and that is suitable for input to text formatters or for automatic translation to a
+variety of formats suitable for input to text formatters. A copy made in an otherwise Transparent file format whose markup, or absence of markup, has
+been arranged to thwart or discourage subsequent modification by readers is not Transparent. An image format is not Transparent if used for any
+substantial amount of text. A copy that is not "Transparent" is called "Opaque". Examples of suitable formats for Transparent copies include plain
+ASCII without markup, Texinfo input format, LaTeX input format, SGML or XML using a publicly available DTD, and standard-conforming simple HTML,
+PostScript or PDF designed for human modification. Examples of transparent image formats include PNG, XCF and JPG. Opaque formats include proprietary
+formats that can be read and edited only by proprietary word processors, SGML or XML for which the DTD and/or processing tools are not generally
+available, and the machine-generated HTML, PostScript or PDF produced by some word processors for output purposes only. The "Title Page" means, for a
+printed book, the title page itself, plus such following pages as are needed to hold, legibly, the material this License requires to appear in the
+title page. For works in formats which do not have any title page as such, "Title Page" means the text near the most prominent appearance of the
+work's title, preceding the beginning of the body of the text. The "publisher" means any person or entity that distributes copies of the Document to
+the public. A section "Entitled XYZ" means a named subunit of the Document whose title either is precisely XYZ or contains XYZ in parentheses
+following text that translates XYZ in another language. (Here XYZ stands for a specific section name mentioned below, such as "Acknowledgements",
+"Dedications", "Endorsements", or "History".) To "Preserve the Title" of such a section when you modify the Document means that it remains a section
+"Entitled XYZ" according to this definition. The Document may include Warranty Disclaimers next to the notice which states that this License applies
+to the Document. These Warranty Disclaimers are considered to be included by reference in this License, but only as regards disclaiming warranties:
+any other implication that these Warranty Disclaimers may have is void and has no effect on the meaning of this License. 2. VERBATIM COPYING You may
+copy and distribute the Document in any medium, either commercially or noncommercially, provided that this License, the copyright notices, and the
+license notice saying this License applies to the Document are reproduced in all copies, and that you add no other conditions whatsoever to those of
+this License. You may not use technical measures to obstruct or control the reading or further copying of the copies you make or distribute. However,
+you may accept compensation in exchange for copies. If you distribute a large enough number of copies you must also follow the conditions in section
+3.
+""",
+    "LGPL-2.0": """
+GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA
+02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. [This is the
+first released version of the library GPL. It is numbered 2 because it goes with version 2 of the ordinary GPL.] Preamble The licenses for most
+software are designed to take away your freedom to share and change it. By contrast, the GNU General Public Licenses are intended to guarantee your
+freedom to share and change free software--to make sure the software is free for all its users. This license, the Library General Public License,
+applies to some specially designated Free Software Foundation software, and to any other libraries whose authors decide to use it. You can use it for
+your libraries, too. When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are designed to make sure
+that you have the freedom to distribute copies of free software (and charge for this service if you wish), that you receive source code or can get it
+if you want it, that you can change the software or use pieces of it in new free programs; and that you know you can do these things. To protect your
+rights, we need to make restrictions that forbid anyone to deny you these rights or to ask you to surrender the rights. These restrictions translate
+to certain responsibilities for you if you distribute copies of the library, or if you modify it. For example, if you distribute copies of the
+library, whether gratis or for a fee, you must give the recipients all the rights that we gave you. You must make sure that they, too, receive or can
+get the source code. If you link a program with the library, you must provide complete object files to the recipients so that they can relink them
+with the library, after making changes to the library and recompiling it. And you must show them these terms so they know their rights. Our method of
+protecting your rights has two steps: (1) copyright the library, and (2) offer you this license which gives you legal permission to copy, distribute
+and/or modify the library. Also, for each distributor's protection, we want to make certain that everyone understands that there is no warranty for
+this free library. If the library is modified by someone else and passed on, we want its recipients to know that what they have is not the original
+version, so that any problems introduced by others will not reflect on the original authors' reputations. Finally, any free program is threatened
+constantly by software patents. We wish to avoid the danger that companies distributing free software will individually obtain patent licenses, thus
+in effect transforming the program into proprietary software. To prevent this, we have made it clear that any patent must be licensed for everyone's
+free use or not licensed at all. Most GNU software, including some libraries, is covered by the ordinary GNU General Public License, which was
+designed for utility programs. This license, the GNU Library General Public License, applies to certain designated libraries. This license is quite
+different from the ordinary one; be sure to read it in full, and don't assume that anything in it is the same as in the ordinary license. The reason
+we have a separate public license for some libraries is that they blur the distinction we usually make between modifying or adding to a program and
+simply using it. Linking a program with a library, without changing the library, is in some sense simply using the library, and is analogous to
+running a utility program or application program. However, in a textual and legal sense, the linked executable is a combined work, a derivative of the
+original library, and the ordinary General Public License treats it as such. Because of this blurred distinction, using the ordinary General Public
+License for libraries did not effectively promote software sharing, because most developers did not use the libraries. We concluded that weaker
+conditions might promote sharing better. However, unrestricted linking of non-free programs would deprive the users of those programs of all benefit
+from the free status of the libraries themselves. This Library General Public License is intended to permit developers of non-free programs to use
+free libraries, while preserving your freedom as a user of such programs to change the free libraries that are incorporated in them. (We have not seen
+how to achieve this as regards changes in header files, but we have achieved it as regards changes in the actual functions of the Library.) The hope
+is that this will lead to faster development of free libraries. The precise terms and conditions for copying, distribution and modification follow.
+Pay close attention to the difference between a "work based on the library" and a "work that uses the library". The former contains code derived from
+the library, while the latter only works together with the library. Note that it is possible for a library to be covered by the ordinary General
+Public License rather than by this special one. GNU LIBRARY GENERAL PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0.
+This License Agreement applies to any software library which contains a notice placed by the copyright holder or other authorized party saying it may
+be distributed under the terms of this Library General Public License (also called "this License"). Each licensee is addressed as "you". A "library"
+means a collection of software functions and/or data prepared so as to be conveniently linked with application programs (which use some of those
+functions and data) to form executables. The "Library", below, refers to any such software library or work which has been distributed under these
+terms. A "work based on the Library" means either the Library or any derivative work under copyright law: that is to say, a work containing the
+Library or a portion of it, either verbatim or with modifications and/or translated straightforwardly into another language. (Hereinafter, translation
+is included without limitation in the term "modification".) "Source code" for a work means the preferred form of the work for making modifications to
+it. For a library, complete source code means all the source code for all modules it contains, plus any associated interface definition files, plus
+the scripts used to control compilation and installation of the library. Activities other than copying, distribution and modification are not covered
+by this License; they are outside its scope. The act of running a program using the Library is not restricted, and output from such a program is
+covered only if its contents constitute a work based on the Library (independent of the use of the Library in a tool for writing it). Whether that is
+true depends on what the Library does and what the program that uses the Library does. 1. You may copy and distribute verbatim copies of the Library's
+complete source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright
+notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and distribute a copy of
+this License along with the Library. You may charge a fee for the physical act of transferring a copy, and you may at your option offer warranty
+protection in exchange for a fee.
+""",
+    "LGPL-2.1": """
+GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor,
+Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. [This
+is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version
+number 2.1.] Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General
+Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This
+license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software
+Foundation and other authors who decide to use it. You can use it too, but we suggest you first think carefully about whether this license or the
+ordinary General Public License is the better strategy to use in any particular case, based on the explanations below. When we speak of free software,
+we are referring to freedom of use, not price. Our General Public Licenses are designed to make sure that you have the freedom to distribute copies of
+free software (and charge for this service if you wish); that you receive source code or can get it if you want it; that you can change the software
+and use pieces of it in new free programs; and that you are informed that you can do these things. To protect your rights, we need to make
+restrictions that forbid distributors to deny you these rights or to ask you to surrender these rights. These restrictions translate to certain
+responsibilities for you if you distribute copies of the library or if you modify it. For example, if you distribute copies of the library, whether
+gratis or for a fee, you must give the recipients all the rights that we gave you. You must make sure that they, too, receive or can get the source
+code. If you link other code with the library, you must provide complete object files to the recipients, so that they can relink them with the library
+after making changes to the library and recompiling it. And you must show them these terms so they know their rights. We protect your rights with a
+two-step method: (1) we copyright the library, and (2) we offer you this license, which gives you legal permission to copy, distribute and/or modify
+the library. To protect each distributor, we want to make it very clear that there is no warranty for the free library. Also, if the library is
+modified by someone else and passed on, the recipients should know that what they have is not the original version, so that the original author's
+reputation will not be affected by problems that might be introduced by others. Finally, software patents pose a constant threat to the existence of
+any free program. We wish to make sure that a company cannot effectively restrict the users of a free program by obtaining a restrictive license from
+a patent holder. Therefore, we insist that any patent license obtained for a version of the library must be consistent with the full freedom of use
+specified in this license. Most GNU software, including some libraries, is covered by the ordinary GNU General Public License. This license, the GNU
+Lesser General Public License, applies to certain designated libraries, and is quite different from the ordinary General Public License. We use this
+license for certain libraries in order to permit linking those libraries into non-free programs. When a program is linked with a library, whether
+statically or using a shared library, the combination of the two is legally speaking a combined work, a derivative of the original library. The
+ordinary General Public License therefore permits such linking only if the entire combination fits its criteria of freedom. The Lesser General Public
+License permits more lax criteria for linking other code with the library. We call this license the "Lesser" General Public License because it does
+Less to protect the user's freedom than the ordinary General Public License. It also provides other free software developers Less of an advantage over
+competing non-free programs. These disadvantages are the reason we use the ordinary General Public License for many libraries. However, the Lesser
+license provides advantages in certain special circumstances. For example, on rare occasions, there may be a special need to encourage the widest
+possible use of a certain library, so that it becomes a de-facto standard. To achieve this, non-free programs must be allowed to use the library. A
+more frequent case is that a free library does the same job as widely used non-free libraries. In this case, there is little to gain by limiting the
+free library to free software only, so we use the Lesser General Public License. In other cases, permission to use a particular library in non-free
+programs enables a greater number of people to use a large body of free software. For example, permission to use the GNU C Library in non-free
+programs enables many more people to use the whole GNU operating system, as well as its variant, the GNU/Linux operating system. Although the Lesser
+General Public License is Less protective of the users' freedom, it does ensure that the user of a program that is linked with the Library has the
+freedom and the wherewithal to run that program using a modified version of the Library. The precise terms and conditions for copying, distribution
+and modification follow. Pay close attention to the difference between a "work based on the library" and a "work that uses the library". The former
+contains code derived from the library, whereas the latter must be combined with the library in order to run. GNU LESSER GENERAL PUBLIC LICENSE TERMS
+AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. This License Agreement applies to any software library or other program which contains a
+notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Lesser General Public License
+(also called "this License"). Each licensee is addressed as "you". A "library" means a collection of software functions and/or data prepared so as to
+be conveniently linked with application programs (which use some of those functions and data) to form executables. The "Library", below, refers to any
+such software library or work which has been distributed under these terms. A "work based on the Library" means either the Library or any derivative
+work under copyright law: that is to say, a work containing the Library or a portion of it, either verbatim or with modifications and/or translated
+straightforwardly into another language. (Hereinafter, translation is included without limitation in the term "modification".) "Source code" for a
+work means the preferred form of the work for making modifications to it. For a library, complete source code means all the source code for all
+modules it contains, plus any associated interface definition files, plus the scripts used to control compilation and installation of the library.
+Activities other than copying, distribution and modification are not covered by this License; they are outside its scope. The act of running a program
+using the Library is not restricted, and output from such a program is covered only if its contents constitute a work based on the Library
+(independent of the use of the Library in a tool for writing it). Whether that is true depends on what the Library does and what the program that uses
+the Library does.
+""",
+    "MPL-1.1": """
+MOZILLA PUBLIC LICENSE Version 1.1 --------------- 1. Definitions. 1.0.1. "Commercial Use" means distribution or otherwise making the Covered Code
+available to a third party. 1.1. "Contributor" means each entity that creates or contributes to the creation of Modifications. 1.2. "Contributor
+Version" means the combination of the Original Code, prior Modifications used by a Contributor, and the Modifications made by that particular
+Contributor. 1.3. "Covered Code" means the Original Code or Modifications or the combination of the Original Code and Modifications, in each case
+including portions thereof. 1.4. "Electronic Distribution Mechanism" means a mechanism generally accepted in the software development community for
+the electronic transfer of data. 1.5. "Executable" means Covered Code in any form other than Source Code. 1.6. "Initial Developer" means the
+individual or entity identified as the Initial Developer in the Source Code notice required by Exhibit A. 1.7. "Larger Work" means a work which
+combines Covered Code or portions thereof with code not governed by the terms of this License. 1.8. "License" means this document. 1.8.1. "Licensable"
+means having the right to grant, to the maximum extent possible, whether at the time of the initial grant or subsequently acquired, any and all of the
+rights conveyed herein. 1.9. "Modifications" means any addition to or deletion from the substance or structure of either the Original Code or any
+previous Modifications. When Covered Code is released as a series of files, a Modification is: A. Any addition to or deletion from the contents of a
+file containing Original Code or previous Modifications. B. Any new file that contains any part of the Original Code or previous Modifications. 1.10.
+"Original Code" means Source Code of computer software code which is described in the Source Code notice required by Exhibit A as Original Code, and
+which, at the time of its release under this License is not already Covered Code governed by this License. 1.10.1. "Patent Claims" means any patent
+claim(s), now owned or hereafter acquired, including without limitation, method, process, and apparatus claims, in any patent Licensable by grantor.
+1.11. "Source Code" means the preferred form of the Covered Code for making modifications to it, including all modules it contains, plus any
+associated interface definition files, scripts used to control compilation and installation of an Executable, or source code differential comparisons
+against either the Original Code or another well known, available Covered Code of the Contributor's choice. The Source Code can be in a compressed or
+archival form, provided the appropriate decompression or de-archiving software is widely available for no charge. 1.12. "You" (or "Your") means an
+individual or a legal entity exercising rights under, and complying with all of the terms of, this License or a future version of this License issued
+under Section 6.1. For legal entities, "You" includes any entity which controls, is controlled by, or is under common control with You. For purposes
+of this definition, "control" means (a) the power, direct or indirect, to cause the direction or management of such entity, whether by contract or
+otherwise, or (b) ownership of more than fifty percent (50%) of the outstanding shares or beneficial ownership of such entity. 2. Source Code License.
+2.1. The Initial Developer Grant. The Initial Developer hereby grants You a world-wide, royalty-free, non-exclusive license, subject to third party
+intellectual property claims: (a) under intellectual property rights (other than patent or trademark) Licensable by Initial Developer to use,
+reproduce, modify, display, perform, sublicense and distribute the Original Code (or portions thereof) with or without Modifications, and/or as part
+of a Larger Work; and (b) under Patents Claims infringed by the making, using or selling of Original Code, to make, have made, use, practice, sell,
+and offer for sale, and/or otherwise dispose of the Original Code (or portions thereof). (c) the licenses granted in this Section 2.1(a) and (b) are
+effective on the date Initial Developer first distributes Original Code under the terms of this License. (d) Notwithstanding Section 2.1(b) above, no
+patent license is granted: 1) for code that You delete from the Original Code; 2) separate from the Original Code; or 3) for infringements caused by:
+i) the modification of the Original Code or ii) the combination of the Original Code with other software or devices. 2.2. Contributor Grant. Subject
+to third party intellectual property claims, each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license (a) under
+intellectual property rights (other than patent or trademark) Licensable by Contributor, to use, reproduce, modify, display, perform, sublicense and
+distribute the Modifications created by such Contributor (or portions thereof) either on an unmodified basis, with other Modifications, as Covered
+Code and/or as part of a Larger Work; and (b) under Patent Claims infringed by the making, using, or selling of Modifications made by that Contributor
+either alone and/or in combination with its Contributor Version (or portions of such combination), to make, use, sell, offer for sale, have made,
+and/or otherwise dispose of: 1) Modifications made by that Contributor (or portions thereof); and 2) the combination of Modifications made by that
+Contributor with its Contributor Version (or portions of such combination). (c) the licenses granted in Sections 2.2(a) and 2.2(b) are effective on
+the date Contributor first makes Commercial Use of the Covered Code. (d) Notwithstanding Section 2.2(b) above, no patent license is granted: 1) for
+any code that Contributor has deleted from the Contributor Version; 2) separate from the Contributor Version; 3) for infringements caused by: i) third
+party modifications of Contributor Version or ii) the combination of Modifications made by that Contributor with other software (except as part of the
+Contributor Version) or other devices; or 4) under Patent Claims infringed by Covered Code in the absence of Modifications made by that Contributor.
+3. Distribution Obligations. 3.1. Application of License. The Modifications which You create or to which You contribute are governed by the terms of
+this License, including without limitation Section 2.2. The Source Code version of Covered Code may be distributed only under the terms of this
+License or a future version of this License released under Section 6.1, and You must include a copy of this License with every copy of the Source Code
+You distribute. You may not offer or impose any terms on any Source Code version that alters or restricts the applicable version of this License or
+the recipients' rights hereunder. However, You may include an additional document offering the additional rights described in Section 3.5.
 """,
 }
+
+#: Its terms are those of the GPL, by another name.
+_AFFERO = """
+GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is
+permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU Affero General Public
+License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case
+of network server software. The licenses for most software and other practical works are designed to take away your freedom to share and change the
+works. By contrast, our General Public Licenses are intended to guarantee your freedom to share and change all versions of a program--to make sure it
+remains free software for all its users. When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are
+designed to make sure that you have the freedom to distribute copies of free software (and charge for them if you wish), that you receive source code
+or can get it if you want it, that you can change the software or use pieces of it in new free programs, and that you know you can do these things.
+Developers that use our General Public Licenses protect your rights with two steps: (1) assert copyright on the software, and (2) offer you this
+License which gives you legal permission to copy, distribute and/or modify the software. A secondary benefit of defending all users' freedom is that
+improvements made in alternate versions of the program, if they receive widespread use, become available for other developers to incorporate. Many
+developers of free software are heartened and encouraged by the resulting cooperation. However, in the case of software used on network servers, this
+result may fail to come about. The GNU General Public License permits making a modified version and letting the public access it on a server without
+ever releasing its source code to the public. The GNU Affero General Public License is designed specifically to ensure that, in such cases, the
+modified source code becomes available to the community. It requires the operator of a network server to provide the source code of the modified
+version running there to the users of that server. Therefore, public use of a modified version, on a publicly accessible server, gives the public
+access to the source code of the modified version. The precise terms and conditions for copying, distribution and modification follow.
+"""
+TEXTS["AGPL-3.0"] = _AFFERO + TEXTS["GPL-3.0"][TEXTS["GPL-3.0"].index("TERMS AND CONDITIONS") :].replace("GNU General Public License", "GNU Affero General Public License")

@@ -4,11 +4,13 @@ A header is a line that names a licence, compared with header wording; the docum
 the table. A licence file is a text whose whole bag of words is close to a licence's text (``licence_texts``: sparse vectors over the
 templates' words, with the document frequencies of all texts), or one most of which is a header. Texts that cannot reach the
 threshold, as their other words alone make them too long, are told apart by that bound; the rest are scored exactly.
+Either way the best licence needs a margin before the second, and a line or title that states another version than the best has none; a line with
+an SPDX identifier is taken by the whole identifier (of a compound the first), not by likeness.
 A file without a licence of its own takes that of the licence file in the nearest directory above it: distinct directories list
 their ancestors, which meet the licence files by an equi-join on the path, so a directory's files are never multiplied by its depth.
 
 Defined cases: null and empty texts have no licence of their own; a text's likeness to a licence's text goes before its headers; of equal
-scores the first template by name wins, of several headers the best, then the first; a null path has no directory and inherits nothing;
+scores of two licences neither wins, of several headers the best, then the first; a null path has no directory and inherits nothing;
 rows that share id and path are told apart by their texts, repeated rows get a row each; an empty table gives an empty result;
 further columns aren't read.
 """
@@ -29,21 +31,55 @@ from seedquorum.plans.workspace import Workspace
 
 #: Header wording by SPDX id.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
     "BSD-2-Clause": ("Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC0-1.0": ("Released into the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
+    "GFDL-1.3": ("Licensed under the GNU Free Documentation License, version 1.3", "SPDX-License-Identifier: GFDL-1.3"),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0"),
+    "ISC": ("Released under the ISC License", "Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
+    "LGPL-2.0": ("Licensed under the GNU Library General Public License, version 2", "SPDX-License-Identifier: LGPL-2.0"),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1"),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"),
     "MIT": ("Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"),
+    "MPL-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1", "SPDX-License-Identifier: MPL-1.1"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"),
 }
 NAMED = re.compile(r"licen[cs]e|released under|public domain|mozilla public", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 HEADER_SCORE, TEXT_SCORE = 0.6, 0.6
+#: The best licence has to be so much nearer than the second: lines, texts.
+HEADER_MARGIN, TEXT_MARGIN = 0.05, 0.01
+SPDX = re.compile(r"SPDX-License-Identifier:\s*\(?([A-Za-z0-9.+\-]+)(?:\s+(?:OR|AND|WITH)\s)?", re.IGNORECASE)
+#: Where a version is stated: after the word, or after the short name of a Creative Commons licence.
+STATED = re.compile(r"(?:\bversion|\bv\.?|\bcc[ -]by(?:-nc)?|\bcc0|attribution(?:-noncommercial)?)[ \t,]*(\d+(?:\.\d+)*)", re.IGNORECASE)
+#: Characters of a text in which its title states the version.
+TITLE = 300
+
+
+def _number(version: str) -> str:
+    return version.removesuffix(".0")
+
+
+def other_version(name: str, text: str) -> bool:
+    """Whether a text states a version first that isn't the licence's."""
+    own, stated = re.search(r"-(\d+\.\d+)$", name), STATED.search(text)
+    return bool(own and stated and _number(own[1]) != _number(stated[1]))
+
+
+def identified(line: str) -> tuple[str, bool]:
+    """The line with its SPDX identifier as the templates write it, and whether it has one; of a compound the first. Suffixes that allow later versions go."""
+    m = SPDX.search(line)
+    if not m:
+        return line, False
+    name = re.sub(r"(-only|-or-later|\+)$", "", m[1], flags=re.IGNORECASE).lower()
+    known = {n.lower(): n for n in TEMPLATES}
+    return f"SPDX-License-Identifier: {known.get(name, '')}", True
 
 
 def words(text: str) -> list[str]:
@@ -122,6 +158,22 @@ def _headers(batches):
     yield made([(None, None, None, None, None, None, k, int(c)) for k, c in enumerate(total.tolist()) if c] + [(None, None, None, None, None, None, -1, n)])
 
 
+def clearly_best(scores, text: str, margin: float) -> tuple[str, float] | None:
+    """The nearest licence and its score, by the best of its templates, if it is ``margin`` nearer than any other.
+
+    Licences of another version than ``text`` states can't be meant: they don't rival, but what is ``margin`` less near than one of them isn't meant either.
+    """
+    by: dict[str, float] = {}
+    for name, score in scores:
+        by[name] = max(score, by.get(name, 0.0))
+    nearest = max(by.values())
+    order = sorted((-score, name) for name, score in by.items() if not other_version(name, text))
+    if not order:
+        return None
+    (score, name), second = order[0], order[1][0] if len(order) > 1 else 0.0
+    return (name, -score) if second - score >= margin and -score > nearest - margin else None
+
+
 class FileMatcher:
     """Cosines of whole texts to the licence texts."""
 
@@ -152,9 +204,10 @@ class FileMatcher:
                 rest = h[at[r] : at[r + 1]][~known[at[r] : at[r + 1]]]
                 norm = math.sqrt(square[r] + (np.unique(rest, return_counts=True)[1].astype(float) ** 2).sum() * self.other**2)
                 scores = np.round(self.unit @ vector / norm, 9)
-                best = int(scores.argmax())
-                if scores[best] >= least:
-                    yield i + int(r), NAMES[best], float(scores[best])
+                text = data[offs[i + r] : min(offs[i + r] + TITLE, offs[i + r + 1])].tobytes().decode("utf-8", "replace")
+                if found := clearly_best(zip(NAMES, scores.tolist(), strict=True), text, TEXT_MARGIN):
+                    if found[1] >= least:
+                        yield i + int(r), *found
 
 
 _OWN = "doc_id long, path string, th long, license string, score double, start long, line string, file boolean, whole boolean"
@@ -200,9 +253,12 @@ class Matcher:
         return {w: v / norm for w, v in weights.items()}
 
     def best(self, line: str) -> tuple[str | None, float]:
+        """A line with an SPDX identifier has that licence or, if it is none of the templates', none."""
+        line, spdx = identified(line)
         own = self._unit(line)
-        score, name = max(((round(sum(v * own.get(w, 0.0) for w, v in t.items()), 9), name) for name, t in self.templates), key=lambda x: x[0])
-        return (name, score) if score > 0 else (None, 0.0)
+        scores = [(name, round(sum(v * own.get(w, 0.0) for w, v in t.items()), 9)) for name, t in self.templates]
+        found = clearly_best(scores, "" if spdx else line, HEADER_MARGIN)
+        return found if found and found[1] > 0 and not (spdx and line.endswith(" ")) else (None, 0.0)
 
 
 def _match(frequency: dict[str, int], n: int):

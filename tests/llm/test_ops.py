@@ -449,6 +449,50 @@ def test_license_files(spark):
             assert abs(r["score"] - max(cosine(text, t) for t in texts_)) < 1e-8
 
 
+HEADERS = [
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("// SPDX-License-Identifier: ISC", "ISC"), ("SPDX-License-Identifier: Zlib", None), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT"), ("SPDX-License-Identifier:", None),
+    ("This program is licensed under the GNU Affero General Public License, version 3", "AGPL-3.0"), ("Licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("Licensed under the Apache License, Version 1.1", None),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Licensed under CC BY 3.0", None),
+    ("Released under the MIT License.", "MIT"), ("Licence to print money", None), ("The contents of this file are subject to the Mozilla Public License Version 1.1", "MPL-1.1"),
+]
+
+
+def test_header_lines(spark):
+    """Each line's licence; scores are those of plain dictionaries."""
+    import math
+
+    docs = spark.createDataFrame([(i, f"d{i}/f", line + "\n" + "code " * 100) for i, (line, _) in enumerate(HEADERS)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {i: got[i]["license"] for i in got} == {i: name for i, (_, name) in enumerate(HEADERS)}
+    lines = [line for line, _ in HEADERS if licenses.headers(line)]
+    held, n = collections.Counter(w for line in lines for w in set(licenses.words(line))), len(lines)
+    idf = lambda w: math.log((1 + n) / (1 + (held[w] if w in licenses.VOCABULARY else 0))) + 1
+
+    def cosine(a, b):
+        a, b = ({w: c * idf(w) for w, c in collections.Counter(licenses.words(x)).items()} for x in (a, b))
+        return sum(v * b.get(w, 0) for w, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    for i, (line, name) in enumerate(HEADERS):
+        if name:
+            assert abs(got[i]["score"] - max(cosine(licenses.identified(line)[0], t) for t in licenses.TEMPLATES[name])) < 1e-8
+
+
+def test_whole_licence_files_of_this_machine(spark):
+    """Long licences by their whole texts; a version that isn't known has no licence rather than the nearest one's."""
+    import os
+
+    folder, want = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3", "CC0-1.0": "CC0-1.0", "GPL-1": None, "Artistic": None}
+    there = {n: w for n, w in want.items() if os.path.isfile(f"{folder}/{n}")}
+    if not there:
+        pytest.skip("no licence files")
+    rows = [(i, f"{n}/LICENSE", open(f"{folder}/{n}", encoding="utf-8").read()) for i, n in enumerate(there)]
+    rows += [(100 + i, f"own{i}/LICENSE", t) for i, t in enumerate(licenses.TEXTS.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert {n: got[i] for i, n in enumerate(there)} == there
+    assert [got[100 + i] for i in range(len(licenses.TEXTS))] == list(licenses.TEXTS)
+
+
 def test_vectors_of_any_size(spark):
     """Huge and tiny parts link by their angle; other columns and an empty table don't matter."""
     a = [1.0, 2.0, 3.0, 4.0]
