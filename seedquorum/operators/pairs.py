@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,9 +132,27 @@ def classification(units: DataFrame, iso: DataFrame, gains: DataFrame | None = N
     return h.withColumn("n_components", total).withColumn("class", F.when(total == len(parts), "STRONG").when(total <= 1, "WEAK").otherwise("PARTIAL"))
 
 
-def component_labels(units: DataFrame, flags: list[str]) -> DataFrame:
-    """Per component: all, none, heterogeneous or not estimable over units (null flags don't count)."""
-    cols = [F.struct(F.lit(f).alias("component"), F.count_if(F.col(f)).alias("yes"), F.count(F.col(f)).alias("n")) for f in flags]
-    one = units.agg(*(c.alias(f"c{i}") for i, c in enumerate(cols)))
-    rows = one.select(F.explode(F.array(*(F.col(f"c{i}") for i in range(len(cols))))).alias("c")).select("c.*")
-    return rows.select("component", F.when(F.col("n") == 0, "not estimable").when(F.col("yes") == F.col("n"), "all").when(F.col("yes") == 0, "none").otherwise("heterogeneous").alias("label"))
+#: What a component of the assessment can say, and what all of them together.
+LABELS = ("NOT_ESTIMABLE", "SUPPORTS_EXISTING_PATTERN", "DOES_NOT_SUPPORT", "HETEROGENEOUS")
+OVERALL = ("CONTRASTING_STOCHASTIC_PROFILE", "STRONG_METHOD_GENERALIZATION", "PARTIAL_METHOD_GENERALIZATION", "LIMITED_METHOD_GENERALIZATION")
+#: The two components of which both have to fail for a contrasting profile.
+CORE_COMPONENTS = ("score_map_decoupling", "iso_accuracy_map_divergence")
+
+
+def component_counts(flags: dict[str, DataFrame], column: str = "flag") -> DataFrame:
+    """component, yes, n: how many of each table's flags are true, and how many aren't null."""
+    parts = [df.agg(F.count_if(F.col(column)).alias("yes"), F.count(F.col(column)).alias("n")).select(F.lit(name).alias("component"), "yes", "n") for name, df in flags.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def component_labels(counts: DataFrame, core: tuple[str, ...] = CORE_COMPONENTS) -> DataFrame:
+    """component, yes, n, label, overall of component counts: a component supports if all entries do, and doesn't if none does.
+
+    Overall: contrasting if no core component has support; else strong with four supporting and none that doesn't, partial with two, limited otherwise.
+    """
+    label = F.when(F.col("n") == 0, LABELS[0]).when(F.col("yes") == F.col("n"), LABELS[1]).when(F.col("yes") == 0, LABELS[2]).otherwise(LABELS[3])
+    rows = counts.withColumn("label", label)
+    supports, fails = F.count_if(F.col("label") == LABELS[1]), F.count_if(F.col("label") == LABELS[2])
+    contrast = F.count_if(F.col("component").isin(*core) & (F.col("label") == LABELS[2])) == len(core)
+    overall = rows.agg(F.when(contrast, OVERALL[0]).when((supports >= 4) & (fails == 0), OVERALL[1]).when(supports >= 2, OVERALL[2]).otherwise(OVERALL[3]).alias("overall"))
+    return rows.crossJoin(overall)  # a row per component by one row

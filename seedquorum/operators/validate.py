@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seedquorum.functions import scalar as S
+from seedquorum.functions.canonical import canonical_json
 from seedquorum.operators.relational import ValidationError, grid_audit
 from seedquorum.plans.workspace import Workspace
 
@@ -82,13 +83,13 @@ def forbidden_tokens(lines: DataFrame, column: str, patterns: dict[str, str]) ->
 
 
 def table_digest(df: DataFrame, order: list[str], chunk: int = 10_000) -> DataFrame:
-    """n_rows and a SHA-256 over rows as canonical JSON (columns by name), in the given order: the digest of the digests of ``chunk`` rows each.
+    """n_rows and a SHA-256 over rows as canonical JSON, in the given order: the digest of the digests of ``chunk`` rows each.
 
     Rows of equal order go by their JSON, so the digest doesn't depend on layout. A row's place comes from range partitions and their
     sizes; a task gathers one chunk's hex digests, the last step one line per chunk. An empty table has the digest of no lines.
     """
     work = Workspace(df.sparkSession, "digest")
-    rows = df.select(F.struct(*order).alias("o"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("j"))
+    rows = df.select(F.struct(*order).alias("o"), canonical_json(F.struct(*df.columns)).alias("j"))
     rows = rows.repartitionByRange("o", "j").sortWithinPartitions("o", "j").select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), F.sha2(F.col("j").cast("binary"), 256).alias("d"))
     rows = work.write(rows, "rows")
     part = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("first"))

@@ -80,6 +80,9 @@ ter AS (SELECT *, CASE ntile(3) OVER (PARTITION BY dataset, method ORDER BY part
 POINTS = "pt AS (SELECT vec_id AS obs_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings)"
 NEAR = f"{POINTS}, nb AS (SELECT * FROM (SELECT a.obs_id AS src, b.obs_id AS dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance, row_number() OVER (PARTITION BY a.obs_id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.obs_id) AS rank FROM pt a JOIN pt b ON a.obs_id <> b.obs_id) WHERE rank <= 6)"
 RADIUS = 0.02
+SPACE = f"""{NEAR.replace("rank <= 6", "rank <= 15")}, ve AS (SELECT vec_id AS obs_id, g - 1 AS gene, embedding[g]::DOUBLE AS value FROM embeddings, range(3, 65) AS r(g) WHERE embedding[g] > 0),
+ we AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS weight FROM (SELECT src, dst, CASE WHEN m > 0 THEN exp(-(distance / m) * (distance / m)) WHEN distance = 0 THEN 1e0 ELSE 0e0 END AS w FROM (SELECT *, median(distance) OVER (PARTITION BY src) AS m FROM nb))),
+ nm AS (SELECT src, gene, sum(weight * value) AS value FROM we JOIN ve ON ve.obs_id = dst GROUP BY ALL)"""
 
 
 _FOUR = f"""{_SCORES}, four AS (SELECT t1.dataset, {", ".join(f"t{i}.ari AS s{i}" for i in range(1, 5))} FROM {" ".join(f"sc t{i}" if i == 1 else f"JOIN sc t{i} ON t{i}.dataset = t1.dataset AND t{i}.method = '{_N[i - 1]}'" for i in range(1, 5))} WHERE t1.method = 'm1')"""
@@ -113,7 +116,13 @@ ORACLES: dict[str, str] = {
     "classification": f"""WITH {ISO}, r AS (SELECT {midrank('', 'reference_ari_sd')} AS x, {midrank('', 'instability')} AS y FROM (SELECT round(reference_ari_sd, 9) AS reference_ari_sd, round(instability, 9) AS instability FROM units)),
  p AS (SELECT (SELECT sum(n_divergent) > 0 FROM isos WHERE threshold = 0.02) AS has_divergent, (SELECT 2 * count(*) FILTER (n_divergent > 0) >= count(*) FROM isos WHERE threshold = 0.02) AS widespread, (SELECT median(instability) >= 0.3 FROM units) AS unstable, coalesce((SELECT abs(corr(x, y)) < 0.5 FROM r), false) AS decoupled)
  SELECT *, CASE n_components WHEN 4 THEN 'STRONG' WHEN 1 THEN 'WEAK' WHEN 0 THEN 'WEAK' ELSE 'PARTIAL' END AS class FROM (SELECT *, has_divergent::INT + widespread::INT + unstable::INT + decoupled::INT AS n_components FROM p)""",
-    "component_labels": f"WITH {UNITS}, c AS (SELECT 'low_sd_high_instability' AS component, count(*) FILTER (low_sd_high_instability) AS y, count(low_sd_high_instability) AS n FROM units UNION ALL SELECT 'unstable', count(*) FILTER (instability >= 0.3), count(instability) FROM units) SELECT component, CASE WHEN n = 0 THEN 'not estimable' WHEN y = n THEN 'all' WHEN y = 0 THEN 'none' ELSE 'heterogeneous' END AS label FROM c",
+    "component_labels": f"""WITH {ISO}, {MPAIR.replace(f"{RUNS}, ", "", 1).replace(f"{_ACC}, {_PAIR}, ", "", 1)}, {RANK.replace(f"{ACC}, ", "", 1)},
+ rho AS (SELECT dataset, method, corr(x, y) AS spearman FROM (SELECT dataset, method, {midrank('dataset, method', 'partition_ari')} AS x, {midrank('dataset, method', 'jaccard')} AS y FROM (SELECT * REPLACE (round(jaccard, 9) AS jaccard) FROM prm WHERE jaccard IS NOT NULL)) GROUP BY ALL),
+ c AS (SELECT 'score_map_decoupling' AS component, count(*) FILTER (low_sd_high_instability) AS yes, count(*) AS n FROM units UNION ALL SELECT 'iso_accuracy_map_divergence', count(*) FILTER (n_divergent > 0), count(*) FROM isos WHERE abs(threshold - 0.02) < 1e-9
+  UNION ALL SELECT 'winner_distribution_contribution', count(*) FILTER (p_rank1 > 0), count(*) FROM wp WHERE method = 'm1' UNION ALL SELECT 'partition_marker_relationship', count(*) FILTER (spearman > 0), count(spearman) FROM rho),
+ l AS (SELECT *, CASE WHEN n = 0 THEN 'NOT_ESTIMABLE' WHEN yes = n THEN 'SUPPORTS_EXISTING_PATTERN' WHEN yes = 0 THEN 'DOES_NOT_SUPPORT' ELSE 'HETEROGENEOUS' END AS label FROM c)
+ SELECT *, CASE WHEN (SELECT count(*) FROM l WHERE label = 'DOES_NOT_SUPPORT' AND component IN ('score_map_decoupling', 'iso_accuracy_map_divergence')) = 2 THEN 'CONTRASTING_STOCHASTIC_PROFILE'
+  WHEN (SELECT count(*) FROM l WHERE label = 'SUPPORTS_EXISTING_PATTERN') >= 4 AND NOT EXISTS (FROM l WHERE label = 'DOES_NOT_SUPPORT') THEN 'STRONG_METHOD_GENERALIZATION' WHEN (SELECT count(*) FROM l WHERE label = 'SUPPORTS_EXISTING_PATTERN') >= 2 THEN 'PARTIAL_METHOD_GENERALIZATION' ELSE 'LIMITED_METHOD_GENERALIZATION' END AS overall FROM l""",
     "rank_distribution": f"WITH {RANK} SELECT * FROM rd",
     "winner_probability": f"WITH {RANK} SELECT * FROM wp",
     "rank_summary": f"WITH {RANK}, cu AS (SELECT *, sum(combos) OVER (PARTITION BY dataset, method ORDER BY rank_x2) AS cum, sum(combos) OVER (PARTITION BY dataset, method) AS n FROM rd) SELECT cu.dataset, cu.method, max(n) AS combos, sum(combos * rank_x2) / 2e0 / max(n) AS expected_rank, min(rank_x2) FILTER (cum >= ceil(n / 2e0)) / 2e0 AS median_rank, sum(combos) FILTER (rank_x2 <= 4) / max(n) AS p_top2, sum(combos) FILTER (rank_x2 <= 6) / max(n) AS p_top3, max(p_rank1) AS p_rank1 FROM cu JOIN wp USING (dataset, method) GROUP BY ALL",
@@ -189,7 +198,7 @@ ORACLES |= {
  b AS (SELECT dataset, s AS o, t AS p FROM e UNION ALL SELECT dataset, t, s FROM e), r(dataset, o, p) AS (SELECT dataset, o, o FROM v UNION SELECT r.dataset, r.o, b.p FROM r JOIN b ON b.dataset = r.dataset AND b.o = r.p),
  d AS (SELECT v.dataset, v.o, (SELECT count(*) FROM b WHERE b.dataset = v.dataset AND b.o = v.o) AS degree, (SELECT min(p) FROM r WHERE r.dataset = v.dataset AND r.o = v.o) AS root FROM v)
  SELECT dataset, count(*) AS n_vertices, sum(degree) / 2 AS n_edges, min(degree) AS min_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS n_isolated, count(DISTINCT root) AS n_components FROM d GROUP BY dataset""",
-    "table_digest": """WITH r AS (SELECT n_nationkey // 10 AS c, n_nationkey AS k, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS d FROM nation),
+    "table_digest": """WITH r AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS c, o_orderkey AS k, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice::DOUBLE || '}') AS d FROM orders),
  h AS (SELECT c, count(*) AS n, upper(sha256(string_agg(d, chr(10) ORDER BY k))) AS d FROM r GROUP BY c) SELECT sum(n) AS n_rows, upper(sha256(string_agg(d, chr(10) ORDER BY c))) AS digest FROM h""",
     "full_outer_nulls": """SELECT coalesce(c.c_custkey, s.s_suppkey) AS k, CASE WHEN c.c_custkey IS NULL THEN 'removed' WHEN s.s_suppkey IS NULL THEN 'added'
  WHEN CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey END IS NOT DISTINCT FROM CASE WHEN c_custkey % 2 > 0 THEN c_nationkey END THEN 'same' ELSE 'changed' END AS status FROM supplier s FULL JOIN customer c ON c_custkey = s_suppkey""",
@@ -218,8 +227,32 @@ ORACLES |= {
     "file_manifest": """WITH n AS (SELECT c_nationkey AS nation, bool_or(c_nationkey % 4 <> 0 AND c_custkey % 5 = 0) AS hit FROM customer GROUP BY ALL)
  SELECT nation, CASE WHEN nation = 3 THEN 'removed' WHEN hit THEN 'changed' ELSE 'same' END AS status FROM n UNION ALL SELECT 26, 'added' FROM n WHERE nation = 5""",
     "published_tables": "SELECT 'orders_' || o_orderstatus AS name, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders",
-    "neighbour_mean": f"""WITH {EXPR}, ed AS (SELECT * FROM (SELECT o_orderstatus AS dataset, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL)
- SELECT dataset, src AS obs_id, gene, sum(value) AS value FROM ed JOIN ex ON ex.dataset = ed.dataset AND ex.obs_id = dst GROUP BY ALL""".replace("SELECT dataset, src AS obs_id", "SELECT ed.dataset AS dataset, src AS obs_id"),
+    "neighbour_mean": f"WITH {SPACE} SELECT 'e' AS dataset, src AS obs_id, gene, value FROM nm",
+    "neighbour_matrix": f"""WITH {SPACE}, np AS (SELECT count(*) AS n FROM pt), sd AS (SELECT part, gene, sqrt(v) AS sd FROM (SELECT part, gene, sum(value * value) / max(n) - (sum(value) / max(n)) * (sum(value) / max(n)) AS v FROM (SELECT 'own' AS part, gene, value FROM ve UNION ALL SELECT 'neighbours', gene, value FROM nm), np GROUP BY ALL)),
+ ok AS (SELECT gene FROM sd WHERE sd * sd > 1e-12 GROUP BY gene HAVING count(*) = 2)
+ SELECT 'e' AS dataset, obs_id, x.part, x.gene, value * CASE x.part WHEN 'own' THEN sqrt(0.8e0) ELSE sqrt(0.2e0) END / sd AS value FROM (SELECT obs_id, 'own' AS part, gene, value FROM ve UNION ALL SELECT src, 'neighbours', gene, value FROM nm) x JOIN sd ON sd.part = x.part AND sd.gene = x.gene WHERE x.gene IN (SELECT gene FROM ok)""",
+    "variable_genes": f"""WITH {EXPR}, nn AS (SELECT dataset, count(*) AS n FROM ob GROUP BY ALL), gm AS (SELECT dataset, gene, n, sum(value) / n AS mean, (sum(value * value) - sum(value) * sum(value) / n) / (n - 1) AS variance FROM ex JOIN nn USING (dataset) GROUP BY dataset, gene, n),
+ lg AS (SELECT dataset, gene, log10(mean) AS x, log10(variance) AS y, ceil(0.3 * count(*) OVER (PARTITION BY dataset)) AS k FROM gm WHERE variance > 0 AND mean > 0),
+ pr AS (SELECT a.dataset, a.gene, b.x - a.x AS dx, b.y, a.k, row_number() OVER (PARTITION BY a.dataset, a.gene ORDER BY abs(b.x - a.x)) AS r FROM lg a JOIN lg b ON a.dataset = b.dataset),
+ wi AS (SELECT dataset, gene, dx / h AS u, pow(1 - pow(abs(dx) / h, 3), 3) AS w, y FROM (SELECT *, max(abs(dx)) FILTER (r <= k) OVER (PARTITION BY dataset, gene) AS h FROM pr) WHERE abs(dx) < h),
+ su AS (SELECT dataset, gene, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM wi GROUP BY ALL),
+ ft AS (SELECT dataset, gene, pow(10, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))) AS e FROM su),
+ cl AS (SELECT dataset, gene, sum(least(value, sqrt(e * n) + mean)) AS s, sum(pow(least(value, sqrt(e * n) + mean), 2)) AS q FROM ex JOIN gm USING (dataset, gene) JOIN ft USING (dataset, gene) GROUP BY ALL),
+ sc AS (SELECT dataset, gene, (n * mean * mean + q - 2 * mean * s) / ((n - 1) * e) AS score FROM cl JOIN gm USING (dataset, gene) JOIN ft USING (dataset, gene))
+ SELECT * FROM (SELECT dataset, gene, round(score, 6) AS score, row_number() OVER (PARTITION BY dataset ORDER BY round(score, 9) DESC, gene) AS k FROM sc) WHERE k <= 40""",
+    "checkpoint_audit": """SELECT o_orderkey, 'value' AS rule, '$.status' AS path FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT o_orderkey, 'required', '$.mode' FROM orders WHERE o_orderkey % 37 = 0
+ UNION ALL SELECT o_orderkey, 'range', '$.seed' FROM orders WHERE o_orderkey % 17 = 0 UNION ALL SELECT o_orderkey, 'pattern', '$.protocol_hash' FROM orders WHERE o_orderkey % 19 = 0 UNION ALL SELECT o_orderkey, 'same', '$.final_readout.labels_count' FROM orders WHERE o_orderkey % 23 = 0
+ UNION ALL SELECT o_orderkey, 'range', '$.training.embedding_shape[1]' FROM orders WHERE o_orderkey % 29 = 0 UNION ALL SELECT o_orderkey, 'range', '$.runtime_seconds' FROM orders WHERE o_orderkey % 31 = 0
+ UNION ALL SELECT o_orderkey, 'range', unnest(['$.input.obs_count', '$.training.embedding_shape[0]']) FROM orders WHERE o_custkey < 1""",
+    "checkpoint_table": """SELECT o_orderstatus AS dataset, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE o_orderkey % 20 + 1 END AS seed, CASE WHEN o_orderkey % 13 = 0 THEN o_orderstatus ELSE 'complete' END AS status, CASE WHEN o_orderkey % 37 <> 0 THEN 'm' END AS mode, 5 AS requested_k, 5 - o_custkey % 2 AS observed_k,
+ o_custkey AS n_obs, o_custkey % 100 + 1 AS n_vars, 7 AS retained_gene_count, 3 AS pca_dimension, 6 AS graph_k, o_custkey * 3 AS graph_edge_count, 0 AS graph_isolates, 1 AS graph_connected_components, sha256(o_orderpriority) AS graph_sha256, 2 AS pretraining_epochs_completed, 2 AS dec_epochs_completed,
+ o_custkey || 'x' || CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE 3 END AS embedding_shape, true AS embedding_finite, CASE WHEN o_orderkey % 23 = 0 THEN o_custkey + 1 ELSE o_custkey END AS labels_count, true AS labels_finite, 'EEE' AS final_readout_model, 1 AS final_readout_calls,
+ CASE WHEN o_orderkey % 31 = 0 THEN -1 ELSE o_totalprice / 4 END AS runtime_seconds, 0.5 AS peak_ram_gib, CAST(NULL AS DOUBLE) AS peak_gpu_memory_mib, CASE WHEN o_orderkey % 19 = 0 THEN substr(sha256(o_orderpriority), 2) ELSE sha256(o_orderpriority) END AS protocol_sha256, sha256(o_orderpriority) AS input_sha256, sha256(o_orderpriority) AS input_manifest_sha256, sha256(o_orderpriority) AS labels_sha256, upper(sha256(o_orderkey::VARCHAR)) AS checkpoint_sha256 FROM orders""",
+    "canonical_orders": """WITH i AS (SELECT l_orderkey, string_agg('{"line":' || l_linenumber || ',"price":' || l_extendedprice::DOUBLE || '}', ',' ORDER BY l_linenumber, l_extendedprice) AS items FROM lineitem GROUP BY ALL)
+ SELECT o_orderkey, upper(sha256('{"about":{"Kind":"' || chr(92) || 'u00e9","status":"' || o_orderstatus || '"},"items":[' || items || '],"total":' || o_totalprice::DOUBLE || '}')) AS digest FROM orders JOIN i ON l_orderkey = o_orderkey""",
+    "array_round_trip": "SELECT o_orderkey, o_custkey, o_orderkey % 7 AS rest FROM orders",
+    "price_quantiles": "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p05, median(l_extendedprice) AS median, quantile_cont(l_extendedprice, 0.99) AS p99, median(l_quantity) FILTER (l_linenumber > 1) AS quantity FROM lineitem GROUP BY ALL",
+    "price_ranks": f"SELECT l_orderkey, l_linenumber, {midrank('', 'l_quantity')} AS overall, {midrank('l_returnflag', 'l_extendedprice')} AS within FROM lineitem",
     "boundary_support": f"WITH {NEAR}, bf AS (SELECT src, coalesce(bool_or(a.label <> b.label), false) AS f FROM nb JOIN pt a ON a.obs_id = src JOIN pt b ON b.obs_id = dst GROUP BY src) SELECT 'e' AS dataset, median(CASE WHEN f THEN (src % 100) / 100e0 END) AS boundary_median, median(CASE WHEN NOT f THEN (src % 100) / 100e0 END) AS inner_median, count(*) FILTER (f) AS n_boundary FROM bf",
     "ranking_table": f"""WITH {RANK}, {_PAIR}, cu AS (SELECT *, sum(combos) OVER (PARTITION BY dataset, method ORDER BY rank_x2) AS cum, sum(combos) OVER (PARTITION BY dataset, method) AS n FROM rd),
  rs AS (SELECT dataset, method, sum(combos * rank_x2) / 2e0 / max(n) AS expected_rank FROM cu GROUP BY ALL),

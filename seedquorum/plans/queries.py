@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
-from seedquorum.operators import agreement, consensus, expression, frames, graph, markers, pairs, ranking, relational, spatial, stats, validate
+from seedquorum.functions.canonical import canonical_digest
+from seedquorum.operators import agreement, consensus, documents, expression, frames, graph, markers, pairs, ranking, relational, selection, spatial, stats, validate
 from seedquorum.plans import oracles
 from seedquorum.plans.workspace import Workspace
 from seedquorum.sources import binding as B
-from seedquorum.sources import files, journal, sinks
+from seedquorum.sources import arrays, files, journal, sinks
 
 TOP = 20
 RADIUS = oracles.RADIUS
@@ -323,9 +324,68 @@ def published_tables(s: SparkSession, d: str) -> DataFrame:
 
 
 def neighbour_mean(s: SparkSession, d: str) -> DataFrame:
-    """Neighbour: the customer's next order of the status."""
-    o = B.table(s, d, "orders").selectExpr("o_orderstatus AS dataset", "o_orderkey AS src", "lead(o_orderkey) OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey) AS dst").where("dst IS NOT NULL")
-    return expression.neighbour_mean(B.expression(s, d), o)
+    """Fifteen neighbours, weighted by distance."""
+    return expression.neighbour_mean(B.vector_expression(s, d), expression.neighbour_weights(B.points(s, d)))
+
+
+def neighbour_matrix(s: SparkSession, d: str) -> DataFrame:
+    return expression.neighbour_matrix(B.vector_expression(s, d), B.points(s, d))
+
+
+def principal_components(s: SparkSession, d: str) -> DataFrame:
+    """Scores over own and neighbours' expression, each gene of either part a column."""
+    m = neighbour_matrix(s, d).select("dataset", "obs_id", F.concat_ws(":", "part", "gene").alias("gene"), "value")
+    return expression.principal_components(m, B.points(s, d), 5).select("dataset", "obs_id", *(F.col("pc")[i].alias(f"pc{i}") for i in range(5)))
+
+
+def variable_genes(s: SparkSession, d: str) -> DataFrame:
+    return expression.highly_variable_counts(B.expression(s, d), B.observations(s, d), 40).withColumn("score", F.round("score", 6))
+
+
+def checkpoint_audit(s: SparkSession, d: str) -> DataFrame:
+    return documents.violation_ledger(B.checkpoints(s, d), ["o_orderkey"], "text", documents.checkpoint_rules())
+
+
+def checkpoint_table(s: SparkSession, d: str) -> DataFrame:
+    return documents.checkpoint_table(B.checkpoints(s, d), "text", F.upper(F.sha2(F.col("o_orderkey").cast("string"), 256)))
+
+
+def canonical_orders(s: SparkSession, d: str) -> DataFrame:
+    """The digest of each order as a document with its items."""
+    items = B.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price")))).alias("items"))
+    o = B.table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").join(items, "o_orderkey")
+    return o.select("o_orderkey", canonical_digest(F.struct(F.col("o_totalprice").alias("total"), "items", F.struct(F.col("o_orderstatus").alias("status"), F.lit("é").alias("Kind")).alias("about"))).alias("digest"))
+
+
+def array_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Orders as arrays, of which two of three are read."""
+    o = B.table(s, d, "orders").select("o_orderkey", "o_totalprice", F.array("o_custkey", F.col("o_orderkey") % 7).alias("pair"), F.col("o_orderstatus").alias("secret"))
+    arrays.write_arrays(o, path := _file(s, "arrays"), rows=5000)
+    return arrays.scan_arrays(s, path, ["o_orderkey", "pair"], rows=1000).select("o_orderkey", F.col("pair")[0].alias("o_custkey"), F.col("pair")[1].alias("rest"))
+
+
+def price_quantiles(s: SparkSession, d: str) -> DataFrame:
+    rows = B.table(s, d, "lineitem").select("l_returnflag", "l_extendedprice", F.expr("CASE WHEN l_linenumber > 1 THEN l_quantity END").alias("l_quantity"))
+    return selection.quantiles(rows, ["l_returnflag"], {"p05": ("l_extendedprice", 0.05), "median": ("l_extendedprice", 0.5), "p99": ("l_extendedprice", 0.99), "quantity": ("l_quantity", 0.5)})
+
+
+def price_ranks(s: SparkSession, d: str) -> DataFrame:
+    """Every line's average rank by quantity, and by price within its flag."""
+    rows = B.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
+    return selection.midranks(selection.midranks(rows, [], "l_quantity", "overall"), ["l_returnflag"], "l_extendedprice", "within")
+
+
+def component_labels(s: SparkSession, d: str) -> DataFrame:
+    """Over all units; the consensus component needs split halves and is left out here."""
+    u, i = units(s, d), iso(s, d).where(S.close(F.col("threshold"), S.PRIMARY_ISO))
+    rho = stats.spearman(_rounded(marker_pairs(s, d), "jaccard"), ["dataset", "method"], "partition_ari", "jaccard")
+    flags = {
+        "score_map_decoupling": u.select(F.col("low_sd_high_instability").alias("flag")),
+        "iso_accuracy_map_divergence": i.select(F.col("contains_divergent").alias("flag")),
+        "winner_distribution_contribution": ranking.winner_probability(accuracy(s, d)).where("method = 'm1'").select((F.col("p_rank1") > 0).alias("flag")),
+        "partition_marker_relationship": rho.select((F.col("spearman") > 0).alias("flag")),
+    }
+    return pairs.component_labels(pairs.component_counts(flags))
 
 
 def boundary_support(s: SparkSession, d: str) -> DataFrame:
@@ -361,7 +421,7 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "seed_percentile": (f"{U} value:d percentile:d", lambda s, d: pairs.seed_percentile(accuracy(s, d))),
     "headline_summary": ("n_units:i n_datasets:i n_methods:i n_runs:i n_low_sd_high_instability:i median_instability:d q25_instability:d q75_instability:d n_iso_pairs:i n_divergent:i n_units_with_divergent:i divergent_fraction:d", lambda s, d: pairs.headline(units(s, d), iso(s, d))),
     "classification": ("has_divergent widespread unstable decoupled n_components:i class", lambda s, d: pairs.classification(units(s, d), iso(s, d))),
-    "component_labels": ("component label", lambda s, d: pairs.component_labels(units(s, d).withColumn("unstable", F.col("instability") >= S.HIGH_INSTABILITY), ["low_sd_high_instability", "unstable"])),
+    "component_labels": ("component yes:i n:i label overall", component_labels),
     "rank_distribution": (f"{U} rank_x2:i combos:i", lambda s, d: ranking.rank_distribution(accuracy(s, d))),
     "winner_probability": (f"{U} credit:i credit_denominator:i p_rank1:d", lambda s, d: ranking.winner_probability(accuracy(s, d))),
     "rank_summary": (f"{U} combos:i expected_rank:d median_rank:d p_top2:d p_top3:d p_rank1:d", lambda s, d: ranking.rank_summary(accuracy(s, d))),
@@ -423,7 +483,7 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "scalar_rules": ("l_orderkey:i l_linenumber:i ratio:d class iso inside returned", scalar_rules),
     "matrix_market": ("row_number:i column_number:i value:d", matrix_market),
     "graph_audit": ("dataset n_vertices:i n_edges:i min_degree:i max_degree:i n_isolated:i n_components:i", graph_audit),
-    "table_digest": ("n_rows:i digest", lambda s, d: validate.table_digest(B.table(s, d, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 10)),
+    "table_digest": ("n_rows:i digest", lambda s, d: validate.table_digest(B.table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), ["o_orderkey"], 1000)),
     "full_outer_nulls": ("k:i status", full_outer_nulls),
     "not_finite": ("column n_bad:i", not_finite),
     "row_count_audit": ("name n:i expected:i", lambda s, d: validate.row_counts({"nation": (B.table(s, d, "nation"), 25), "region": (B.table(s, d, "region"), 6)}).withColumnRenamed("table", "name")),
@@ -446,6 +506,15 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "file_manifest": ("nation:i status", file_manifest),
     "published_tables": ("name o_orderkey:i o_totalprice:d", published_tables),
     "neighbour_mean": ("dataset obs_id:i gene:i value:d", neighbour_mean),
+    "neighbour_matrix": ("dataset obs_id:i part gene:i value:d", neighbour_matrix),
+    "principal_components": ("dataset obs_id:i pc0:d pc1:d pc2:d pc3:d pc4:d", principal_components),
+    "variable_genes": ("dataset gene:i k:i score:d", variable_genes),
+    "checkpoint_audit": ("o_orderkey:i rule path", checkpoint_audit),
+    "checkpoint_table": (" ".join(f"{c}:i" if k == "bigint" else f"{c}:d" if k == "double" else c for c, (_, k) in documents.CHECKPOINT_COLUMNS.items()) + " checkpoint_sha256", checkpoint_table),
+    "canonical_orders": ("o_orderkey:i digest", canonical_orders),
+    "array_round_trip": ("o_orderkey:i o_custkey:i rest:i", array_round_trip),
+    "price_quantiles": ("l_returnflag p05:d median:d p99:d quantity:d", price_quantiles),
+    "price_ranks": ("l_orderkey:i l_linenumber:i overall:d within:d", price_ranks),
     "boundary_support": ("dataset boundary_median:d inner_median:d n_boundary:i", boundary_support),
     "ranking_table": (f"{U} expected_rank:d spearman:d low:d middle:d high:d split_half_ari:d gain:d", ranking_table),
 }

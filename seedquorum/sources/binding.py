@@ -46,3 +46,28 @@ def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, obs_id, x, y, label: the first two entries of each embedding."""
     return table(spark, sf_dir, "embeddings").select(F.lit("e").alias("dataset"), F.col("vec_id").alias("obs_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label")
+
+
+def vector_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, obs_id, gene, value: the positive entries of each embedding but the first two, which are its place."""
+    rows = table(spark, sf_dir, "embeddings").select(F.lit("e").alias("dataset"), F.col("vec_id").alias("obs_id"), F.posexplode("embedding").alias("gene", "value"))
+    return rows.where("gene >= 2 AND value > 0").select("dataset", "obs_id", F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("value"))
+
+
+def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, text: a checkpoint document of every order, with faults by divisors of its key."""
+    o = table(spark, sf_dir, "orders")
+    fault = lambda n, bad, good: F.expr(f"CASE WHEN o_orderkey % {n} = 0 THEN {bad} ELSE {good} END")
+    struct = lambda **kw: F.struct(*(v.alias(k) for k, v in kw.items()))
+    h, n, t = F.sha2(F.col("o_orderpriority"), 256), F.col("o_custkey"), F.lit(True)
+    doc = struct(
+        schema_version=F.lit(1), status=fault(13, "o_orderstatus", "'complete'"), mode=fault(37, "NULL", "'m'"), dataset=F.col("o_orderstatus"), seed=fault(17, "0", "o_orderkey % 20 + 1"), requested_k=F.lit(5), observed_k=F.expr("5 - o_custkey % 2"), protocol_hash=fault(19, "substring(sha2(o_orderpriority, 256), 2)", "sha2(o_orderpriority, 256)"),
+        input=struct(technical_path=F.lit("p"), bytes=n, sha256=h, obs_count=n, var_count=F.expr("o_custkey % 100 + 1"), obs_order_sha256_newline_utf8=h, manifest_sha256=h), implementation=F.lit("i"), environment=F.lit("e"), compatibility=F.lit("c"),
+        parameters=struct(platform_regime=F.lit("spot"), graph_k=F.lit(6), requested_k=F.lit(5), target_sum=F.lit(1e6), pca_random_state=F.lit(42), pretraining_epochs=F.lit(2), dec_epochs=F.lit(2), internal_dec_k=F.lit(3), model_mode=F.lit("x")),
+        preprocessing=struct(retained_gene_count=F.lit(7), pca_dimension=F.lit(3), finite=t), graph=struct(k=F.lit(6), edge_count=n * 3, isolates=F.lit(0), connected_components=F.lit(1), hash=h),
+        training=struct(completed=t, pretraining_epochs_completed=F.lit(2), dec_epochs_completed=F.lit(2), embedding_shape=F.array(n, fault(29, "0", "3")), embedding_finite=t),
+        final_readout=struct(labels_count=fault(23, "o_custkey + 1", "o_custkey"), labels_finite=t, model=F.lit("EEE"), calls=F.lit(1), requested_k=F.lit(5), observed_k=F.expr("5 - o_custkey % 2")),
+        outputs=struct(labels_path=F.lit("l"), labels_bytes=n, labels_sha256=h, embedding_path=F.lit("e"), embedding_bytes=n, embedding_sha256=h, embedding_shape=F.array(n, F.lit(3)), embedding_finite=t),
+        runtime_seconds=fault(31, "-1D", "o_totalprice / 4"), resources=struct(peak_ram_gib=F.lit(0.5), peak_gpu_memory_mib=F.lit(None).cast("double")),
+    )
+    return o.select("o_orderkey", F.to_json(doc).alias("text"))
