@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
 from seedquorum.functions.canonical import canonical_digest
-from seedquorum.operators import agreement, consensus, documents, expression, frames, graph, markers, pairs, ranking, relational, selection, spatial, stats, validate
+from seedquorum.operators import agreement, consensus, documents, expression, frames, markers, pairs, ranking, relational, selection, spatial, stats, validate
 from seedquorum.plans import oracles
 from seedquorum.plans.workspace import Workspace
 from seedquorum.sources import binding as B
@@ -126,9 +126,7 @@ def near(s: SparkSession, d: str, k: int = 6) -> DataFrame:
 
 
 def components(s: SparkSession, d: str) -> DataFrame:
-    p = B.points(s, d)
-    c = graph.connected_components(spatial.radius_pairs(p, RADIUS / 2), "src", "dst")
-    return p.select("obs_id").join(c.withColumnRenamed("id", "obs_id"), "obs_id", "left").select("obs_id", F.coalesce("component", "obs_id").alias("component"))
+    return spatial.radius_components(B.points(s, d), RADIUS / 2)
 
 
 def measure_pivot(s: SparkSession, d: str) -> DataFrame:
