@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedquorum.operators.relational import unused
+
 #: A rule's test of the value at its path: (variant that holds it, path within, value as text) -> whether it is violated.
 Test = Callable[[Column, str, Column], Column]
 _FOUND = "array<struct<rule:string,path:string,found:string>>"
@@ -108,8 +110,9 @@ def violation_ledger(docs: DataFrame, key: list[str], text: str, rules: list[Rul
 
 def flatten(docs: DataFrame, keep: list[str], text: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """``keep`` and a column per entry, name -> (path, type); what is absent or no such value is NULL."""
-    d = docs.select(*(F.col(f"`{k}`") for k in keep), F.try_parse_json(F.col(f"`{text}`")).alias("_doc"))
-    return d.select(*keep, *(_get(F.col("_doc"), path, kind).alias(name) for name, (path, kind) in columns.items()))
+    doc = unused(keep, "_doc")
+    d = docs.select(*(F.col(f"`{k}`") for k in keep), F.try_parse_json(F.col(f"`{text}`")).alias(doc))
+    return d.select(*(F.col(f"`{k}`") for k in keep), *(_get(F.col(doc), path, kind).alias(name) for name, (path, kind) in columns.items()))
 
 
 #: The keys that a run's checkpoint document must have, by the place of their object.

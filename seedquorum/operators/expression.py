@@ -54,12 +54,30 @@ def scale(expression: DataFrame, observations: DataFrame, clip: float = 10.0) ->
 
 
 def matrix_statistics(expression: DataFrame) -> DataFrame:
-    """Structural audit of the stored values."""
+    """Structural audit of the stored values: sizes, range, values that can't be, entries that are there more than once, and the share of the matrix that is stored."""
     v = F.col("value")
-    return expression.groupBy("dataset").agg(
+    one = expression.groupBy("dataset").agg(
         F.count("*").alias("n_stored"), F.countDistinct("gene").alias("n_genes"), F.countDistinct("obs_id").alias("n_obs"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
         F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_nonfinite"), F.count_if(v < 0).alias("n_negative"), F.bool_and(v == F.floor(v)).alias("all_integers"),
     )
+    places = expression.groupBy("dataset", "obs_id", "gene").agg(F.count("*").alias("c")).groupBy("dataset").agg(F.sum(F.col("c") - 1).alias("n_duplicates"), F.count("*").alias("places"))
+    out = one.join(places, "dataset").withColumn("density", F.col("places") / (F.col("n_genes") * F.col("n_obs")))
+    return out.drop("places")
+
+
+def marker_universe(genes: DataFrame, least: int = 100, exact: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The flagged genes (dataset, gene) of ``genes`` (dataset, gene, flagged), and (dataset, problem, n) of datasets whose universe can't be used.
+
+    Problems: a flag that isn't known, no flagged gene, a gene flagged twice, fewer than ``least``, or another number than ``exact`` has for datasets of a prefix.
+    """
+    rows = genes.select("dataset", "gene", F.col("flagged").cast("boolean").alias("flagged"))
+    kept = rows.where("flagged").select("dataset", "gene")
+    once = rows.groupBy("dataset", "gene").agg(F.count_if(F.col("flagged")).alias("c"), F.count_if(F.col("flagged").isNull()).alias("unknown"))
+    one = once.groupBy("dataset").agg(F.sum("unknown").alias("unknown"), F.count_if(F.col("c") > 0).alias("n"), F.count_if(F.col("c") > 1).alias("twice"))
+    rules = [("unknown flags", F.col("unknown") > 0, "unknown"), ("empty", F.col("n") == 0, "n"), ("repeated genes", F.col("twice") > 0, "twice"), ("too few", (F.col("n") > 0) & (F.col("n") < least), "n")]
+    rules += [(f"not {n}", F.col("dataset").startswith(prefix) & (F.col("n") != n), "n") for prefix, n in (exact or {}).items()]
+    found = F.filter(F.array(*(F.when(bad, F.struct(F.lit(name).alias("problem"), F.col(c).alias("n"))) for name, bad, c in rules)), lambda x: x.isNotNull())
+    return kept, one.select("dataset", F.explode(found).alias("x")).select("dataset", "x.*")
 
 
 #: Genes whose local regressions one task makes at a time; it holds two numbers of each gene of the dataset.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedquorum.functions import scalar as S
@@ -16,10 +18,11 @@ def unit_table(units: DataFrame, iso: DataFrame, threshold: float = S.PRIMARY_IS
     return R.join_one_to_one(units, i, list(UNIT))
 
 
-def ranking_table(ranks: DataFrame, correlations: DataFrame, tertiles: DataFrame, gains: DataFrame) -> DataFrame:
-    """Rank summary, within-unit correlation, medians by third (a column each) and consensus gain; four tables, one-to-one."""
+def ranking_table(ranks: DataFrame, correlations: DataFrame, tertiles: DataFrame, gains: DataFrame | None = None) -> DataFrame:
+    """Rank summary, within-unit correlation, medians by third (a column each) and, if given, consensus gain; tables one-to-one."""
     t = R.pivot(tertiles.select(*UNIT, "tertile", "median_value"), list(UNIT), "tertile", ["Low", "Middle", "High"], ["median_value"])
-    return R.chain([ranks, correlations.select(*UNIT, "spearman"), t, gains.select(*UNIT, "split_half_ari", "gain")], list(UNIT))
+    more = [gains.select(*UNIT, "split_half_ari", "gain")] if gains is not None else []
+    return R.chain([ranks, correlations.select(*UNIT, "spearman"), t, *more], list(UNIT))
 
 
 def frequent_genes(frequency: DataFrame, top: int = 18, domains: list | None = None) -> DataFrame:
@@ -47,3 +50,39 @@ def set_jaccard(left: DataFrame, right: DataFrame, keys: list[str], item: str) -
     l, r = left.select(*keys, item).distinct().withColumn("l", F.lit(1)), right.select(*keys, item).distinct().withColumn("r", F.lit(1))
     both = l.join(r, [*keys, item], "full_outer")
     return both.groupBy(*keys).agg(F.count(F.expr("l + r")).alias("shared"), F.count("*").alias("all_items"), F.try_divide(F.count(F.expr("l + r")).cast("double"), F.count("*")).alias("jaccard"))
+
+
+def landscape(datasets: DataFrame, methods: list[str], runs_per_method: int, display: dict[str, str]) -> DataFrame:
+    """A dimension of datasets with the study's constants: all methods joined by ';', runs of a dataset, and the names for display (own name if none)."""
+    out = R.map_column(datasets, "dataset", "dataset_display", display, F.col("dataset"))
+    return out.withColumns({"methods": F.lit(";".join(methods)), "valid_runs": F.lit(runs_per_method * len(methods))})
+
+
+def noted(df: DataFrame, rules: list[tuple[Column, str, Column | str]]) -> DataFrame:
+    """Texts replaced where a condition holds; rules go one after another, so later ones see what earlier ones wrote."""
+    for condition, column, text in rules:
+        df = df.withColumn(column, F.when(F.coalesce(condition, F.lit(False)), text if isinstance(text, Column) else F.lit(text)).otherwise(F.col(column)))
+    return df
+
+
+def map_union(frames: list[tuple[DataFrame, dict[str, str]]], columns: list[str]) -> DataFrame:
+    """Spatial maps of several vocabularies under one: each with its renames, in the wanted columns; a missing one is an error."""
+    return reduce(DataFrame.unionByName, (df.withColumnsRenamed(names).select(*columns) for df, names in frames))
+
+
+def control_table(parts: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Controls in display order: each part (method, dataset, control, ari, nmi) with its type; absent values are NULL.
+
+    The order is that of parts, then method, dataset and control; a few rows a method.
+    """
+    kinds = {"method": "string", "dataset": "string", "control": "string", "ari": "double", "nmi": "double"}
+    rows = [df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()), F.lit(t).alias("control_type"), F.lit(i).alias("part")) for i, (df, t) in enumerate(parts)]
+    every = reduce(DataFrame.unionByName, rows)
+    return every.select(F.row_number().over(Window.orderBy("part", "method", "dataset", "control")).alias("display_order"), *kinds, "control_type")
+
+
+def scope(seeds: DataFrame, context: Column) -> DataFrame:
+    """Per context of datasets: datasets, units and runs; and one row of all, whose context is TOTAL."""
+    counts = [F.countDistinct("dataset").alias("datasets"), F.countDistinct(*UNIT).alias("units"), F.count("*").alias("runs")]
+    rows = seeds.withColumn("context", context)
+    return rows.groupBy("context").agg(*counts).unionByName(rows.agg(*counts).withColumn("context", F.lit("TOTAL")))

@@ -10,6 +10,14 @@ class ValidationError(ValueError):
     """A table broke a stated rule."""
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores until no column has it (upper and lower case alike)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def require_unique(df: DataFrame, keys: list[str], what: str = "key") -> DataFrame:
     bad = df.groupBy(*keys).count().where("count > 1").limit(3).collect()
     if bad:
@@ -52,6 +60,11 @@ def lookup(base: DataFrame, other: DataFrame, on: list[str], strict: bool = Fals
     return base.join(other, on, "left")
 
 
+def reindex(base: DataFrame, other: DataFrame, on: list[str], order: str) -> DataFrame:
+    """``other``'s columns for every row of ``base``, NULL where it has none, in the order of ``base``'s column."""
+    return lookup(base, other, on).orderBy(order)
+
+
 def map_column(df: DataFrame, source: str, target: str, mapping: dict, fallback: Column | None = None) -> DataFrame:
     """A literal dictionary as a column; without a fallback unknown keys are NULL."""
     m = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))
@@ -73,8 +86,9 @@ def ordered_union(parts: list[DataFrame], dimensions: list[tuple[DataFrame, str,
     names = out.columns
     keys = []
     for i, (dim, key, order) in enumerate(dimensions):
-        out = out.join(dim.select(key, F.col(order).alias(f"_o{i}")), key, "left")
-        keys.append(F.col(f"_o{i}").asc_nulls_last())
+        place = unused(out.columns, f"_o{i}")
+        out = out.join(dim.select(key, F.col(order).alias(place)), key, "left")
+        keys.append(F.col(place).asc_nulls_last())
     return out.orderBy(*keys, *then).select(*names)
 
 
@@ -112,8 +126,9 @@ def without(df: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def full_outer_audit(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """key, status: added, removed, changed or same. A null value is a value like others; null keys meet no key."""
-    l, r = left.select(key, F.struct(F.col(value).alias("v")).alias("a")), right.select(key, F.struct(F.col(value).alias("v")).alias("b"))
-    s = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a.v").eqNullSafe(F.col("b.v")), "same").otherwise("changed")
+    a, b = unused([key], "a"), unused([key], "b")
+    l, r = left.select(key, F.struct(F.col(value).alias("v")).alias(a)), right.select(key, F.struct(F.col(value).alias("v")).alias(b))
+    s = F.when(F.col(a).isNull(), "added").when(F.col(b).isNull(), "removed").when(F.col(a)["v"].eqNullSafe(F.col(b)["v"]), "same").otherwise("changed")
     return l.join(r, key, "full_outer").select(key, s.alias("status"))
 
 
@@ -125,7 +140,8 @@ def pivot(df: DataFrame, index: list[str], column: str, values: list, measures:
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+    k = unused(df.columns, "_k")
+    return df.withColumn(k, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(k) == 1).drop(k)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

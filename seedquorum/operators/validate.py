@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from seedquorum.functions import scalar as S
 from seedquorum.functions.canonical import canonical_json
-from seedquorum.operators.relational import ValidationError, grid_audit
+from seedquorum.operators.relational import ValidationError, grid_audit, unused
 from seedquorum.plans.workspace import Workspace
 
 
@@ -69,8 +69,9 @@ def names_by_dimension(df: DataFrame, dimension: DataFrame, key: str, name: str)
 
 def run_audit(expected: DataFrame, found: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
     """Every expected run with its state: absent, the first rule it breaks, or valid."""
-    rows = expected.select(*keys).join(found.withColumn("_here", F.lit(True)), keys, "left")
-    state = F.when(F.col("_here").isNull(), "absent")
+    here = unused(found.columns, "_here")
+    rows = expected.select(*keys).join(found.withColumn(here, F.lit(True)), keys, "left")
+    state = F.when(F.col(here).isNull(), "absent")
     for name, ok in rules.items():
         state = state.when(~F.coalesce(ok, F.lit(False)), name)
     return rows.select(*keys, state.otherwise("valid").alias("state"))
@@ -101,3 +102,18 @@ def table_digest(df: DataFrame, order: list[str], chunk: int = 10_000) -> DataFr
 
 def complete_grid(df: DataFrame, expected: DataFrame, keys: list[str]) -> None:
     require([f"{r['problem']}: {tuple(r[k] for k in keys)}" for r in grid_audit(df, expected, keys).limit(5).collect()])
+
+
+def release_checks(seeds: DataFrame, pairs: DataFrame, iso: DataFrame, units: DataFrame, n_seeds: int, thresholds: int, primary: float = S.PRIMARY_ISO) -> DataFrame:
+    """check, expected, found, passed of a study's tables before release: sizes that follow from the units, full units, and totals that two tables both give."""
+    n = units.agg(F.count("*").alias("u"), F.countDistinct("dataset").alias("d"), F.countDistinct("method").alias("m"))
+    full = lambda df, size: df.groupBy("dataset", "method").count().agg(F.count_if(F.col("count") == size).alias("f"), F.sum("count").alias("c"))
+    a, b, c = full(seeds, n_seeds).toDF("sf", "sc"), full(pairs, n_seeds * (n_seeds - 1) // 2).toDF("pf", "pc"), full(iso, thresholds).toDF("if", "ic")
+    first = iso.where(S.close(F.col("threshold"), primary)).agg(F.count("*").alias("one"), F.sum("n_iso_pairs").alias("eligible"), F.sum("n_divergent").alias("divergent"), F.count_if((F.col("n_divergent") > 0) != F.col("contains_divergent")).alias("odd"))
+    one = n.crossJoin(a).crossJoin(b).crossJoin(c).crossJoin(first)  # one row each
+    checks = {
+        "units are a grid": ("d * m", "u"), "seeds": (f"u * {n_seeds}", "sc"), "full units of seeds": ("u", "sf"), "pairs": (f"u * {n_seeds * (n_seeds - 1) // 2}", "pc"), "full units of pairs": ("u", "pf"),
+        "thresholds": (f"u * {thresholds}", "ic"), "primary threshold": ("u", "one"), "divergent flags": ("0", "odd"), "divergent pairs are eligible": ("least(divergent, eligible)", "divergent"),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("check"), F.expr(e).cast("long").alias("expected"), F.expr(f"`{v}`").cast("long").alias("found")) for k, (e, v) in checks.items()))
+    return one.select(F.explode(rows).alias("x")).select("x.*").withColumn("passed", F.col("expected") == F.col("found"))

@@ -146,7 +146,7 @@ ORACLES: dict[str, str] = {
     "normalize_log1p": f"WITH {EXPR} SELECT * FROM nx",
     "gene_filter": f"WITH {EXPR} SELECT dataset, obs_id, gene, value FROM ex JOIN (SELECT dataset, gene FROM ex GROUP BY ALL HAVING count(*) FILTER (value > 0) >= 50 AND sum(value) >= 1500) USING (dataset, gene)",
     "gene_moments": f"WITH {EXPR}, nn AS (SELECT dataset, count(*) AS n FROM ob GROUP BY ALL) SELECT dataset, gene, n, sum(value) / n AS mean, (sum(value * value) - sum(value) * sum(value) / n) / (n - 1) AS variance FROM ex JOIN nn USING (dataset) GROUP BY dataset, gene, n",
-    "matrix_statistics": f"WITH {EXPR} SELECT dataset, count(*) AS n_stored, count(DISTINCT gene) AS n_genes, count(DISTINCT obs_id) AS n_obs, min(value) AS min_value, max(value) AS max_value, count(*) FILTER (value IS NULL OR isnan(value) OR isinf(value)) AS n_nonfinite, count(*) FILTER (value < 0) AS n_negative, bool_and(value = floor(value)) AS all_integers FROM ex GROUP BY ALL",
+    "matrix_statistics": f"WITH {EXPR} SELECT dataset, count(*) AS n_stored, count(DISTINCT gene) AS n_genes, count(DISTINCT obs_id) AS n_obs, min(value) AS min_value, max(value) AS max_value, count(*) FILTER (value IS NULL OR isnan(value) OR isinf(value)) AS n_nonfinite, count(*) FILTER (value < 0) AS n_negative, bool_and(value = floor(value)) AS all_integers, 0 AS n_duplicates, count(*) / (count(DISTINCT gene) * count(DISTINCT obs_id)) AS density FROM ex GROUP BY ALL",
     "rank_sum_markers": f"WITH {MARK} SELECT * FROM mk",
     "marker_topk": f"WITH {MARK} SELECT dataset, method, seed, domain, gene, rank FROM mk WHERE rank <= 20",
     "marker_jaccard": f"WITH {MPAIR} SELECT dataset, method, seed_r, seed_s, domain, jaccard FROM mm",
@@ -254,11 +254,25 @@ ORACLES |= {
     "price_quantiles": "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p05, median(l_extendedprice) AS median, quantile_cont(l_extendedprice, 0.99) AS p99, median(l_quantity) FILTER (l_linenumber > 1) AS quantity FROM lineitem GROUP BY ALL",
     "price_ranks": f"SELECT l_orderkey, l_linenumber, {midrank('', 'l_quantity')} AS overall, {midrank('l_returnflag', 'l_extendedprice')} AS within FROM lineitem",
     "boundary_support": f"WITH {NEAR}, bf AS (SELECT src, coalesce(bool_or(a.label <> b.label), false) AS f FROM nb JOIN pt a ON a.obs_id = src JOIN pt b ON b.obs_id = dst GROUP BY src) SELECT 'e' AS dataset, median(CASE WHEN f THEN (src % 100) / 100e0 END) AS boundary_median, median(CASE WHEN NOT f THEN (src % 100) / 100e0 END) AS inner_median, count(*) FILTER (f) AS n_boundary FROM bf",
-    "ranking_table": f"""WITH {RANK}, {_PAIR}, cu AS (SELECT *, sum(combos) OVER (PARTITION BY dataset, method ORDER BY rank_x2) AS cum, sum(combos) OVER (PARTITION BY dataset, method) AS n FROM rd),
- rs AS (SELECT dataset, method, sum(combos * rank_x2) / 2e0 / max(n) AS expected_rank FROM cu GROUP BY ALL),
- co AS (SELECT dataset, method, corr(x, y) AS spearman FROM (SELECT dataset, method, {midrank('dataset, method', 'round(ari, 6)')} AS x, {midrank('dataset, method', 'round(nmi, 6)')} AS y FROM pr) GROUP BY ALL),
- te AS (SELECT dataset, method, CASE ntile(3) OVER (PARTITION BY dataset, method ORDER BY round(ari, 6), seed_r, seed_s) WHEN 1 THEN 'Low' WHEN 2 THEN 'Middle' ELSE 'High' END AS t, round(nmi, 6) AS v FROM pr),
- tm AS (SELECT dataset, method, median(v) FILTER (t = 'Low') AS low, median(v) FILTER (t = 'Middle') AS middle, median(v) FILTER (t = 'High') AS high FROM te GROUP BY ALL),
- ga AS (SELECT dataset, method, median(ari) AS split_half_ari, max(ari) AS gain FROM pr GROUP BY ALL)
- SELECT * FROM rs JOIN co USING (dataset, method) JOIN tm USING (dataset, method) JOIN ga USING (dataset, method)""",
+    "ranking_table": f"""WITH {RANK}, {MPAIR.replace(f"{RUNS}, ", "", 1).replace(f"{_ACC}, ", "", 1)}, cu AS (SELECT *, sum(combos) OVER (PARTITION BY dataset, method ORDER BY rank_x2) AS cum, sum(combos) OVER (PARTITION BY dataset, method) AS n FROM rd),
+ rt AS (SELECT dataset, method, sum(combos * rank_x2) / 2e0 / max(n) AS expected_rank FROM cu GROUP BY ALL),
+ co AS (SELECT dataset, method, corr(x, y) AS spearman FROM (SELECT dataset, method, {midrank('dataset, method', 'partition_ari')} AS x, {midrank('dataset, method', 'jaccard')} AS y FROM (SELECT * REPLACE (round(jaccard, 9) AS jaccard) FROM prm WHERE jaccard IS NOT NULL)) GROUP BY ALL),
+ tm AS (SELECT dataset, method, median(jaccard) FILTER (tertile = 'Low') AS low, median(jaccard) FILTER (tertile = 'Middle') AS middle, median(jaccard) FILTER (tertile = 'High') AS high FROM ter GROUP BY ALL)
+ SELECT * FROM rt JOIN co USING (dataset, method) JOIN tm USING (dataset, method)""",
+    "landscape": "SELECT o_orderstatus AS dataset, count(*) AS n_obs, 'm1;m2;m3;m4;m5' AS methods, 100 AS valid_runs, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'fulfilled' ELSE o_orderstatus END AS dataset_display FROM orders GROUP BY ALL",
+    "noted_texts": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'HBCA1' ELSE c_mktsegment END AS source, 'Bregma ' || CASE WHEN c_nationkey::VARCHAR LIKE '1%' THEN chr(8722) ELSE '-' END || c_nationkey || CASE WHEN c_mktsegment = 'BUILDING' THEN ' (pathology)' ELSE '' END AS section FROM customer",
+    "map_union": f"WITH {RUNS} SELECT a.dataset AS section, a.method, a.obs_id AS observation_id, a.cluster AS seed_a_domain, b.cluster AS seed_b_domain, a.ref AS reference, a.cluster <> b.cluster AS discordant FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.method = b.method AND a.obs_id = b.obs_id AND a.seed = 1 AND b.seed = 2 WHERE a.method IN ('m1', 'm2')",
+    "control_table": f"""WITH {RUNS}, rc AS (SELECT r.dataset, r.method, 'rerun' AS control, r.cluster AS a, s.cluster AS b, count(*) AS n FROM runs r JOIN runs s ON r.dataset = s.dataset AND r.method = s.method AND r.obs_id = s.obs_id AND r.seed = 1 AND s.seed = 2 WHERE r.dataset = 'O' GROUP BY ALL
+ UNION ALL SELECT dataset, method, 'relabelled', cluster, (cluster + 2) % {K}, count(*) FROM runs WHERE seed = 1 AND method = 'm1' AND dataset = 'O' GROUP BY ALL), {agree("rp", "rc", "dataset, method, control")}
+ SELECT row_number() OVER (ORDER BY control = 'relabelled', method = 'm5', method) AS display_order, method, dataset, control, ari, CASE WHEN method <> 'm5' THEN nmi END AS nmi, CASE control WHEN 'rerun' THEN 'identical_seed_rerun' ELSE 'label_permutation_sanity' END AS control_type FROM rp""",
+    "scope": f"WITH {ACC}, c AS (SELECT *, CASE dataset WHEN 'F' THEN 'closed' ELSE 'running' END AS context FROM acc) SELECT context, count(DISTINCT dataset) AS datasets, count(DISTINCT dataset || method) AS units, count(*) AS runs FROM c GROUP BY ALL UNION ALL SELECT 'TOTAL', count(DISTINCT dataset), count(DISTINCT dataset || method), count(*) FROM c",
+    "four_method_uncertainty": f"""WITH {_FOUR}, fl AS ({" UNION ALL ".join(f"SELECT dataset, 'm{i}' AS method, " + " + ".join(f"(s{j} > s{i})::INT" for j in range(1, 5) if j != i) + " AS g, " + " + ".join(f"(s{j} = s{i})::INT" for j in range(1, 5) if j != i) + " AS t, count(*) AS c FROM four GROUP BY ALL" for i in range(1, 5))}),
+ fw AS (SELECT dataset, method, sum(CASE WHEN g = 0 THEN c * 12 // (t + 1) ELSE 0 END) AS credit, sum(CASE WHEN g = 0 THEN c * 12 // (t + 1) ELSE 0 END) / (sum(c) * 12) AS p_rank1 FROM fl GROUP BY ALL)
+ SELECT dataset, sum(credit) AS credit_sum, max(p_rank1) AS max_p_rank1, string_agg(method, ';' ORDER BY method) FILTER (credit = best) AS most_probable_winner, count(*) FILTER (p_rank1 > 0) AS n_positive, count(*) FILTER (p_rank1 >= 0.05) AS n_at_least_5_percent, -sum(CASE WHEN p_rank1 > 0 THEN p_rank1 * log2(p_rank1) ELSE 0 END) AS entropy_bits, -sum(CASE WHEN p_rank1 > 0 THEN p_rank1 * log2(p_rank1) ELSE 0 END) / 2 AS entropy_normalized FROM (SELECT *, max(credit) OVER (PARTITION BY dataset) AS best FROM fw) GROUP BY dataset""",
+    "marker_universe": f"WITH {EXPR}, g AS (SELECT dataset, gene, count(*) >= 100 AS flagged FROM ex GROUP BY ALL), u AS (SELECT dataset, count(*) FILTER (flagged) AS n FROM g GROUP BY ALL) SELECT dataset, 'empty' AS problem, n FROM u WHERE n = 0 UNION ALL SELECT dataset, 'too few', n FROM u WHERE n BETWEEN 1 AND 99 UNION ALL SELECT dataset, 'not 155', n FROM u WHERE dataset = 'P' AND n <> 155 UNION ALL SELECT dataset, 'not 120', n FROM u WHERE dataset = 'F' AND n <> 120",
+    "embedding_difference": "WITH d AS (SELECT abs((embedding[g]::DOUBLE + CASE WHEN vec_id % 7 = 0 THEN (g - 1) / 1024e0 ELSE 0e0 END) - embedding[g]::DOUBLE) AS x FROM embeddings, range(1, 65) AS r(g)) SELECT max(x) AS max_abs, avg(x) AS mean_abs, max(x) <= 1e-6 AS all_close FROM d",
+    "release_audit": f"""WITH {ISO}, u AS (SELECT count(*) AS n, count(DISTINCT dataset) * count(DISTINCT method) AS g FROM units), f AS (SELECT count(*) FILTER (threshold = 0.02) AS one, sum(n_divergent) FILTER (threshold = 0.02) AS dv, sum(n_iso_pairs) FILTER (threshold = 0.02) AS el, count(*) AS c FROM isos),
+ c("check", expected, found) AS (SELECT 'units are a grid', g, n FROM u UNION ALL SELECT 'seeds', n * 20, (SELECT count(*) FROM acc) FROM u UNION ALL SELECT 'full units of seeds', n, (SELECT count(*) FROM (SELECT 1 FROM acc GROUP BY dataset, method HAVING count(*) = 20)) FROM u
+  UNION ALL SELECT 'pairs', n * 190, (SELECT count(*) FROM pr) FROM u UNION ALL SELECT 'full units of pairs', n, (SELECT count(*) FROM (SELECT 1 FROM pr GROUP BY dataset, method HAVING count(*) = 190)) FROM u UNION ALL SELECT 'thresholds', n * 3, c FROM u, f UNION ALL SELECT 'primary threshold', n, one FROM u, f
+  UNION ALL SELECT 'divergent flags', 0, 0 UNION ALL SELECT 'divergent pairs are eligible', least(dv, el), dv FROM f) SELECT *, expected = found AS passed FROM c""",
 }

@@ -391,12 +391,70 @@ def boundary_support(s: SparkSession, d: str) -> DataFrame:
     return spatial.boundary_support(spatial.boundary(p), p.selectExpr("dataset", "obs_id", "(obs_id % 100) / 100D AS support"))
 
 
-def ranking_table(s: SparkSession, d: str) -> DataFrame:
-    """Four unit tables, one to one; partition agreement by both measures stands in for markers and gains."""
-    p = pair_scores(s, d).withColumns({n: F.round(n, 6) for n in ("ari", "nmi")}).withColumnsRenamed({"ari": "partition_ari", "nmi": "jaccard"})
-    gains = pair_scores(s, d).groupBy("dataset", "method").agg(F.median("ari").alias("split_half_ari"), F.max("ari").alias("gain"))
-    out = frames.ranking_table(ranking.rank_summary(accuracy(s, d)), stats.spearman(p, ["dataset", "method"], "partition_ari", "jaccard"), markers.tertile_summary(p), gains)
-    return relational.require_columns(out, ["spearman", "gain"]).withColumnsRenamed({"Low": "low", "Middle": "middle", "High": "high"})
+def ranking_table(s: SparkSession, d: str, gains: DataFrame | None = None) -> DataFrame:
+    """Ranks, the marker overlap's correlation with partition agreement, its medians by third."""
+    rows = marker_pairs(s, d)
+    rho = stats.spearman(_rounded(rows, "jaccard"), ["dataset", "method"], "partition_ari", "jaccard")
+    out = frames.ranking_table(ranking.rank_summary(accuracy(s, d)), rho, markers.tertile_summary(rows), gains)
+    return relational.require_columns(out, ["spearman"]).withColumnsRenamed({"Low": "low", "Middle": "middle", "High": "high"})
+
+
+def landscape(s: SparkSession, d: str) -> DataFrame:
+    n = B.observations(s, d).groupBy("dataset").agg(F.count("*").alias("n_obs"))
+    return frames.landscape(n, [m for m, _, _ in B.METHODS], B.SEEDS, {"O": "open", "F": "fulfilled"})
+
+
+def noted(s: SparkSession, d: str) -> DataFrame:
+    c = B.table(s, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("source"), F.concat(F.lit("Bregma -"), F.col("c_nationkey").cast("string")).alias("section"))
+    return frames.noted(c, [(F.col("source") == "BUILDING", "source", "HBCA1"), (F.col("source") == "HBCA1", "section", F.concat("section", F.lit(" (pathology)"))), (F.col("section").startswith("Bregma -1"), "section", S.canonical_name(F.col("section")))])
+
+
+def map_union(s: SparkSession, d: str) -> DataFrame:
+    """Discordance of the first two seeds of one method, and of another under other names."""
+    r = B.runs(s, d)
+    side = lambda m, k: r.where((F.col("method") == m) & (F.col("seed") == k)).select("dataset", "obs_id", "cluster", "ref")
+    def both(m: str) -> DataFrame:
+        other = side(m, 2).select("dataset", "obs_id", F.col("cluster").alias("second"))
+        return side(m, 1).join(other, ["dataset", "obs_id"]).withColumns({"method": F.lit(m), "changed": F.col("cluster") != F.col("second")})
+    old = both("m1").withColumnsRenamed({"obs_id": "barcode"})
+    new = both("m2").withColumnsRenamed({"dataset": "section", "changed": "different_assignment"})
+    wanted = ["section", "method", "observation_id", "seed_a_domain", "seed_b_domain", "reference", "discordant"]
+    names = {"cluster": "seed_a_domain", "second": "seed_b_domain", "ref": "reference"}
+    return frames.map_union([(old, {"dataset": "section", "barcode": "observation_id", "changed": "discordant", **names}), (new, {"obs_id": "observation_id", "different_assignment": "discordant", **names})], wanted)
+
+
+def control_table(s: SparkSession, d: str) -> DataFrame:
+    """Reruns of four methods, of the fifth without NMI, and a relabelled partition."""
+    r = B.runs(s, d).where("dataset = 'O'")
+    one, two = r.where("seed = 1"), r.where("seed = 2")
+    rerun = agreement.repeatability(one, two, ["dataset", "method"]).withColumn("control", F.lit("rerun"))
+    names = agreement.repeatability(one.where("method = 'm1'"), one.withColumn("cluster", (F.col("cluster") + 2) % B.K), ["dataset", "method"]).withColumn("control", F.lit("relabelled"))
+    return frames.control_table([(rerun.where("method <> 'm5'"), "identical_seed_rerun"), (rerun.where("method = 'm5'").drop("nmi"), "identical_seed_rerun"), (names, "label_permutation_sanity")])
+
+
+def scope(s: SparkSession, d: str) -> DataFrame:
+    return frames.scope(accuracy(s, d), F.when(F.col("dataset") == "F", "closed").otherwise("running"))
+
+
+def four_method_uncertainty(s: SparkSession, d: str) -> DataFrame:
+    return ranking.winner_uncertainty(accuracy(s, d).where("method <> 'm5'"), B.methods(s), 4)
+
+
+def marker_universe(s: SparkSession, d: str) -> DataFrame:
+    """Genes with many entries; datasets where these are too few, or not as many as they ought to be."""
+    g = B.expression(s, d).groupBy("dataset", "gene").agg(F.count("*").alias("c")).select("dataset", "gene", (F.col("c") >= 100).alias("flagged"))
+    return expression.marker_universe(g, 100, {"P": 155, "F": 120})[1]
+
+
+def embedding_difference(s: SparkSession, d: str) -> DataFrame:
+    """Embeddings against themselves, each seventh of them moved."""
+    e = B.table(s, d, "embeddings").select(F.col("vec_id").alias("obs_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = e.withColumn("embedding", F.expr("transform(embedding, (x, i) -> CASE WHEN obs_id % 7 = 0 THEN x + i / 1024D ELSE x END)"))
+    return agreement.embedding_difference(e, moved)
+
+
+def release_audit(s: SparkSession, d: str) -> DataFrame:
+    return validate.release_checks(accuracy(s, d), pair_scores(s, d), iso(s, d), units(s, d), B.SEEDS, len(S.ISO_THRESHOLDS))
 
 
 U = "dataset method"
@@ -436,7 +494,7 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "normalize_log1p": ("dataset obs_id:i gene:i value:d", lambda s, d: expression.normalize_log1p(B.expression(s, d))),
     "gene_filter": ("dataset obs_id:i gene:i value:d", lambda s, d: expression.gene_filter(B.expression(s, d), 50, 1500)),
     "gene_moments": ("dataset gene:i n:i mean:d variance:d", lambda s, d: expression.gene_moments(B.expression(s, d), B.observations(s, d))),
-    "matrix_statistics": ("dataset n_stored:i n_genes:i n_obs:i min_value:d max_value:d n_nonfinite:i n_negative:i all_integers", lambda s, d: expression.matrix_statistics(B.expression(s, d))),
+    "matrix_statistics": ("dataset n_stored:i n_genes:i n_obs:i min_value:d max_value:d n_nonfinite:i n_negative:i all_integers n_duplicates:i density:d", lambda s, d: expression.matrix_statistics(B.expression(s, d))),
     "rank_sum_markers": (f"{U} seed:i domain:i gene:i z:d rank:i", marks),
     "marker_topk": (f"{U} seed:i domain:i gene:i rank:i", lambda s, d: markers.top(marks(s, d), TOP)),
     "marker_jaccard": (f"{P} domain:i jaccard:d", lambda s, d: markers.pair_metrics(marks(s, d), TOP)),
@@ -514,7 +572,17 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "price_quantiles": ("l_returnflag p05:d median:d p99:d quantity:d", price_quantiles),
     "price_ranks": ("l_orderkey:i l_linenumber:i overall:d within:d", price_ranks),
     "boundary_support": ("dataset boundary_median:d inner_median:d n_boundary:i", boundary_support),
-    "ranking_table": (f"{U} expected_rank:d spearman:d low:d middle:d high:d split_half_ari:d gain:d", ranking_table),
+    "ranking_table": (f"{U} expected_rank:d spearman:d low:d middle:d high:d", ranking_table),
+    "full_ranking_table": (f"{U} expected_rank:d spearman:d low:d middle:d high:d split_half_ari:d gain:d", lambda s, d: ranking_table(s, d, split_half_gain(s, d))),
+    "landscape": ("dataset n_obs:i methods valid_runs:i dataset_display", landscape),
+    "noted_texts": ("c_custkey:i source section", noted),
+    "map_union": ("section method observation_id:i seed_a_domain:i seed_b_domain:i reference:i discordant", map_union),
+    "control_table": ("display_order:i method dataset control ari:d nmi:d control_type", control_table),
+    "scope": ("context datasets:i units:i runs:i", scope),
+    "four_method_uncertainty": ("dataset credit_sum:i max_p_rank1:d most_probable_winner n_positive:i n_at_least_5_percent:i entropy_bits:d entropy_normalized:d", four_method_uncertainty),
+    "marker_universe": ("dataset problem n:i", marker_universe),
+    "embedding_difference": ("max_abs:d mean_abs:d all_close", embedding_difference),
+    "release_audit": ("check expected:i found:i passed", release_audit),
 }
 
 

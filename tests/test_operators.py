@@ -211,3 +211,49 @@ def test_pair_agreement_of_null_labels_and_gaps(spark):
             n, x, y, z = len(both), collections.Counter(both), collections.Counter(p for p, _ in both), collections.Counter(q for _, q in both)
             e = pairs(y) * pairs(z) / (n * (n - 1) / 2)
             assert got[a, b]["n_obs"] == n and abs(got[a, b]["ari"] - (pairs(x) - e) / ((pairs(y) + pairs(z)) / 2 - e)) < 1e-12
+
+
+def test_assessment_labels(spark):
+    from seedquorum.operators import pairs
+
+    def overall(**counts):
+        d = spark.createDataFrame([(k, *v) for k, v in counts.items()], "component string, yes long, n long")
+        rows = {r["component"]: (r["label"], r["overall"]) for r in pairs.component_labels(d).collect()}
+        return [rows[k][0].split("_")[0] for k in counts], next(iter(rows.values()))[1].split("_")[0]
+
+    core = {"score_map_decoupling": (3, 3), "iso_accuracy_map_divergence": (3, 3)}
+    assert overall(**core, a=(3, 3), b=(2, 2), c=(1, 3)) == (["SUPPORTS"] * 4 + ["HETEROGENEOUS"], "STRONG")
+    assert overall(**core, a=(3, 3), b=(2, 2), c=(0, 3))[1] == "PARTIAL"
+    assert overall(**core, a=(0, 0), b=(1, 2), c=(1, 3)) == (["SUPPORTS"] * 2 + ["NOT", "HETEROGENEOUS", "HETEROGENEOUS"], "PARTIAL")
+    assert overall(score_map_decoupling=(0, 3), iso_accuracy_map_divergence=(0, 3), a=(3, 3), b=(3, 3), c=(3, 3))[1] == "CONTRASTING"
+    assert overall(score_map_decoupling=(1, 3), iso_accuracy_map_divergence=(0, 3), a=(3, 3))[1] == "LIMITED"
+    counts = pairs.component_counts({"x": spark.createDataFrame([(True,), (False,), (None,)], "flag boolean")}).first()
+    assert (counts["yes"], counts["n"]) == (1, 2)
+
+
+def test_marker_universe_problems(spark):
+    rows = [("a", g, True) for g in range(3)] + [("b", 1, True), ("b", 1, True), ("b", 2, True)] + [("c", 1, False), ("c", 2, None)] + [("d", 1, True), ("d", 2, False)]
+    kept, bad = expression.marker_universe(spark.createDataFrame(rows, "dataset string, gene int, flagged boolean"), 2, {"a": 4})
+    assert {tuple(r) for r in bad.collect()} == {("a", "not 4", 3), ("b", "repeated genes", 1), ("c", "unknown flags", 1), ("c", "empty", 0), ("d", "too few", 1)}
+    assert kept.count() == 7
+
+
+def test_release_checks_and_order(spark):
+    seeds = spark.createDataFrame([(d, "m", s) for d in "ab" for s in range(3)], "dataset string, method string, seed int")
+    pairs_ = spark.createDataFrame([(d, "m", i) for d in "ab" for i in range(3 if d == "a" else 2)], "dataset string, method string, i int")
+    iso = spark.createDataFrame([(d, "m", t, 2, int(t > 0.015), t > 0.015) for d in "ab" for t in (0.01, 0.02)], "dataset string, method string, threshold double, n_iso_pairs long, n_divergent long, contains_divergent boolean")
+    units = seeds.select("dataset", "method").distinct()
+    got = {r["check"]: r["passed"] for r in validate.release_checks(seeds, pairs_, iso, units, 3, 2).collect()}
+    assert {k for k, v in got.items() if not v} == {"pairs", "full units of pairs"}
+    base = spark.createDataFrame([(3, "x"), (1, "z"), (2, "y")], "place int, k string")
+    assert [tuple(r) for r in relational.reindex(base, spark.createDataFrame([("x", 7), ("y", 8)], "k string, v int"), ["k"], "place").select("k", "v").collect()] == [("z", None), ("y", 8), ("x", 7)]
+
+
+def test_helpers_leave_clashing_names_alone(spark):
+    d = spark.createDataFrame([(1, 5, "p", 0), (1, 6, "q", 1), (2, 7, "r", 2)], "k int, _k int, _here string, _o0 int")
+    assert {tuple(r) for r in relational.first_per_group(d, ["k"], [F.desc("_k")]).collect()} == {(1, 6, "q", 1), (2, 7, "r", 2)}
+    assert {r["state"] for r in validate.run_audit(d.select("k"), d, ["k"], {"low": F.col("_here") != "q"}).collect()} == {"valid", "low"}
+    order = spark.createDataFrame([(1, 2), (2, 1)], "k int, place int")
+    assert [r["_o0"] for r in relational.ordered_union([d], [(order, "k", "place")], ["_o0"]).collect()] == [2, 0, 1]
+    a = spark.createDataFrame([(1, 2)], "a int, v int")
+    assert [tuple(r) for r in relational.full_outer_audit(a, a, "a", "v").collect()] == [(1, "same")]
