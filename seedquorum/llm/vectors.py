@@ -12,7 +12,7 @@
 Cosine >= c of unit vectors is distance <= sqrt(2 - 2c) = epsilon, and a projection never lengthens a distance, so nothing
 is lost. Defined cases: null, zero and ragged vectors and those with null or non-finite parts link with nothing; vectors of
 different lengths don't link; parts of any size do, as far as doubles go; repeated rows are copies of each other; null ids are
-vectors of their own that a class is named after only if it has no other; an empty table gives an empty result; further columns aren't read.
+vectors of their own that a class is named after only if it has no other; an empty table gives an empty result; vectors may have any length, and of a class the smallest id names it; further columns aren't read.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def _cells(axes: np.ndarray, dim: int, eps: float):
     return T.released(run)
 
 
-def _blocks(axes: np.ndarray, dim: int):
+def _blocks(axes: np.ndarray, dim: int, block: int):
     """The sorted sequence in blocks, with their boxes on the principal directions."""
 
     def run(batches):
@@ -118,10 +118,10 @@ def _blocks(axes: np.ndarray, dim: int):
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            while n >= BLOCK:
+            while n >= block:
                 t = pa.Table.from_batches(held)
-                yield out(t.slice(0, BLOCK))
-                held, n = t.slice(BLOCK).to_batches(), n - BLOCK
+                yield out(t.slice(0, block))
+                held, n = t.slice(block).to_batches(), n - block
         if n:
             yield out(pa.Table.from_batches(held))
 
@@ -131,12 +131,13 @@ def _blocks(axes: np.ndarray, dim: int):
 class _Join:
     """Links within one pair of blocks."""
 
-    def __init__(self, a, b, axes: np.ndarray, cosine: float, same: bool):
+    def __init__(self, a, b, axes: np.ndarray, cosine: float, same: bool, leaf: int = LEAF):
         self.a, self.b, self.same, self.cosine, self.eps2 = a, b, same, cosine, 2 - 2 * cosine + _SLACK
         self.small = [x.astype(np.float32) for x in (a, b)]
         self.y = [x @ axes for x in (a, b)]
         self.root = np.arange(len(a) + len(b))
         self.boxes: dict = {}
+        self.least = leaf
 
     def box(self, side: int, lo: int, hi: int):
         if (side, lo, hi) not in self.boxes:
@@ -186,7 +187,7 @@ class _Join:
         if a1 <= a0 or b1 <= b0 or self.apart(a0, a1, b0, b1):
             return
         own = self.same and a0 == b0
-        if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
+        if a1 - a0 <= self.least and b1 - b0 <= self.least:
             self.leaf(a0, a1, b0, b1, na, nb, links)
         elif own:
             m = (a0 + a1) // 2
@@ -203,12 +204,12 @@ class _Join:
             self.go(a0, a1, m, b1, na, nb, links)
 
 
-def _join(axes: np.ndarray, dim: int, cosine: float):
+def _join(axes: np.ndarray, dim: int, cosine: float, leaf: int):
     """Rows by (a, salt): first block a itself, then its partners one by one."""
 
     def links(a, b, same: bool) -> pa.RecordBatch:
         (ia, na, x), (ib, nb, y) = a, b
-        j = _Join(x, y, axes, cosine, same)
+        j = _Join(x, y, axes, cosine, same, leaf)
         la = np.zeros(len(ia), np.int64)
         found = (la, la if same else np.zeros(len(ib), np.int64))
         j.go(0, len(ia), 0, len(ib), na, nb, found)
@@ -235,8 +236,8 @@ def _join(axes: np.ndarray, dim: int, cosine: float):
     return T.released(run)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None = None) -> DataFrame:
-    """(vec_id, n_links, component_id) of ``vectors`` (vec_id, embedding)."""
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None = None, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+    """(vec_id, n_links, component_id) of ``vectors`` (vec_id, embedding). Sequences are cut into blocks, and block pairs halved down to leaves."""
     spark = vectors.sparkSession
     work = work or Workspace(spark, "vectors")
     eps = float(np.sqrt(2 - 2 * cosine))
@@ -249,9 +250,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None
         axes = _principal(own, dim)
         cells = [f"c{k}" for k in range(GRID)]
         grid = work.write(own.mapInArrow(_cells(axes, dim, eps), ", ".join(f"{c} int" for c in cells) + ", rep long, n long, x binary"), "grid")
-        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), grid.count() // BLOCK))
+        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), grid.count() // block))
         order = grid.repartitionByRange(parts, *cells, "rep").sortWithinPartitions(*cells, "rep")
-        blocks = work.write(order.mapInArrow(_blocks(axes, dim), "block long, first int, last int, low array<double>, high array<double>, reps binary, ns binary, xs binary"), "blocks")
+        blocks = work.write(order.mapInArrow(_blocks(axes, dim, block), "block long, first int, last int, low array<double>, high array<double>, reps binary, ns binary, xs binary"), "blocks")
         # the sequence is sorted by the first coordinate, so a block meets those that hold its cells or the next
         box = blocks.select("block", "first", "last", "low", "high")
         left = box.select(F.col("block").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), F.explode(F.expr("sequence(first - 1, last + 1)")).alias("cell"))
@@ -267,7 +268,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, work: Workspace | None
         owners = salts.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt")).join(blocks.select(F.col("block").alias("a"), *body), "a").select("a", "salt", F.lit(False).alias("partner"), *body)
         partners = pairs.join(salts, "a").select("a", F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), "b").join(blocks.select(F.col("block").alias("b"), *body), "b").select("a", "salt", F.lit(True).alias("partner"), *body)
         full = owners.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
-        hits = work.write(full.mapInArrow(_join(axes, dim, cosine), "rep long, links long, root long"), f"hits{dim}")
+        hits = work.write(full.mapInArrow(_join(axes, dim, cosine, leaf), "rep long, links long, root long"), f"hits{dim}")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return clean.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -509,17 +509,93 @@ def test_near_vectors(spark):
     v = [c[i % 6] + rng.normal(size=8) * 0.2 for i in range(70)]
     rows = [(i, [float(x) for x in np.float32(x)]) for i, x in enumerate(v)] + [(100, [0.0] * 8), (101, None), (102, [1.0, None]), (103, [float("nan")] * 8), (104, [1.0, 2.0]), (105, [2.0, 4.0])]
     rows += [(110 + i, rows[3][1]) for i in range(5)]
-    old, vectors.BLOCK, leaf, vectors.LEAF = vectors.BLOCK, 16, vectors.LEAF, 4
-    try:
-        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    finally:
-        vectors.BLOCK, vectors.LEAF = old, leaf
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=16, leaf=4).collect()}
     ok = {i: np.array(x, float) for i, x in rows if x and None not in x and np.isfinite(x).all() and any(x)}
     links = [(a, b) for a, b in itertools.combinations(ok, 2) if len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.sqrt((ok[a] @ ok[a]) * (ok[b] @ ok[b])) >= 0.9]
     n, want = collections.Counter(x for p in links for x in p), components([i for i, _ in rows], links)
     assert got == {i: (n[i], want[i]) for i, _ in rows} and len(links) > 50
 
 
+def test_halving_skips_and_finds(monkeypatch):
+    """Two blocks of vectors along a curve: most pairs of halves are skipped, leaves are small, and links are those of all pairs."""
+    rng = np.random.default_rng(5)
+    turn = np.sort(rng.uniform(0, 3, 400))
+    x = np.stack([np.cos(turn), np.sin(turn), 0.1 * rng.normal(size=400)], 1)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    seen = []
+    real = vectors._Join.leaf
+    monkeypatch.setattr(vectors._Join, "leaf", lambda self, a0, a1, b0, b1, *r: (seen.append((a1 - a0, b1 - b0)), real(self, a0, a1, b0, b1, *r))[1])
+    for a, b, same in ((x[:250], x[250:], False), (x, x, True)):
+        seen.clear()
+        j = vectors._Join(a, b, np.eye(3), 0.99, same, 16)
+        la = np.zeros(len(a), np.int64)
+        found = (la, la if same else np.zeros(len(b), np.int64))
+        j.go(0, len(a), 0, len(b), np.ones(len(a), np.int64), np.ones(len(b), np.int64), found)
+        near = a @ b.T >= 0.99
+        if same:
+            np.fill_diagonal(near, False)
+        assert (found[0] == near.sum(1)).all() and (same or (found[1] == near.sum(0)).all())
+        assert max(max(s) for s in seen) <= 16 and 5 < len(seen) < 0.6 * (len(a) / 16) * (len(b) / 16)
+
+
+def test_structured_vectors_over_blocks(spark):
+    """Rows along a curve lie in many blocks; their links and classes are those of all pairs."""
+    rng = np.random.default_rng(6)
+    turn = np.concatenate([rng.uniform(0, 1, 150), rng.uniform(2, 2.6, 90)])
+    v = np.stack([np.cos(turn), np.sin(turn), 0.02 * rng.normal(size=240), 0.02 * rng.normal(size=240)], 1)
+    rows = [(int(i), [float(x) for x in v[i]]) for i in rng.permutation(240)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.995, block=16, leaf=4).collect()}
+    u = v / np.sqrt((v * v).sum(1))[:, None]
+    links = [(a, b) for a, b in itertools.combinations(range(240), 2) if u[a] @ u[b] >= 0.995]
+    n, want = collections.Counter(x for p in links for x in p), components(range(240), links)
+    assert got == {i: (n[i], want[i]) for i in range(240)} and len(set(want.values())) < 60
+
+
+def test_chat_of_repeated_long_and_wide_rows(spark):
+    """Rows of equal (conversation, turn) go by role and text; further columns of any name aren't read; a text of megabytes passes whole."""
+    long = "<|im_end|> \\| <\\| é " * 120_000
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "c"), (1, 0, "user", "b"), (2, 5, "assistant", long), (2, 5, "assistant", None), (None, 1, None, "x"), (3, None, "user", "")]
+    d = spark.createDataFrame([(*x, "p", 7) for x in rows], "conv_id long, turn long, role string, text string, formatted string, n int")
+    out = chat.format_conversations(d.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"), "formatted", "n"))
+    got = {r["conv_id"]: r for r in out.select("conv_id", "n_turns", chat.parse(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    want = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        want[c].append((t is not None, t or 0, role or "", text or ""))
+    for c, turns in want.items():
+        assert [(x["role"], x["text"]) for x in got[c]["turns"]] == [x[2:] for x in sorted(turns)] and got[c]["n_turns"] == len(turns)
+        assert got[c]["loss"] == "".join(x[3] for x in sorted(turns) if x[2] == "assistant")
+
+
+def test_toxicity_scores_are_a_noisy_or(spark):
+    """Scores by plain loops over sentences and words, with repeated rows of differing labels, further columns and a very long text."""
+    r = random.Random(9)
+    rows = [(i, ". ".join(" ".join(r.choice(WORDS[:60]) + (" grimness" if i % 4 == 0 and k == 1 else "") for k in range(5)) for _ in range(r.randint(1, 4))) + "!", 1, "s") for i in range(400)]
+    rows += [(400, "Grimly, " + "words und wörter " * 60_000 + "\n\ngrimmest?", 1, "s"), rows[8], (401, None, 1, "s"), (402, "...!?", 1, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(400)] + [(8, 0, "x"), (9, 1, "x"), (9, None, "x")], "doc_id long, toxic int, text string")
+    bias, chosen, w = model = toxicity.fit(docs, labels)
+    weight = {int(f): float(v) for f, v in zip(chosen, w, strict=True) if v > 1e-3}
+    number = {}
+
+    def feature(word):
+        if word not in number:
+            data = np.frombuffer(word, np.uint8)
+            number[word] = toxicity.features(data, np.array([0, len(data)]))[0][0]
+        return sum(weight.get(int(f), 0.0) for f in number[word])
+
+    want = {}
+    for i, text, *_ in rows:
+        clean = 1.0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            if sentence:
+                z = bias + sum(feature(t) for t in re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        want[i] = 1 - clean
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and all(abs(x["score"] - want[x["doc_id"]]) < 1e-9 for x in got) and weight
+    assert want[400] > 0.3 > want[1] and toxicity.passing(docs, model).columns == docs.columns
+
+
 def test_pipeline_runs(spark, tmp_path):
     """Clashing columns, nulls, repeats, ties and a long text; what each stage keeps, and nothing of nothing."""
     import corpus_pipeline as P
