@@ -5,7 +5,8 @@ audio or document part becomes a placeholder ``<|kind:turn.part|>`` and is recor
 and the tokens that it expands to. Turns are marked by ``<|im_start|>role`` and ``<|im_end|>``.
 
 Escaping is reversible: in a text every ``<``, backslashes, ``|`` gets one backslash more, so no text holds ``<|``;
-roles also escape line ends. Null texts and roles count as empty. Rows of equal (conversation, turn) go by role and text.
+roles also escape line ends. Null texts and roles count as empty. Rows of equal (conversation, turn) go by role and text, equal ones
+are turns each; texts of any length pass whole, in the task that holds their conversation.
 An empty table gives no conversations; further columns are not read; a null conversation id is a conversation of its own.
 """
 

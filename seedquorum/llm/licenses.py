@@ -12,7 +12,7 @@ their ancestors, which meet the licence files by an equi-join on the path, so a
 Defined cases: null and empty texts have no licence of their own; a text's likeness to a licence's text goes before its headers; of equal
 scores of two licences neither wins, of several headers the best, then the first; a null path has no directory and inherits nothing;
 rows that share id and path are told apart by their texts, repeated rows get a row each; an empty table gives an empty result;
-further columns aren't read.
+texts of any length are scored whole; further columns aren't read.
 """
 
 from __future__ import annotations

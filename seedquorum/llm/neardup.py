@@ -19,7 +19,7 @@
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle are one
 shingle; repeated rows are copies; rows of one doc_id with different texts are points of their own, each with its row in the
-result; a null doc_id is never a class's id unless all its rows are null; an empty table gives an empty result; further columns are not read.
+result; texts of any length are sketched and confirmed whole; of equal ids and texts one is as good as the other; a null doc_id is never a class's id unless all its rows are null; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations

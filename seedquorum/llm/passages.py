@@ -20,7 +20,7 @@ gathered: the 128-bit digests of its windows are counted by a grouped aggregate
 
 Defined cases: null texts are empty; texts shorter than a window lose nothing; every copy of a repeated passage goes, the
 first included; repeated rows are copies of each other; null doc_ids are rows of one document like any other id; an empty table
-gives an empty result; further columns aren't read and may have any name.
+gives an empty result; a text of any length is searched whole, in the task that reads it; further columns aren't read and may have any name.
 """
 
 from __future__ import annotations

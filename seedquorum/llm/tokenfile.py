@@ -9,7 +9,7 @@ Blocks are written as a binary column through Spark's own writer, so any store t
 executor's shard is written again under Spark's commit protocol. The rank table lies beside the shards.
 
 Defined cases: null and empty texts hold just the end id; repeated doc_ids keep a place each (ordered by text); a null doc_id stands
-in the files as the smallest 64-bit number, comes first and is read back as null; an empty table gives no shards; further columns are not read.
+in the files as the smallest 64-bit number, comes first and is read back as null; texts of any length are encoded whole, ids of equal frequency are ranked by number; an empty table gives no shards; further columns are not read.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ its sentences, and only document labels are needed to fit. The same sentence sco
 The fit uses at most about ``max_rows`` labelled rows (hash order of doc_id, so the choice doesn't depend on layout);
 labels, language, source and ids are never features. Defined cases: null, empty and blank texts score 0 and have no sentences; a
 document listed twice with differing labels counts as toxic; without both labels present every score is the base rate of a sentence;
+texts of any length are scored whole; features that stand out equally are taken by number;
 further columns are not read; every input row gets one row.
 """
 
