@@ -22,6 +22,15 @@ def schema_problems(df: DataFrame, required: list[str] | StructType) -> list[str
     return [] if want == have else [f"expected {w}" for w in want if w not in have] + [f"unexpected {h}" for h in have if h not in want] or ["order differs"]
 
 
+def schema_ledger(df: DataFrame, required: list[str]) -> DataFrame:
+    """problem, n: columns that are missing (and the rows that lack them), and nulls in those that are there."""
+    have = [c for c in required if c in df.columns]
+    one = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"c{i}") for i, c in enumerate(have)))
+    rows = [F.struct(F.lit(f"missing {c}").alias("problem"), F.col("n").alias("n")) for c in required if c not in have]
+    rows += [F.struct(F.lit(f"null in {c}").alias("problem"), F.col(f"c{i}").alias("n")) for i, c in enumerate(have)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("n > 0")
+
+
 def require(problems: list[str]) -> None:
     if problems:
         raise ValidationError("; ".join(problems))

@@ -176,7 +176,7 @@ ORACLES: dict[str, str] = {
     "cumulative_median": "WITH c AS (SELECT o_orderstatus, floor(o_totalprice / 1000) AS bin, count(*) AS n FROM orders GROUP BY ALL), d AS (SELECT *, sum(n) OVER (PARTITION BY o_orderstatus ORDER BY bin) AS cumulative, sum(n) OVER (PARTITION BY o_orderstatus) AS total FROM c) SELECT *, cumulative >= ceil(total / 2) AND cumulative - n < ceil(total / 2) AS is_median FROM d",
     "total_row": "SELECT coalesce(l_returnflag, 'TOTAL') AS l_returnflag, sum(cast(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag)",
     "joined_names": "SELECT r_name, string_agg(n_name, ';' ORDER BY n_nationkey, n_name) AS n_name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
-    "sha_digest": "SELECT c_mktsegment, upper(sha256(string_agg(c_name, chr(10) ORDER BY c_custkey, c_name))) AS digest FROM customer GROUP BY ALL",
+    "sha_digest": "WITH p AS (SELECT c_mktsegment, c_custkey // 1000 AS part, upper(sha256(string_agg(c_name, chr(10) ORDER BY c_custkey, c_name))) AS d FROM customer GROUP BY ALL) SELECT c_mktsegment, upper(sha256(string_agg(d, chr(10) ORDER BY part))) AS digest FROM p GROUP BY ALL",
     "json_flatten": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "strict_lookup": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
     "audit_states": "SELECT doc_id, CASE WHEN quality IS NULL THEN 'absent' WHEN quality <> 1 THEN 'quality' WHEN toxic <> 0 THEN 'toxic' ELSE 'valid' END AS state FROM documents LEFT JOIN labels USING (doc_id)",
@@ -193,11 +193,8 @@ ORACLES["four_method_ranks"] = f"WITH {_FOUR} " + " UNION ALL ".join(f"SELECT da
 
 ORACLES |= {
     "matrix_market": "SELECT n_nationkey + 1 AS row_number, n_nationkey + 1 AS column_number, n_nationkey + 1 AS value FROM nation",
-    "graph_audit": """WITH RECURSIVE v AS (SELECT x AS dataset, n_nationkey AS o FROM nation, (VALUES ('a'), ('b')) t(x)),
- e AS (SELECT 'a' AS dataset, n_nationkey AS s, n_nationkey + 5 AS t FROM nation WHERE n_nationkey < 20 UNION ALL SELECT 'b', n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey < 10),
- b AS (SELECT dataset, s AS o, t AS p FROM e UNION ALL SELECT dataset, t, s FROM e), r(dataset, o, p) AS (SELECT dataset, o, o FROM v UNION SELECT r.dataset, r.o, b.p FROM r JOIN b ON b.dataset = r.dataset AND b.o = r.p),
- d AS (SELECT v.dataset, v.o, (SELECT count(*) FROM b WHERE b.dataset = v.dataset AND b.o = v.o) AS degree, (SELECT min(p) FROM r WHERE r.dataset = v.dataset AND r.o = v.o) AS root FROM v)
- SELECT dataset, count(*) AS n_vertices, sum(degree) / 2 AS n_edges, min(degree) AS min_degree, max(degree) AS max_degree, count(*) FILTER (degree = 0) AS n_isolated, count(DISTINCT root) AS n_components FROM d GROUP BY dataset""",
+    "graph_audit": """WITH g AS (SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)
+ SELECT dataset, sum(n) AS n_vertices, sum(n - 1) AS n_edges, min(CASE WHEN n = 1 THEN 0 ELSE 1 END) AS min_degree, max(CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 1 ELSE 2 END) AS max_degree, count(*) FILTER (n = 1) AS n_isolated, count(*) AS n_components FROM g GROUP BY dataset""",
     "table_digest": """WITH r AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS c, o_orderkey AS k, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice::DOUBLE || '}') AS d FROM orders),
  h AS (SELECT c, count(*) AS n, upper(sha256(string_agg(d, chr(10) ORDER BY k))) AS d FROM r GROUP BY c) SELECT sum(n) AS n_rows, upper(sha256(string_agg(d, chr(10) ORDER BY c))) AS digest FROM h""",
     "full_outer_nulls": """SELECT coalesce(c.c_custkey, s.s_suppkey) AS k, CASE WHEN c.c_custkey IS NULL THEN 'removed' WHEN s.s_suppkey IS NULL THEN 'added'
@@ -208,10 +205,10 @@ ORACLES |= {
  UNION ALL SELECT dataset, 'credit', sum(credit)::DOUBLE FROM (SELECT dataset, CASE WHEN dataset = 'O' THEN 2 * credit ELSE credit END AS credit FROM wp) GROUP BY dataset HAVING sum(credit) <> 192000000
  UNION ALL SELECT dataset, 'probability', sum(p) FROM (SELECT dataset, CASE WHEN dataset = 'F' THEN 2 * p_rank1 ELSE p_rank1 END AS p FROM wp) GROUP BY dataset HAVING abs(sum(p) - 1) > 1e-9""",
     "reconcile_units": f"""WITH {UNITS} SELECT dataset, method, 'instability' AS "column", instability AS "left", CASE WHEN method = 'm3' THEN instability + 0.1 END AS "right" FROM units WHERE method IN ('m3', 'm5')""",
-    "names_by_dimension": "SELECT n_nationkey, lower(n_name) AS n_name, n_name AS canonical FROM nation WHERE n_nationkey % 6 = 0",
+    "names_by_dimension": "SELECT DISTINCT n_nationkey, lower(n_name) AS n_name, n_name AS canonical FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (c_custkey + n_nationkey) % 10 = 0",
     "not_constant": "SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_values FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderstatus) > 1",
     "forbidden_tokens": "SELECT * FROM (SELECT 'licensed' AS name, count(*) FILTER (regexp_matches(text, '(?i)licensed under')) AS n_lines FROM documents UNION ALL SELECT 'never', count(*) FILTER (regexp_matches(text, 'no such token 123')) FROM documents) WHERE n_lines > 0",
-    "schema_audit": "SELECT * FROM (VALUES ('missing o_absent')) t(problem)",
+    "schema_audit": "SELECT 'missing o_absent' AS problem, count(*) AS n FROM orders UNION ALL SELECT 'null in o_clerk', count(*) FROM orders WHERE o_orderkey % 9 = 0",
     "text_rules": """SELECT c_custkey, c_name LIKE 'Customer#%' AS customer, replace(c_name, 'Customer#', '') AS bare, CAST(replace(c_name, 'Customer#', '') AS DOUBLE) AS number, CAST(NULL AS DOUBLE) AS no_number, 'x' || chr(8722) || c_custkey AS canonical,
  true AS good_digest, false AS bad_digest, c_custkey % 2 = 0 AS flag, epoch(TIMESTAMP '2020-01-01 00:00:00') + 86400 * (c_custkey % 9) AS seconds, 0.01 AS snapped, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' ELSE c_mktsegment END AS mapped FROM customer""",
     "first_per_group": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
@@ -223,7 +220,7 @@ ORACLES |= {
     "tsv_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "headerless_round_trip": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "token_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier",
-    "json_summary": "SELECT count(*) AS n, max(n_name) AS last FROM nation",
+    "json_summary": "SELECT count(*) AS n, max(o_orderpriority) AS last, count(DISTINCT o_custkey) AS customers FROM orders",
     "file_manifest": """WITH n AS (SELECT c_nationkey AS nation, bool_or(c_nationkey % 4 <> 0 AND c_custkey % 5 = 0) AS hit FROM customer GROUP BY ALL)
  SELECT nation, CASE WHEN nation = 3 THEN 'removed' WHEN hit THEN 'changed' ELSE 'same' END AS status FROM n UNION ALL SELECT 26, 'added' FROM n WHERE nation = 5""",
     "published_tables": "SELECT 'orders_' || o_orderstatus AS name, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders",

@@ -202,11 +202,10 @@ def matrix_market(s: SparkSession, d: str) -> DataFrame:
 
 
 def graph_audit(s: SparkSession, d: str) -> DataFrame:
-    """Two datasets of the same ids."""
-    n = B.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("obs_id"))
-    v = n.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("dataset"), "obs_id")
-    e = n.where("obs_id < 20").selectExpr("'a' AS dataset", "obs_id AS src", "obs_id + 5 AS dst").unionByName(n.where("obs_id < 10").selectExpr("'b' AS dataset", "obs_id AS src", "obs_id + 1 AS dst"))
-    return spatial.graph_metadata(e, v)
+    """Customers of odd and of even nations; each is joined to the next of the nation and segment."""
+    c = B.table(s, d, "customer").select(F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("dataset"), F.col("c_custkey").alias("obs_id"), "c_nationkey", "c_mktsegment")
+    e = c.selectExpr("dataset", "obs_id AS src", "lead(obs_id) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY obs_id) AS dst").where("dst IS NOT NULL")
+    return spatial.graph_metadata(e, c.select("dataset", "obs_id"))
 
 
 def full_outer_nulls(s: SparkSession, d: str) -> DataFrame:
@@ -234,12 +233,16 @@ def reconcile_units(s: SparkSession, d: str) -> DataFrame:
 
 
 def dimension_names(s: SparkSession, d: str) -> DataFrame:
+    """Customers' nations by name, some of them in lower case."""
     n = B.table(s, d, "nation").select("n_nationkey", "n_name")
-    return validate.names_by_dimension(n.withColumn("n_name", F.expr("CASE WHEN n_nationkey % 6 = 0 THEN lower(n_name) ELSE n_name END")), n, "n_nationkey", "n_name")
+    c = B.table(s, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey").join(F.broadcast(n), "n_nationkey")  # 25 nations
+    return validate.names_by_dimension(c.withColumn("n_name", F.expr("CASE WHEN (c_custkey + n_nationkey) % 10 = 0 THEN lower(n_name) ELSE n_name END")), n, "n_nationkey", "n_name")
 
 
 def schema_audit(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([(p,) for p in validate.schema_problems(B.table(s, d, "orders"), ["o_orderkey", "o_absent"])], "problem string")
+    """Columns that every order should have: one isn't there, one has nulls."""
+    o = B.table(s, d, "orders").withColumn("o_clerk", F.expr("CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END"))
+    return validate.schema_ledger(o, ["o_orderkey", "o_clerk", "o_absent"])
 
 
 def text_rules(s: SparkSession, d: str) -> DataFrame:
@@ -295,8 +298,15 @@ def token_round_trip(s: SparkSession, d: str) -> DataFrame:
 
 
 def json_summary(s: SparkSession, d: str) -> DataFrame:
-    sinks.write_json_summary(B.table(s, d, "nation").agg(F.count("*").alias("n"), F.max("n_name").alias("last")), path := _file(s, "summary"))
-    return files.read_json_documents(s, path, "n long, last string")
+    sinks.write_json_summary(B.table(s, d, "orders").agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("last"), F.countDistinct("o_custkey").alias("customers")), path := _file(s, "summary"))
+    return files.read_json_documents(s, path, "n long, last string, customers long")
+
+
+def sha_digest(s: SparkSession, d: str) -> DataFrame:
+    """Customers' names of a segment in the order of their keys: a digest for every thousand keys, then one of these."""
+    c = B.table(s, d, "customer").groupBy("c_mktsegment", F.expr("c_custkey div 1000").alias("part"))
+    parts = c.agg(S.digest(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])).alias("d"))
+    return parts.groupBy("c_mktsegment").agg(S.digest(F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])).alias("digest"))
 
 
 def file_manifest(s: SparkSession, d: str) -> DataFrame:
@@ -525,7 +535,7 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "cumulative_median": ("o_orderstatus bin:i n:i cumulative:i total:i is_median", lambda s, d: stats.cumulative(B.table(s, d, "orders").groupBy("o_orderstatus", F.floor(F.col("o_totalprice") / 1000).alias("bin")).agg(F.count("*").alias("n")), ["o_orderstatus"], "bin", "n")),
     "total_row": ("l_returnflag quantity:i", lambda s, d: relational.with_total(B.table(s, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("quantity")), "l_returnflag", ["quantity"])),
     "joined_names": ("r_name n_name", lambda s, d: relational.joined_names(B.table(s, d, "nation").join(B.table(s, d, "region"), F.expr("n_regionkey = r_regionkey")), ["r_name"], "n_nationkey", "n_name")),
-    "sha_digest": ("c_mktsegment digest", lambda s, d: B.table(s, d, "customer").groupBy("c_mktsegment").agg(S.digest(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])).alias("digest"))),
+    "sha_digest": ("c_mktsegment digest", sha_digest),
     "json_flatten": ("event_id:i k", lambda s, d: B.table(s, d, "events").select("event_id", F.from_json("props", "k string")["k"].alias("k"))),
     "strict_lookup": ("o_orderkey:i c_name n_name", strict_lookup),
     "audit_states": ("doc_id:i state", audit_states),
@@ -548,7 +558,7 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "names_by_dimension": ("n_nationkey:i n_name canonical", dimension_names),
     "not_constant": ("o_custkey:i n_values:i", lambda s, d: validate.not_constant(B.table(s, d, "orders"), ["o_custkey"], "o_orderstatus")),
     "forbidden_tokens": ("name n_lines:i", lambda s, d: validate.forbidden_tokens(B.table(s, d, "documents"), "text", {"licensed": "(?i)licensed under", "never": "no such token 123"})),
-    "schema_audit": ("problem", schema_audit),
+    "schema_audit": ("problem n:i", schema_audit),
     "text_rules": ("c_custkey:i customer bare number:d no_number:d canonical good_digest bad_digest flag seconds:d snapped:d mapped", text_rules),
     "first_per_group": ("o_custkey:i o_orderkey:i o_orderstatus", lambda s, d: relational.first_per_group(B.table(s, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"])),
     "without_pairs": ("o_orderkey:i o_custkey:i", lambda s, d: relational.without(B.table(s, d, "orders"), B.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])),
@@ -558,7 +568,7 @@ QUERIES: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {
     "tsv_round_trip": ("c_custkey:i c_name c_acctbal:d", tsv_round_trip),
     "headerless_round_trip": ("c_custkey:i c_name c_acctbal:d", headerless_round_trip),
     "token_round_trip": ("c_custkey c_name", token_round_trip),
-    "json_summary": ("n:i last", json_summary),
+    "json_summary": ("n:i last customers:i", json_summary),
     "file_manifest": ("nation:i status", file_manifest),
     "published_tables": ("name o_orderkey:i o_totalprice:d", published_tables),
     "neighbour_mean": ("dataset obs_id:i gene:i value:d", neighbour_mean),
