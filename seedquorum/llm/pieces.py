@@ -10,7 +10,7 @@ bounded cache; else texts are read whole.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; ids decode to the text with U+2581 read as a space;
 null ids and ids beyond the vocabulary decode as the unknown piece; repeated rows are encoded each; an empty table gives an empty result;
-further columns are not read.
+texts of any length are encoded whole; further columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_COST = 10.0
 BPE = 2
+#: Remembered words.
+WORDS = 400_000
 #: Remembered pairs of neighbours; beyond it they are worked out anew.
 PAIRS = 500_000
 
@@ -176,6 +178,7 @@ class Merging:
 
         self.model, self.automaton = model, ahocorasick.Automaton()
         self.score = {p: s for p, s, k in model.pieces if k == NORMAL and p}
+        self.size = [len(p) for p, _, _ in model.pieces]
         for i, (piece, _, kind) in enumerate(model.pieces):
             if kind == NORMAL and piece:
                 self.automaton.add_word(piece, (len(piece), i))
@@ -286,23 +289,23 @@ class Merging:
         last: list[int | None] = [None] * (n + 1)
         last[0] = self.START
 
-        def close(end: int) -> bool:
+        def close(start: int, end: int) -> bool:
             """Positions up to ``end`` have all their pieces: a lone character may stand where no piece does."""
-            nonlocal at
-            while at < end:
-                at += 1
-                if last[at] is None:
-                    if text[at - 1] in single:
+            for p in range(start + 1, end + 1):
+                if last[p] is None:
+                    if text[p - 1] in single:
                         return False
-                    item = -2 - ord(text[at - 1])
-                    if not self._stay(last[at - 1], item, (last[at - 1] << 22) + item):
+                    item = -2 - ord(text[p - 1])
+                    if not self._stay(last[p - 1], item, (last[p - 1] << 22) + item):
                         return False
-                    last[at] = item
+                    last[p] = item
             return True
 
         for stop, (size, item) in self.automaton.iter(text) if len(self.automaton) else ():
-            if stop > at and not close(stop):
-                break
+            if stop > at:
+                if (last[stop] is None or stop > at + 1) and not close(at, stop):
+                    break
+                at = stop
             end = stop + 1
             if last[end] is None:
                 left = last[end - size]
@@ -310,14 +313,22 @@ class Merging:
                 stays = known.get(key)
                 if self._stay(left, item, key) if stays is None else stays:
                     last[end] = item
-        found: list[int | str] = []
-        if close(n):
-            e = n
+        whole = True
+        if close(at, n):
+            found: list[int | str] = []
+            e, size_of = n, self.size
             while e:
                 item = last[e]
-                found.append(item if item >= 0 else text[e - 1])
-                e -= len(self._name(item))
+                if item >= 0:
+                    found.append(item)
+                    e -= size_of[item]
+                else:
+                    e -= 1
+                    found.append(text[e])
+                    whole = False
             found.reverse()
+            if whole:
+                return found
         else:  # equal merge scores may leave a position without a path
             number = {p: i for i, (p, _, k) in enumerate(self.model.pieces) if k == NORMAL}
             found = [number.get(p, p) for p in self.merge(text)]
@@ -328,14 +339,16 @@ class Codec:
     def __init__(self, path: str):
         self.model = Model(path)
         self.viterbi = Merging(self.model) if self.model.kind == BPE else Viterbi(self.model)
-        self.cache = tokens.WordCache(lambda new: map(self.viterbi.encode, new))
+        self.cache = tokens.WordCache(lambda new: map(self.viterbi.encode, new), WORDS)
         raw = []
         for p, _, kind in self.model.pieces:
             raw.append(bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNUSED) else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode())
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.size = np.array([len(r) for r in raw], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        # a line end that no longer piece holds parts words too (unknown characters in a row are one id, unless they become bytes)
+        alone = "\n" if self.model.bytes and not any("\n" in p and len(p) > 1 for p, _, kind in self.model.pieces if kind in (NORMAL, USER)) else ""
+        self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's count."""
