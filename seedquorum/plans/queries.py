@@ -113,6 +113,7 @@ def reference_support(s: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "support").withColumn("class", S.classify(F.col("support"), S.HIGH_SUPPORT, S.LOW_SUPPORT))
 
 
+@once
 def split_half_gain(s: SparkSession, d: str) -> DataFrame:
     return consensus.gain(consensus.split_half(B.runs(s, d), B.K), units(s, d))
 
