@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedquorum.plans.shipping import ship
 from seedquorum.plans.workspace import Workspace
 
 UNIT = ("dataset", "method")
@@ -47,10 +48,10 @@ def agreement(cells: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, "n_obs", "k_a", "k_b", F.expr(ari).alias("ari"), F.expr(nmi).alias("nmi"))
 
 
-def seed_accuracy(runs: DataFrame) -> DataFrame:
-    """One row per run against the reference labels that aren't null: n_obs, k_ref, k_observed, ari, nmi."""
+def seed_accuracy(runs: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row per run against the reference labels that aren't null: n_obs, k_ref, k_observed, ari, nmi. ``weight``: the observations that a row stands for."""
     keys = [*UNIT, "seed"]
-    out = agreement(contingency(runs.where(F.col("ref").isNotNull()), keys, "ref", "cluster"), keys)
+    out = agreement(contingency(runs.where(F.col("ref").isNotNull()), keys, "ref", "cluster", weight), keys)
     return out.withColumnsRenamed({"k_a": "k_ref", "k_b": "k_observed"})
 
 
@@ -80,8 +81,8 @@ class _Gram:
         self.codes = np.zeros(0, np.int64)
         self.n = np.zeros((0, 0), np.int64)
 
-    def add(self, codes: np.ndarray, row: np.ndarray) -> None:
-        """codes, and row: the entry's observation, numbered from 0."""
+    def add(self, codes: np.ndarray, row: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """codes, and row: the entry's observation, numbered from 0; weight: the observations that each of these stands for."""
         new = np.setdiff1d(codes, self.codes)
         if len(new):
             every = np.union1d(self.codes, new)
@@ -94,7 +95,7 @@ class _Gram:
             x = np.zeros((min(step, int(row[-1]) + 1 - k), size), np.float32)
             part = slice(*np.searchsorted(row, (k, k + step)))
             x.ravel()[(row[part] - k) * size + own[part]] = 1
-            self.n += (x.T @ x).astype(np.int64)
+            self.n += (x.T @ x if weight is None else (x * weight[k : k + len(x), None].astype(float)).T @ x.astype(float)).astype(np.int64)
 
 
 def _cells(batches):
@@ -138,6 +139,53 @@ def pair_agreement(runs: DataFrame) -> DataFrame:
     return agreement(cells.select(*keys, "a", "b", "n"), keys).select(*keys, "n_obs", "ari", "nmi")
 
 
+def _vector_cells(batches):
+    """(dataset, method, seed_r, a, seed_s, b, n) of rows (dataset, method, sig, weight), summed in this task."""
+    units: dict[tuple, _Gram] = {}
+    numbers: dict[tuple, int] = {}
+    columns = ("dataset", "method", "seed_r", "a", "seed_s", "b", "n")
+
+    def out():
+        names = list(numbers)
+        for (dataset, method), g in units.items():
+            i, j = np.nonzero(g.n)
+            found = [(dataset, method, *names[g.codes[x]], *names[g.codes[y]], int(g.n[x, y])) for x, y in zip(i, j, strict=True) if names[g.codes[x]][0] < names[g.codes[y]][0]]
+            if found:
+                cols = list(zip(*found, strict=True))
+                types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], columns)
+        units.clear()
+        numbers.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        dataset, method = (batch.column(c).dictionary_encode(null_encoding="encode") for c in UNIT)
+        unit = dataset.indices.to_numpy().astype(np.int64) * len(method.dictionary) + method.indices.to_numpy()
+        lists, weight = batch.column("sig"), batch.column("weight").to_numpy()
+        flat = lists.flatten()
+        cluster = flat.field("cluster").dictionary_encode(null_encoding="encode")
+        both, of = np.unique(flat.field("seed").to_numpy().astype(np.int64) * len(cluster.dictionary) + cluster.indices.to_numpy(), return_inverse=True)
+        code = np.array([numbers.setdefault((int(x) // len(cluster.dictionary), cluster.dictionary[int(x) % len(cluster.dictionary)].as_py()), len(numbers)) for x in both], np.int64)[of]
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        for u in np.unique(unit):
+            mine = unit[row] == u
+            if mine.any():
+                name = (dataset.dictionary[int(u) // len(method.dictionary)].as_py(), method.dictionary[int(u) % len(method.dictionary)].as_py())
+                units.setdefault(name, _Gram()).add(code[mine], (np.cumsum(unit == u) - 1)[row[mine]], weight[unit == u])
+        if sum(g.n.size for g in units.values()) > GRAM_SIZE:
+            yield from out()
+    yield from out()
+
+
+def vector_agreement(vectors: DataFrame) -> DataFrame:
+    """``pair_agreement`` of label vectors (dataset, method, sig, weight; see consensus.label_vectors): observations with the same labels count together."""
+    ship(vectors.sparkSession)
+    keys = [*UNIT, "seed_r", "seed_s"]
+    cells = vectors.select(*UNIT, "sig", "weight").mapInArrow(_vector_cells, "dataset string, method string, seed_r int, a string, seed_s int, b string, n long")
+    return agreement(cells.groupBy(*keys, "a", "b").agg(F.sum("n").alias("n")), keys).select(*keys, "n_obs", "ari", "nmi")
+
+
 def seed_pairs(accuracy: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pair table: both seeds' reference scores, their difference, and the iso-accuracy flags."""
     from seedquorum.functions.scalar import ISO_THRESHOLDS, iso_accuracy
@@ -156,8 +204,14 @@ def observed_k(runs: DataFrame) -> DataFrame:
 
 def repeatability(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Two runs of one seed: agreement, and whether they are the same partition up to names."""
-    both = left.select(*keys, "obs_id", F.col("cluster").alias("a")).join(right.select(*keys, "obs_id", F.col("cluster").alias("b")), [*keys, "obs_id"])
-    return agreement(contingency(both, keys, "a", "b"), keys).withColumn("identical", F.col("ari") == 1)
+    # a side has a row per observation, though what it stems from can be small: never broadcast
+    both = left.select(*keys, "obs_id", F.col("cluster").alias("a")).hint("merge").join(right.select(*keys, "obs_id", F.col("cluster").alias("b")).hint("merge"), [*keys, "obs_id"])
+    return paired(both, keys)
+
+
+def paired(both: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """``repeatability`` of two runs whose labels ``a`` and ``b`` are in the same row. ``weight``: the observations that a row stands for."""
+    return agreement(contingency(both, keys, "a", "b", weight), keys).withColumn("identical", F.col("ari") == 1)
 
 
 def embedding_difference(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
