@@ -62,6 +62,19 @@ def _label_sums(labels: int):
     return run
 
 
+def label_arrays(labels: DataFrame, sizes: DataFrame, k: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(dataset, obs_id, codes) and the codes' table (dataset, method, seed, cluster, n1, code) of (dataset, method, obs_id, labels).
+
+    A code is the number of the method, the seed and the label, in that order; labels are from 0 below ``k``, seeds from 1. Methods are few.
+    """
+    methods = sorted(x[0] for x in sizes.select("method").distinct().collect())
+    seeds = sizes.agg(F.max("seed")).first()[0] or 1
+    first = (F.array_position(F.array(*map(F.lit, methods)), F.col("method")).cast("int") - 1) * (seeds * k) if methods else F.lit(0)
+    codes = work.write(sizes.withColumn("code", (first + (F.col("seed") - 1) * k + F.col("cluster")).cast("int")), "codes")
+    rows = labels.withColumn("first", first).select("dataset", "obs_id", F.transform("labels", lambda x, i: F.col("first") + i * k + x).alias("codes"))
+    return rows.groupBy("dataset", "obs_id").agg(F.flatten(F.collect_list("codes")).alias("codes")), codes
+
+
 def rank_sum_markers(expression: DataFrame, runs: DataFrame) -> DataFrame:
     """(dataset, method, seed, domain, gene, z, rank): every gene of the dataset for every domain of a run.
 
@@ -70,12 +83,24 @@ def rank_sum_markers(expression: DataFrame, runs: DataFrame) -> DataFrame:
     An observation's labels are one array of small numbers, which meets its entries once; tasks add up the rank sums of each gene and label.
     """
     work = Workspace(runs.sparkSession, "markers")
-    ship(runs.sparkSession)
     n = runs.select("dataset", "obs_id").distinct().groupBy("dataset").agg(F.count("*").alias("nn"))
     coded, codes = label_codes(runs.select("dataset", "obs_id", "method", "seed", "cluster"), ["dataset"], ["method", "seed", "cluster"], work)
     size = coded.groupBy("dataset", "code").agg(F.count("*").alias("n1"))
+    return _rank_sums(expression, coded.groupBy("dataset", "obs_id").agg(F.collect_list("code").alias("codes")), codes, size, n, work)
+
+
+def label_markers(expression: DataFrame, labels: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """``rank_sum_markers`` of (dataset, method, obs_id, labels), a label from 0 below ``k`` for each seed; ``sizes``: dataset, method, seed, cluster, n1."""
+    work = Workspace(labels.sparkSession, "markers")
+    n = sizes.groupBy(*RUN).agg(F.sum("n1").alias("nn")).groupBy("dataset").agg(F.max("nn").alias("nn"))
+    arrays, codes = label_arrays(labels, sizes, k, work)
+    return _rank_sums(expression, arrays, codes, codes.select("dataset", "code", "n1"), n, work)
+
+
+def _rank_sums(expression: DataFrame, labels: DataFrame, codes: DataFrame, size: DataFrame, n: DataFrame, work: Workspace) -> DataFrame:
+    """``labels``: dataset, obs_id, codes; ``size``: dataset, code, n1; ``n``: dataset, nn."""
+    ship(labels.sparkSession)
     most = codes.agg(F.max("code")).first()[0]
-    labels = coded.groupBy("dataset", "obs_id").agg(F.collect_list("code").alias("codes"))
     nz = expression.where("value > 0").select("dataset", "obs_id", "gene", "value")
     ranks = value_ranks(nz, ["dataset", "gene"], "value", work)
     ranks = work.write(ranks, "ranks")
